@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import leaks, near_copies, site_lines, splitting
+from sparkloom.llm import answers, leaks, mixture, near_copies, site_lines, split_overlap, splitting
 from sparkloom.llm.base import read
+from sparkloom.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,5 +30,28 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p6_found, p8_found)}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return answers.unsound(answers.answer_pairs(read(spark, d, "sample_results"), read(spark, d, "prompts")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlaps(read(spark, d, "qa_train"), read(spark, d, "qa_val"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    train, val = read(spark, d, "qa_train"), read(spark, d, "qa_val")
+    return split_overlap.report(split_overlap.overlaps(train, val), train, val)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    counts = table(mixture.token_counts(read(spark, d, "documents")), "tokens")
+    return mixture.mix(counts, read(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    counts, targets = table(mixture.token_counts(read(spark, d, "documents")), "tokens"), read(spark, d, "mix_targets")
+    return mixture.shares(mixture.mix(counts, targets), counts, targets)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
