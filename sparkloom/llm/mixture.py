@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 def _part(hashed: Column, buckets: int = BUCKETS) -> Column:
     """Bucket of a hash by its size."""
-    return F.floor((hashed.cast("double") / 2**64 + 0.5) * buckets).cast("int")
+    return F.floor((hashed.cast("double") / 2.0**64 + 0.5) * buckets).cast("int")
 
 
 def mix(counts: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 42) -> DataFrame:

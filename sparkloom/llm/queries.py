@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import answers, leaks, mixture, near_copies, site_lines, split_overlap, splitting
+from sparkloom.llm import answers, leaks, mixture, near_copies, site_lines, split_overlap, splitting, text_forms
 from sparkloom.llm.base import read
 from sparkloom.shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return text_forms.forms(text_forms.document_figures(read(spark, d, "documents"))).where("form <> 'prose'").select("doc_id", "form")
+
+
+def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_forms.statistics(read(spark, d, "documents"), read(spark, d, "doc_stats"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(read(spark, d, "documents"))
 
@@ -53,5 +61,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.mix(counts, targets), counts, targets)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
