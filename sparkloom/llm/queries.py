@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import answers, leaks, mixture, near_copies, site_lines, split_overlap, splitting, text_forms
+from sparkloom.llm import answers, leaks, mixture, near_copies, page_bodies, site_lines, split_overlap, splitting, text_forms
 from sparkloom.llm.base import read
 from sparkloom.shared import table
 
@@ -30,6 +30,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_copies(read(spark, d, "documents"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_bodies.main_bodies(read(spark, d, "web_pages")).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_long(read(spark, d, "documents")).where("piece = 0").select("doc_id")
 
@@ -61,5 +65,5 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.mix(counts, targets), counts, targets)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares)}
 ORACLE: dict[str, str] = {}
