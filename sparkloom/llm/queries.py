@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import answers, leaks, mixture, near_copies, page_bodies, site_lines, split_overlap, splitting, text_forms
+from sparkloom.llm import answers, leaks, mixture, near_copies, page_bodies, site_lines, split_overlap, splitting, subject_areas, text_forms
 from sparkloom.llm.base import read
 from sparkloom.shared import table
 
@@ -65,5 +65,17 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture.shares(mixture.mix(counts, targets), counts, targets)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares)}
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subject_areas.document_subjects(read(spark, d, "documents"), read(spark, d, "doc_labels"), read(spark, d, "subjects"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("part"), 3).alias("weight"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p10_found, p10_composition)}
 ORACLE: dict[str, str] = {}
