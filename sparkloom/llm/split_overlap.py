@@ -4,8 +4,9 @@ Method: passages of the normalised evaluation records, in shards of ``SHARD`` re
 over words. Each scans all training texts; matched intervals are merged into the coverage of each evaluation record.
 What is covered enough is decided by the longest common subsequence of words, exactly.
 
-Passages are ``PASSAGE`` words long, one every ``STRIDE`` words; one that more than ``COMMON`` records of its shard hold
-is lengthened to ``LONG_PASSAGE`` words, never dropped. Shards are read from the shared folder, so no fingerprints pass
+Passages are ``PASSAGE`` words long and follow each other without a gap; one that more than ``COMMON`` records of its shard
+hold is lengthened to ``LONG_PASSAGE`` words, never dropped. Before two texts are compared in full, the words of one that
+the other may have at all bound what they can have in common. Shards are read from the shared folder, so no fingerprints pass
 through the driver. Equal evaluation records share one class; training rows are scanned each. Null ids are left out;
 null messages and contents count as empty; records without words match nothing.
 """
@@ -28,10 +29,12 @@ from sparkloom.llm.base import documents
 from sparkloom.shared import new_path, table
 
 ALIKE = 0.7
-PASSAGE, LONG_PASSAGE, STRIDE, COMMON = 5, 10, 3, 4
-#: Words that matched passages must cover before a pair is compared in full, unless they cover the whole record.
-COVERED = 8
+PASSAGE, LONG_PASSAGE, COMMON = 5, 10, 4
 SHARD = 5000
+#: Letters by which a word is spelled for the automaton, out of 64; few, as its states search their letters one by one.
+LETTERS = 3
+#: Bits of the words of a record that bound what a text can have in common with it.
+BITS = 1024
 
 
 def contents(messages: str = "messages") -> Column:
@@ -40,9 +43,10 @@ def contents(messages: str = "messages") -> Column:
     return F.array_join(F.transform(told, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
 
 
-def symbols(hashes: np.ndarray) -> np.ndarray:
-    """One character of 20 bits for each word, for the automaton only."""
-    return (hashes & np.uint64(0xFFFFF)).astype(np.uint32) + np.uint32(0x10000)
+def spelled(hashes: np.ndarray) -> str:
+    """``LETTERS`` letters for each word, for the automaton only."""
+    shifts = np.arange(LETTERS, dtype=np.uint64) * np.uint64(6)
+    return (((hashes[:, None] >> shifts) & np.uint64(63)).astype(np.uint8) + np.uint8(48)).tobytes().decode("ascii")
 
 
 def common_words(a: list[int], b: list[int]) -> int:
@@ -62,48 +66,67 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(b) - row.bit_count()
 
 
+def _keys(words: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of the runs of ``length`` words from each place on."""
+    key = length.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(int(length.max(initial=0))):
+            key = np.where(i < length, K.mix(key * np.uint64(31) + words[np.minimum(at + i, len(words) - 1)]), key)
+    return key
+
+
 class Shard:
     """Automaton over the passages of some evaluation records, given as arrays of word hashes."""
 
     def __init__(self, ids: list[int], records: list[np.ndarray]):
         self.ids, self.records = ids, records
-        text = [symbols(r).tobytes().decode("utf-32-le") for r in records]
-        places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for r, t in enumerate(text):
-            for at in range(0, max(1, len(t) - PASSAGE + STRIDE), STRIDE):
-                at = max(0, min(at, len(t) - PASSAGE))
-                places[t[at : at + PASSAGE]].append((r, at))
-        for passage in [p for p, found in places.items() if len(found) > COMMON]:
-            rest = []
-            for r, at in places.pop(passage):
-                at = max(0, min(at, len(text[r]) - LONG_PASSAGE))
-                longer = text[r][at : at + LONG_PASSAGE]
-                (places[longer] if longer != passage else rest).append((r, at))
-            if rest:
-                places[passage] = rest
+        self.size = np.array([len(r) for r in records], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(self.size)])
+        words = np.concatenate([*records, np.zeros(LONG_PASSAGE, np.uint64)])
+        pieces = np.where(self.size > 0, np.maximum(1, -(-self.size // PASSAGE)), 0)
+        record = np.repeat(np.arange(len(records)), pieces)
+        nth = np.arange(len(record)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        n = self.size[record]
+        length = np.minimum(PASSAGE, n)
+        begin = np.minimum(nth * PASSAGE, n - length)
+        key = _keys(words, first[record] + begin, length)
+        _, kind, count = np.unique(key, return_inverse=True, return_counts=True)
+        common = count[kind] > COMMON
+        length = np.where(common, np.minimum(LONG_PASSAGE, n), length)
+        begin = np.minimum(begin, n - length)
+        key = _keys(words, first[record] + begin, length)
+        order = np.lexsort((begin, record, key))
+        once = np.ones(len(order), bool)
+        once[1:] = (np.diff(key[order]) != 0) | (np.diff(record[order]) != 0) | (np.diff(begin[order]) != 0)
+        order = order[once]
+        key = key[order]
+        self.flat = np.stack([record[order], begin[order]], axis=1)
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        self.starts, self.lengths = np.append(new, len(key)), length[order][new]
+        text = spelled(words)
         self.automaton = ahocorasick.Automaton()
-        starts, flat, lengths = [0], [], []
-        for passage, found in places.items():
-            if passage:
-                self.automaton.add_word(passage, len(lengths))
-                flat.extend(set(found))
-                starts.append(len(flat))
-                lengths.append(len(passage))
+        at = (first[record] + begin)[order][new]
+        for i, (a, b) in enumerate(zip((at * LETTERS).tolist(), ((at + self.lengths) * LETTERS).tolist())):
+            self.automaton.add_word(text[a:b], i)
         self.automaton.make_automaton()
-        self.starts, self.lengths = np.array(starts), np.array(lengths)
-        self.flat = np.array(flat, dtype=np.int64).reshape(-1, 2)
+        self.bits = np.zeros((len(records), BITS), bool)
+        self.bits[np.repeat(np.arange(len(records)), self.size), (words[: first[-1]] >> np.uint64(20)) % np.uint64(BITS)] = True
 
-    def scan(self, text: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Training texts and records of all pairs with enough coverage. ``bounds``: where each text begins in ``text``."""
+    def scan(self, text: str, bounds: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
+        """Training texts and records of all pairs whose coverage and length allow for ``alike``. ``bounds``: where each text begins in ``text``, in words."""
         if not len(self.lengths):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         hits = np.fromiter((x for hit in self.automaton.iter(text) for x in hit), dtype=np.int64).reshape(-1, 2)
+        hits = hits[hits[:, 0] % LETTERS == LETTERS - 1]  # others are out of step with the words
         which = hits[:, 1]
         count = self.starts[which + 1] - self.starts[which]
-        doc = np.repeat(np.searchsorted(bounds, hits[:, 0], "right") - 1, count)
+        doc = np.repeat(np.searchsorted(bounds, hits[:, 0] // LETTERS, "right") - 1, count)
         place = np.repeat(self.starts[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(hits) else np.zeros(0, np.int64)
         record, begin = self.flat[place, 0], self.flat[place, 1]
         end = begin + np.repeat(self.lengths[which], count)
+        sizes = np.diff(np.append(bounds, len(text) // LETTERS)) - 1
+        fits = np.minimum(sizes[doc], self.size[record]) >= alike * np.maximum(sizes[doc], self.size[record])
+        doc, record, begin, end = doc[fits], record[fits], begin[fits], end[fits]
         order = np.lexsort((begin, record, doc))
         doc, record, begin, end = doc[order], record[order], begin[order], end[order]
         if not len(doc):
@@ -112,14 +135,26 @@ class Shard:
         pair = np.cumsum(new) - 1
         wide = 1 << 32
         reach = np.maximum.accumulate(pair * wide + end)  # intervals of a pair come in order of their begin
-        before = np.concatenate([[0], reach[:-1]])
-        before = np.where(new, 0, before - pair * wide)
+        before = np.where(new, 0, np.concatenate([[0], reach[:-1]]) - pair * wide)
         covered = np.bincount(pair, weights=np.maximum(0, end - np.maximum(begin, before)))
         first = np.flatnonzero(new)
-        size = np.array([len(r) for r in self.records])[record[first]]
-        enough = (covered >= COVERED) | (covered >= size)
+        enough = covered >= np.minimum(PASSAGE, self.size[record[first]])
         return doc[first[enough]], record[first[enough]]
 
+    def possible(self, doc: np.ndarray, record: np.ndarray, words: np.ndarray, first: np.ndarray, alike: float, block: int = 20_000) -> np.ndarray:
+        """Which pairs can be ``alike`` at all: words of the text that the record may have, against the longer one. Loses no pair."""
+        out = np.zeros(len(doc), bool)
+        spot = ((words >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)
+        for a in range(0, len(doc), block):
+            d, r = doc[a : a + block], record[a : a + block]
+            size = first[d + 1] - first[d]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(first[d] - np.concatenate([[0], ends[:-1]]), size)
+            there = self.bits[np.repeat(r, size), spot[at]]
+            shared = np.add.reduceat(there, np.minimum(ends - size, len(there) - 1), dtype=np.int64) if len(there) else np.zeros(len(d), np.int64)
+            out[a : a + block] = shared >= alike * np.maximum(size, self.size[r])
+        return out
+
 
 def load_shard(path: str) -> Shard:
     where = path if "://" in path else f"file://{path}"
@@ -148,19 +183,21 @@ def _scanner(folders: list[str], alike: float):
         words, size = np.concatenate(parts), np.concatenate(sizes)
         first = np.concatenate([[0], np.cumsum(size)])
         row = np.repeat(np.arange(len(size)), size)
-        line = np.zeros(len(words) + len(size), np.uint32)  # a zero after each text, which no passage holds
-        line[np.arange(len(words)) + row] = symbols(words)
+        slots = np.zeros(len(words) + len(size), np.uint64)  # a slot after each text ends it
+        slots[np.arange(len(words)) + row] = words
         bounds = first[:-1] + np.arange(len(size))
-        text = line.tobytes().decode("utf-32-le")
+        letters = np.frombuffer(spelled(slots).encode("ascii"), np.uint8).reshape(-1, LETTERS).copy()
+        letters[bounds + size] = ord(".")  # no passage has a dot
+        text = letters.tobytes().decode("ascii")
         for folder in folders:
             shard = load_shard(folder)
-            docs, records = shard.scan(text, bounds)
+            docs, records = shard.scan(text, bounds, alike)
+            keep = shard.possible(docs, records, words, first, alike)
+            docs, records = docs[keep], records[keep]
             found: tuple[list[int], list[int]] = ([], [])
             last, mine = -1, []
             for d, r in zip(docs.tolist(), records.tolist()):
                 a, b = int(size[d]), len(shard.records[r])
-                if min(a, b) < alike * max(a, b):
-                    continue
                 if d != last:
                     last, mine = d, words[first[d] : first[d + 1]].tolist()
                 if common_words(mine, shard.records[r].tolist()) >= alike * max(a, b):
@@ -192,7 +229,8 @@ def overlaps(train: DataFrame, val: DataFrame, alike: float = ALIKE, shard: int
     classes.select("class", "text", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard").mapInArrow(_hashes, "class long, words array<long>, shard int").write.partitionBy("shard").parquet(path)
     there = sorted(r.shard for r in spark.read.schema("class long, words array<long>, shard int").parquet(path).select("shard").distinct().collect())
     rows = documents(train, "record_id", "messages").select("record_id", contents().alias("text"))
-    found = rows.mapInArrow(_scanner([f"{path}/shard={i}" for i in there], alike), "train long, class long")
+    most = 2 * spark.sparkContext.defaultParallelism  # each task builds every automaton, so tasks are few and long
+    found = rows.coalesce(most).mapInArrow(_scanner([f"{path}/shard={i}" for i in there], alike), "train long, class long")
     ids = members.groupBy("key").agg(F.min("record_id").alias("class")).join(members.select("key", "record_id"), "key").select("class", "record_id")
     pairs = found.join(ids, "class").where("train <> record_id")
     return pairs.select(F.least("train", "record_id").alias("record_a"), F.greatest("train", "record_id").alias("record_b")).distinct()
