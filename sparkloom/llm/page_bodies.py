@@ -346,8 +346,10 @@ class Labeller:
 
 def training_rows(pages: DataFrame, count: int = TRAINING_PAGES) -> list[tuple[str | None, str | None]]:
     """Text and title of the ``count`` pages with the smallest hash of their id."""
-    rows = documents(pages, "page_id", "title", "text").where("text is not null").orderBy(F.xxhash64("page_id"), "page_id", "text").limit(count).collect()
-    return [(r.text, r.title) for r in rows]
+    rows = documents(pages, "page_id", "title", "text").where("text is not null")
+    ids = rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(count).distinct()  # ids alone, so that no partition sends its texts
+    chosen = rows.join(F.broadcast(ids), "page_id").groupBy("page_id").agg(F.min(F.struct("text", "title")).alias("r")).select("page_id", "r.*").collect()
+    return [(r.text, r.title) for r in sorted(chosen, key=lambda r: r.page_id)]
 
 
 def main_bodies(pages: DataFrame, network: BiLstm | None = None) -> DataFrame:
