@@ -1,0 +1,197 @@
+"""Operators that SQL cannot check, and edge cases of those that it can."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from sparkloom import running, shared
+from sparkloom.functions import rules, text
+from sparkloom.operators import chunking, history, incremental, packaging, quality, questions, relational, similarity
+from sparkloom.sources import files, services
+from sparkloom.streaming import collect
+
+DOC = "doc_id long, title string, text string, source string, url string, clash string"
+
+
+def test_empty_table_and_nulls_in_every_column(spark):
+    none = spark.createDataFrame([], DOC)
+    scored = quality.scored(quality.normalised(none))
+    assert quality.report(scored, chunking.chunk_documents(scored)).first().total_docs == 0
+    rows = quality.scored(quality.normalised(spark.createDataFrame([(None, None, None, None, None, None), (1, "t", "", "WEB ", "", "x")], DOC))).collect()
+    assert {(r.reason, r.source) for r in rows} == {("empty document", "unknown"), ("empty document", "web")}
+
+
+def test_very_long_text_is_chunked_whole(spark):
+    body = "word " * 60_000
+    rows = chunking.chunk_documents(spark.createDataFrame([(1, "external", body)], "doc_id long, kind string, text string")).collect()
+    assert max(len(r.chunk) for r in rows) <= 2048 + 130
+    assert sum(r.chunk.count("word") for r in rows) >= 60_000
+
+
+def test_first_by_key_keeps_the_first_of_a_hot_key(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("key"))
+    rows = {r.key: r.doc_id for r in quality.first_by_key(df).collect()}
+    assert rows["hot"] == 0 and len(rows) == 667
+
+
+@pytest.mark.parametrize("n,fraction,val", [(1, 0.1, 1), (10, 0.25, 2), (500, 0.1, 50), (3, 0.0, 1)])
+def test_split_sizes(spark, n, fraction, val):
+    rows = questions.split(spark.range(n), ["id"], fraction).collect()
+    assert len(rows) == n and sum(r.split == "val" for r in rows) == val
+
+
+def test_split_of_nothing(spark):
+    assert questions.split(spark.range(0), ["id"], 0.5).count() == 0
+
+
+def test_running_total_matches_a_plain_sum(spark):
+    df = spark.range(500).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 500).alias("o"), (F.col("id") % 10).alias("v"))
+    rows = running.running_total(df, ["g"], F.floor(F.col("o") / 16), ["o"], "v", "s").collect()
+    for g in range(3):
+        total = 0
+        for r in sorted((r for r in rows if r.g == g), key=lambda r: r.o):
+            total += r.v
+            assert r.s == total
+
+
+def test_as_of_join_with_ties_and_missing(spark):
+    left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 3)], "k string, t int")
+    right = spark.createDataFrame([("a", 2, 1.0), ("a", 5, 2.0), ("a", 5, 3.0)], "k string, t int, v double")
+    assert {(r.k, r.t, r.v) for r in relational.as_of(left, right, "k", "t", "v").collect()} == {("a", 5, 3.0), ("a", 1, None), ("b", 3, None)}
+
+
+def test_similarity_is_symmetric_and_zero_without_tokens(spark):
+    df = spark.createDataFrame([("vector store survey", "survey of stores"), ("survey of stores", "vector store survey"), ("the of", "x"), ("same words", "same words")], "a string, b string")
+    got = [round(r[0], 9) for r in df.select(similarity.cosine(F.col("a"), F.col("b"))).collect()]
+    assert got[0] == got[1] and got[2] == 0.0 and got[3] == 1.0
+
+
+def test_cleaning_is_idempotent(spark):
+    df = spark.createDataFrame([("a​ \t b\r\n\r\n\n\n\nc ",), ("",), (" \n ",)], "x string")
+    rows = df.select(text.clean(F.col("x")).alias("c")).select("c", text.clean(F.col("c")).alias("d")).collect()
+    assert all(r.c == r.d for r in rows) and rows[0].c == "a b\n\n\nc"
+
+
+def test_hint_decides_input_class(spark):
+    df = spark.createDataFrame([("plain", "Error-Log"), ("plain", "nonsense"), ("plain", None)], "x string, h string")
+    assert [r[0] for r in df.select(rules.input_class(F.col("x"), F.col("h"))).collect()] == ["error_log", "text", "text"]
+
+
+def test_incremental_run_twice_finds_nothing_new(spark):
+    sources = spark.createDataFrame([("a", "1", 0), ("b", "2", 1), ("a", "3", 2)], "key string, hash string, place long")
+    state = spark.createDataFrame([], "key string, hash string")
+    fresh, after, counts = incremental.run(sources, state)
+    assert counts.first().fresh == 3 and {(r.key, r.hash) for r in after.collect()} == {("a", "3"), ("b", "2")}
+    assert {(r.key, r.hash) for r in incremental.unseen(sources, after).collect()} == {("a", "1")}
+    assert incremental.run(sources, after, force=True)[2].first().fresh == 3
+
+
+def test_delete_by_hash_for_all_models(spark):
+    cache = spark.createDataFrame([("h", "m", 1), ("h", "n", 2), ("g", "m", 3)], "hash string, model string, n int")
+    gone = lambda model: spark.createDataFrame([("h", model)], "hash string, model string")
+    assert history.delete(cache, gone("")).count() == 1
+    assert history.delete(cache, gone("m")).count() == 2
+
+
+def test_folder_source(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_bytes(b"# A\xff text")
+    (tmp_path / "sub" / "b.txt").write_text("B")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF")
+    (tmp_path / "d.rst").write_text("skip")
+    assert {(r.title, r.text) for r in files.folder(spark, str(tmp_path)).collect()} == {("a", "# A text"), ("b", "B")}
+    assert {r.title for r in files.folder(spark, str(tmp_path), pdf=lambda data: data.decode()).collect()} == {"a", "b", "c"}
+    assert files.folder(spark, str(tmp_path), ["md", "txt"], most=1).count() == 1
+
+
+def test_corpus_file_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "One", "body\n\nof one", "web"), (2, "Two", "x", "pdf")], "doc_id long, title string, text string, source string")
+    files.write_corpus(docs, str(tmp_path / "corpus"))
+    assert {(r.title, r.source, r.text) for r in files.read_corpus(spark, str(tmp_path / "corpus")).collect()} == {("One", "web", "body\n\nof one"), ("Two", "pdf", "x")}
+
+
+def test_metadata_logs_metrics_and_packages(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "One", "body")], "doc_id long, title string, text string")
+    files.write_metadata(docs, str(tmp_path / "meta"))
+    assert spark.read.json(str(tmp_path / "meta")).columns == ["doc_id", "title"]
+    (tmp_path / "state.jsonl").write_text('{"key": "a", "hash": "1"}\nbroken\n{"key": "a", "hash": "2"}\n')
+    assert [(r.key, r.hash) for r in incremental.last_entries(files.read_log(spark, str(tmp_path / "state.jsonl"))).collect()] == [("a", "2")]
+    files.append_metrics(spark.createDataFrame([(1, "x")], "loss int, note string"), str(tmp_path / "tsv"))
+    files.append_metrics(spark.createDataFrame([(2, None)], "loss int, note string"), str(tmp_path / "tsv"))
+    assert {(r.loss, r.note) for r in files.read_metrics(spark, str(tmp_path / "tsv")).collect()} == {("1", "x"), ("2", "?")}
+    for name, body in (("r1", json.dumps({"run_id": "r1", "topic": "t"})), ("r2", json.dumps({"run_id": "r2"})), ("r3", "{")):
+        (tmp_path / "out" / name).mkdir(parents=True)
+        (tmp_path / "out" / name / "metadata.json").write_text(body)
+    assert [r.run_id for r in files.packages(spark, str(tmp_path / "out")).collect()] == ["r2", "r1"]
+
+
+def test_criteria_file(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "spec.yaml").write_text("criteria:\n  - name: a\n    question: q\n    weight: 2\n  - name: b\n")
+    assert [(r.name, r.weight) for r in files.read_criteria(spark, str(tmp_path / "spec.yaml")).collect()] == [("a", 2.0), ("b", 1.0)]
+    (tmp_path / "none.yaml").write_text("criteria: []\n")
+    with pytest.raises(ValueError):
+        files.read_criteria(spark, str(tmp_path / "none.yaml"))
+
+
+def test_fetched_source_skips_failures(spark):
+    def fetch(key):
+        if key == "bad":
+            raise OSError(key)
+        return [(f"title {key}", f"<p>{key}</p>", f"https://x.example/{key}")]
+
+    spark.dataSource.register(services.Fetched)
+    rows = spark.read.format("fetched").options(**services.fetched_options(["a", "bad", "b"], fetch, 2)).load()
+    assert {r.title for r in rows.collect()} == {"title a", "title b"}
+
+
+def test_service_shapes(spark):
+    listing = json.dumps({"data": {"children": [{"data": {"title": "T", "selftext": "body", "permalink": "/r/x", "score": 3}}, {"data": {"title": "E", "selftext": " "}}]}})
+    posts = services.posts(spark.createDataFrame([(listing,), ("broken",)], "value string")).collect()
+    assert [(p.title, p.text) for p in posts] == [("T", "# T\n\nbody")]
+    tree = spark.createDataFrame([("r", ["a.py", ".hidden.py", "src/b.md", "c.bin", ".github/d.md", "e.TXT"])], "repo string, paths array<string>")
+    assert [r.path for r in services.repository_files(tree, 2).collect()] == ["a.py", "src/b.md"]
+    assert services.decoded(spark.createDataFrame([("aGVs\nbG8=",)], "content string")).first().text == "hello"
+    found = spark.createDataFrame([("t", "l", "snip", ""), ("t", "l", "snip", "page")], "title string, link string, snippet string, page string")
+    assert {r.text for r in services.search_results(found).collect()} == {"snip", "page"}
+    mimes = spark.createDataFrame([("application/pdf",), ("application/vnd.google-apps.document",), ("image/png",)], "m string")
+    assert [r[0] for r in mimes.select(services.drive_action(F.col("m"))).collect()] == ["download", "export:text/plain", "skip"]
+    page = lambda source, title: spark.createDataFrame([(title, "x" * 9000, source, "u")], "title string, text string, source string, url string")
+    rows = services.topic_rows(page("web", "w"), page("reddit", "On Topic"), page("github", "g"), "topic").collect()
+    assert sorted(len(r.text) for r in rows) == [4000, 8000, 9000]
+
+
+def test_generators_and_package_write(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "SUMMARY.md"), ("r", "TESTS.md")], "run_id string, file string")
+    made = packaging.generate(rows, {"SUMMARY.md": lambda df: df.withColumn("content", F.lit("# S"))})
+    packaging.write(made, str(tmp_path / "out"))
+    assert [(r.run_id, r.file) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("r", "SUMMARY.md")]
+    assert packaging.generate(rows, {}).count() == 0
+
+
+def test_stream_collects_each_key_once(spark, tmp_path):
+    schema = StructType.fromDDL("doc_id long, text string")
+    target, state, folder = (str(tmp_path / x) for x in ("target", "state", "in"))
+    spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], schema).write.parquet(folder)
+    collect.collect(collect.new_rows(spark, folder, schema), target, state).awaitTermination()
+    spark.createDataFrame([(2, "d"), (3, "e")], schema).write.mode("append").parquet(folder)
+    collect.collect(collect.new_rows(spark, folder, schema), target, state).awaitTermination()
+    assert sorted((r.doc_id, r.text) for r in spark.read.parquet(target).select("doc_id", "text").collect()) == [(1, "a"), (2, "c"), (3, "e")]
+
+
+def test_stream_windows_equal_batch(spark, tmp_path):
+    schema = StructType.fromDDL("ts timestamp, kind string, value double")
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,cast(id as int)*7) AS ts, if(id % 2 = 0, 'a', 'b') AS kind, cast(id as double) AS value FROM range(100)")
+    rows.write.parquet(str(tmp_path / "ev"))
+    stream = collect.windowed(collect.new_rows(spark, str(tmp_path / "ev"), schema), "ts", "kind", "value")
+    query = stream.writeStream.format("memory").queryName("win").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    want = collect.windowed(rows, "ts", "kind", "value")
+    assert sorted(map(str, spark.table("win").collect())) == sorted(map(str, want.collect()))
+
+
+def test_shared_table_reads_back(spark):
+    assert shared.table(spark.range(5), "t").count() == 5
+    assert shared.shared_dir(spark) == shared.shared_dir(spark)
