@@ -102,7 +102,7 @@ def read_criteria(spark: SparkSession, path: str) -> DataFrame:
     """name, question, weight of the criteria of a YAML specification; fails if there is none."""
     import yaml
 
-    lines = spark.read.option("wholetext", True).text(path).first()
+    lines = spark.read.text(path, wholetext=True).first()
     found = (yaml.safe_load(lines.value) if lines else None) or {}
     rows = [(c["name"], (c.get("question") or "").strip(), float(c.get("weight", 1.0))) for c in found.get("criteria") or []]
     if not rows:
