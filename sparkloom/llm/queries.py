@@ -78,4 +78,26 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p10_found, p10_composition)}
-ORACLE: dict[str, str] = {}
+# SQL of the cases where it can say the same: words, runs of words and lines as texts instead of hashes.
+_PLAIN = r"replace(lower(nfc_normalize(regexp_replace({x}, '\p{{Cf}}', '', 'g'))), 'ß', 'ss')"
+_WORDS = "list_filter(regexp_split_to_array(" + _PLAIN.format(x="text") + r", '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
+_SITE = r"""CASE WHEN lower(trim(coalesce(url, ''))) = '' OR starts_with(lower(trim(url)), 'file:') THEN lower(trim(coalesce(source, '')))
+ELSE regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1) END"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": rf"""WITH raw AS (SELECT row_number() OVER () AS r, doc_id, {_SITE} AS site, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, site, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM raw WHERE ls IS NOT NULL),
+k AS (SELECT r, doc_id, site, line_no, trim(regexp_replace({_PLAIN.format(x="line")}, '[^\p{{L}}\p{{M}}]+', ' ', 'g')) AS key FROM l),
+n AS (SELECT site, count(*) AS docs FROM raw GROUP BY site),
+f AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, docs HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) * 10 >= docs)
+SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (site, key)""",
+    "p3_found": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 2 * count(*) >= x.n + y.n - count(*)""",
+    "p6_found": "SELECT doc_id FROM documents WHERE length(text) > 4096",
+    "p8_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+a AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM d WHERE len(w) > 11),
+b AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ' '))) AS g FROM i WHERE len(w) > 11)
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (g)""",
+}
