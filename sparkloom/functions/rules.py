@@ -21,7 +21,9 @@ def is_internal(title: Column, source: Column, titles: list[str] | None = None,
 
 def personal_reason(body: Column, title: Column) -> Column:
     """Why a document is personal; empty if it isn't. The title decides before the body."""
-    found = F.regexp_extract(body, "(?isu)(?:" + "|".join(fixed.PERSONAL_BODY) + ")", 0)
+    # all patterns begin at a word boundary: tested once, it spares most positions the alternatives
+    inner = "|".join(p.removeprefix(r"\b").replace("é", "[éÉ]") for p in fixed.PERSONAL_BODY)
+    found = F.regexp_extract(body, rf"(?is)\b(?:{inner})", 0)
     snippet = F.replace(F.substring(found, 1, 60), F.lit("\n"), F.lit(" "))
     by_title = F.concat(F.lit("personal document title: '"), title, F.lit("'"))
     return F.when(F.coalesce(title, F.lit("")).rlike("(?iu)" + fixed.PERSONAL_TITLE), by_title).when(found != "", F.concat(F.lit("personal document pattern: '"), snippet, F.lit("'"))).otherwise("")

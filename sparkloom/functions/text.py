@@ -8,19 +8,21 @@ from pyspark.sql import functions as F
 from sparkloom.functions import fixed
 
 S = fixed.SPACE
+#: The characters of ``fixed.SPACE``.
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
-    """Without white space on either side, Unicode's included."""
-    return F.regexp_replace(c, f"^{S}+|{S}+$", "")
+    """Without white space on either side, Unicode's included; only the ends are looked at."""
+    return F.btrim(c, F.lit(SPACES))
 
 
 def clean(c: Column) -> Column:
     """Zero-width characters deleted, CRLF and CR to LF, four or more LF to three, runs of blanks and tabs to one blank, stripped."""
-    c = F.regexp_replace(c, r"[\x{200B}\x{200C}\x{200D}\x{FEFF}]", "")
-    c = F.regexp_replace(c, r"\r\n|\r", "\n")
-    c = F.regexp_replace(c, r"\n{4,}", "\n\n\n")
-    return strip(F.regexp_replace(c, r"[ \t]+", " "))
+    for hidden in "\u200b\u200c\u200d\ufeff":
+        c = F.replace(c, F.lit(hidden), F.lit(""))
+    c = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return strip(F.regexp_replace(F.regexp_replace(c, r"\n{4,}", "\n\n\n"), r"[ \t]{2,}|\t", " "))
 
 
 def document_key(url: Column, title: Column) -> Column:

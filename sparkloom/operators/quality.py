@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import fixed, rules, text
+from sparkloom.operators import chunking
 
 
 def normalised(docs: DataFrame) -> DataFrame:
@@ -55,28 +56,32 @@ def gate(docs: DataFrame, threshold: float = fixed.QUALITY_THRESHOLD) -> DataFra
     return docs.select("*", kept.alias("kept"), F.when(kept, "").when(F.col("reason") != "", F.col("reason")).otherwise(short).alias("verdict"))
 
 
-def report(docs: DataFrame, chunks: DataFrame, threshold: float = fixed.QUALITY_THRESHOLD) -> DataFrame:
-    """One row about the scored documents and the chunks (kind, chunk) of those kept. Rounded scores count as passing, as reports show them."""
-    shown = F.round("score", 3)
-    some = lambda c: F.count_if(c)
-    of = docs.agg(
+def report(docs: DataFrame, threshold: float = fixed.QUALITY_THRESHOLD, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP) -> DataFrame:
+    """One row about scored documents and the chunks of those kept, from one pass over the texts.
+
+    Rounded scores count as passing, as reports show them; the unrounded score decides what is kept and chunked.
+    """
+    sizes = F.transform(chunking.chunks(F.col("text"), size, overlap), F.octet_length)
+    kept = (F.col("score") >= threshold) & (F.col("reason") == "")
+    rows = docs.select("chars", "reason", "kind", F.round("score", 3).alias("shown"), F.when(kept, sizes).otherwise(F.array().cast("array<int>")).alias("sizes"))
+    rows = rows.select("chars", "reason", "kind", "shown", F.size("sizes").cast("long").alias("n"), F.aggregate("sizes", F.lit(0).cast("long"), lambda t, x: t + x + 2).alias("bytes"))
+    some, zero = F.count_if, lambda c: F.coalesce(c, F.lit(0))
+    external = F.sum(F.when(F.col("kind") == "external", F.col("n")))
+    return rows.agg(
         F.count(F.lit(1)).alias("total_docs"),
-        some((shown >= threshold) & (F.col("reason") == "")).alias("docs_passing_filter"),
+        some((F.col("shown") >= threshold) & (F.col("reason") == "")).alias("docs_passing_filter"),
         some(F.col("reason").contains("personal document") | F.col("reason").contains("script")).alias("docs_filtered_personal"),
-        some((F.col("reason") == "") & (shown < threshold)).alias("docs_filtered_quality"),
-        F.coalesce(F.sum("chars"), F.lit(0)).alias("total_chars_raw"),
-        F.coalesce(F.round(F.avg(shown), 3), F.lit(0.0)).alias("avg_quality_score"),
+        some((F.col("reason") == "") & (F.col("shown") < threshold)).alias("docs_filtered_quality"),
+        zero(F.sum("chars")).alias("total_chars_raw"),
+        F.coalesce(F.round(F.avg("shown"), 3), F.lit(0.0)).alias("avg_quality_score"),
         some((F.col("kind") == "external") & (F.col("reason") == "")).alias("external_docs"),
         some((F.col("kind") == "internal") & (F.col("reason") == "")).alias("internal_docs"),
+        zero(F.sum("n")).alias("total_chunks"),
+        zero(external).alias("external_chunks"),
+        zero(F.sum(F.when(F.col("kind") == "internal", F.col("n")))).alias("internal_chunks"),
+        F.coalesce(F.round(external / F.nullif(F.sum("n"), F.lit(0)), 3), F.lit(0.0)).alias("external_fraction"),
+        F.greatest(zero(F.sum("bytes")) - 2, F.lit(0)).alias("total_chars_cleaned"),
     )
-    parts = chunks.agg(
-        F.count(F.lit(1)).alias("total_chunks"),
-        some(F.col("kind") == "external").alias("external_chunks"),
-        some(F.col("kind") == "internal").alias("internal_chunks"),
-        F.coalesce(F.round(some(F.col("kind") == "external") / F.nullif(F.count(F.lit(1)), F.lit(0)), 3), F.lit(0.0)).alias("external_fraction"),
-        F.greatest(F.coalesce(F.sum(F.octet_length("chunk") + 2), F.lit(0)) - 2, F.lit(0)).alias("total_chars_cleaned"),
-    )
-    return of.crossJoin(F.broadcast(parts))  # one row each
 
 
 def by_source(docs: DataFrame) -> DataFrame:

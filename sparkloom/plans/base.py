@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.functions import fixed
+from sparkloom.shared import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,8 +29,13 @@ class Plans:
         return register
 
 
+#: Tables with long texts, on which work is worth being spread.
+TEXTS = {"documents", "web_pages", "sample_results", "prompts", "qa_train"}
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 def quote(value: object) -> str:

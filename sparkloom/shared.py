@@ -26,3 +26,9 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer than half as many tasks, as one small file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df

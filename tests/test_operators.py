@@ -18,7 +18,7 @@ DOC = "doc_id long, title string, text string, source string, url string, clash
 def test_empty_table_and_nulls_in_every_column(spark):
     none = spark.createDataFrame([], DOC)
     scored = quality.scored(quality.normalised(none))
-    assert quality.report(scored, chunking.chunk_documents(scored)).first().total_docs == 0
+    assert quality.report(scored).first().total_docs == 0
     rows = quality.scored(quality.normalised(spark.createDataFrame([(None, None, None, None, None, None), (1, "t", "", "WEB ", "", "x")], DOC))).collect()
     assert {(r.reason, r.source) for r in rows} == {("empty document", "unknown"), ("empty document", "web")}
 
