@@ -11,14 +11,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from sparkloom.llm import textkernel
+from sparkloom.shared import spread
 
 #: Fewer lines, fingerprints or rules than this are broadcast; beyond it the same rows are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the input folder."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table of the input folder; one small file is spread over all cores."""
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def map_chunks(df: DataFrame, text: str, schema: str, function: Callable[[dict], dict], size: int = 600_000) -> DataFrame:
