@@ -103,3 +103,8 @@ def sample_window(c: Column, most: int = fixed.SAMPLE_WINDOW) -> Column:
     middle = F.substring(c, F.floor(F.length(c) / 2).cast("int") - third // 2 + 1, F.lit(third))
     joined = F.concat(F.substring(c, 1, third), F.lit(f"\n\n{fixed.MIDDLE_MARK}\n\n"), middle, F.lit(f"\n\n{fixed.END_MARK}\n\n"), F.right(c, F.lit(third)))
     return F.when(F.length(c) <= most, c).otherwise(joined)
+
+
+def rounded(c: Column, places: int) -> Column:
+    """Half up, ties decided alike whatever the order in which a mean was summed up."""
+    return F.floor(c * 10**places + 0.5000001) / 10**places

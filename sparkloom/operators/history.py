@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text
+
 
 def recent(runs: DataFrame, count: int, time: str = "started_at", key: str = "id") -> DataFrame:
     """The newest ``count`` rows; ties go to the larger key."""
@@ -14,7 +16,7 @@ def recent(runs: DataFrame, count: int, time: str = "started_at", key: str = "id
 def run_statistics(runs: DataFrame) -> DataFrame:
     """One row: runs by status and means of what was measured."""
     is_ = lambda s: F.count_if(F.lower(F.col("status")) == s)
-    return runs.agg(F.count(F.lit(1)).alias("runs"), is_("completed").alias("completed"), is_("failed").alias("failed"), is_("running").alias("running"), F.round(F.avg("avg_score"), 3).alias("avg_score"), F.round(F.avg("pass_rate"), 3).alias("pass_rate"), F.round(F.avg("weighted_eval"), 3).alias("weighted_eval"))
+    return runs.agg(F.count(F.lit(1)).alias("runs"), is_("completed").alias("completed"), is_("failed").alias("failed"), is_("running").alias("running"), text.rounded(F.avg("avg_score"), 3).alias("avg_score"), text.rounded(F.avg("pass_rate"), 3).alias("pass_rate"), text.rounded(F.avg("weighted_eval"), 3).alias("weighted_eval"))
 
 
 def append(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
@@ -61,7 +63,7 @@ def cache_statistics(cache: DataFrame) -> DataFrame:
 
 def roll_up(metrics: DataFrame, run: str = "run_id") -> DataFrame:
     """Mean score and pass rate over the iterations of each run, to four places."""
-    return metrics.groupBy(run).agg(F.count(F.lit(1)).alias("iterations"), F.round(F.avg("score"), 4).alias("score"), F.round(F.avg("pass_rate"), 4).alias("pass_rate"))
+    return metrics.groupBy(run).agg(F.count(F.lit(1)).alias("iterations"), text.rounded(F.avg("score"), 4).alias("score"), text.rounded(F.avg("pass_rate"), 4).alias("pass_rate"))
 
 
 def chat_lines(messages: Column, form: str = "colon") -> Column:

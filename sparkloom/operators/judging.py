@@ -65,10 +65,10 @@ def passed(scores: DataFrame, key: str, least: float) -> DataFrame:
 
 def summary(results: DataFrame, group: list[str] = ()) -> DataFrame:
     """Means of the four scores, their spread and the pass rate, to three places."""
-    mean = lambda c: F.round(F.avg(c), 3)
+    mean = lambda c: text.rounded(F.avg(c), 3)
     return results.groupBy(*group).agg(
         F.count(F.lit(1)).alias("samples"), mean("accuracy").alias("accuracy"), mean("relevance").alias("relevance"), mean("completeness").alias("completeness"), mean("overall").alias("overall"),
-        F.round(F.coalesce(F.stddev_samp("overall"), F.lit(0.0)), 3).alias("overall_stdev"), F.round(F.avg(F.col("passed").cast("int")), 3).alias("pass_rate"),
+        text.rounded(F.coalesce(F.stddev_samp("overall"), F.lit(0.0)), 3).alias("overall_stdev"), text.rounded(F.avg(F.col("passed").cast("int")), 3).alias("pass_rate"),
     )
 
 

@@ -73,7 +73,7 @@ def report(docs: DataFrame, threshold: float = fixed.QUALITY_THRESHOLD, size: in
         some(F.col("reason").contains("personal document") | F.col("reason").contains("script")).alias("docs_filtered_personal"),
         some((F.col("reason") == "") & (F.col("shown") < threshold)).alias("docs_filtered_quality"),
         zero(F.sum("chars")).alias("total_chars_raw"),
-        F.coalesce(F.round(F.avg("shown"), 3), F.lit(0.0)).alias("avg_quality_score"),
+        F.coalesce(text.rounded(F.avg("shown"), 3), F.lit(0.0)).alias("avg_quality_score"),
         some((F.col("kind") == "external") & (F.col("reason") == "")).alias("external_docs"),
         some((F.col("kind") == "internal") & (F.col("reason") == "")).alias("internal_docs"),
         zero(F.sum("n")).alias("total_chunks"),
@@ -103,7 +103,7 @@ def best(docs: DataFrame, count: int = 20) -> DataFrame:
 
 def mean_by(df: DataFrame, group: str, value: str, count: int) -> DataFrame:
     """The ``count`` groups with the highest mean of the values that are there."""
-    return df.where(F.col(value).isNotNull()).groupBy(group).agg(F.round(F.avg(value), 4).alias("mean")).orderBy(F.desc("mean"), group).limit(count)
+    return df.where(F.col(value).isNotNull()).groupBy(group).agg(text.rounded(F.avg(value), 4).alias("mean")).orderBy(F.desc("mean"), group).limit(count)
 
 
 def running_mean(df: DataFrame, group: str, order: str, value: str) -> DataFrame:

@@ -289,7 +289,7 @@ _REPORT_CTE = f"{documents_cte()}, {scored_cte()}, kept AS (SELECT doc_id AS id,
 
 
 @plans.add(f"""WITH RECURSIVE {_REPORT_CTE} SELECT * FROM (SELECT count(*) AS total_docs, count(*) FILTER (round(score, 3) >= 0.25 AND reason = '') AS docs_passing_filter, count(*) FILTER (contains(reason, 'personal document') OR contains(reason, 'script')) AS docs_filtered_personal,
-count(*) FILTER (reason = '' AND round(score, 3) < 0.25) AS docs_filtered_quality, CAST(sum(chars) AS BIGINT) AS total_chars_raw, round(avg(round(score, 3)), 3) AS avg_quality_score, count(*) FILTER (kind = 'external' AND reason = '') AS external_docs, count(*) FILTER (kind = 'internal' AND reason = '') AS internal_docs FROM s),
+count(*) FILTER (reason = '' AND round(score, 3) < 0.25) AS docs_filtered_quality, CAST(sum(chars) AS BIGINT) AS total_chars_raw, floor(avg(round(score, 3)) * 1000 + 0.5000001) / 1000 AS avg_quality_score, count(*) FILTER (kind = 'external' AND reason = '') AS external_docs, count(*) FILTER (kind = 'internal' AND reason = '') AS internal_docs FROM s),
 (SELECT count(*) AS total_chunks, count(*) FILTER (kind = 'external') AS external_chunks, count(*) FILTER (kind = 'internal') AS internal_chunks, round(count(*) FILTER (kind = 'external') / count(*), 3) AS external_fraction, CAST(sum(strlen(chunk) + 2) - 2 AS BIGINT) AS total_chars_cleaned FROM c)""")
 def a1_report(spark: SparkSession, d: str) -> DataFrame:
     return quality.report(_scored(spark, d))

@@ -149,7 +149,7 @@ def t15_single_score(spark: SparkSession, d: str) -> DataFrame:
     return _lit(spark, SINGLE, "id int, x string").select("id", judging.single_score(F.col("x")).alias("s")).select("id", "s.*")
 
 
-_SUMMARY = "count(*) AS samples, round(avg(accuracy), 3) AS accuracy, round(avg(relevance), 3) AS relevance, round(avg(completeness), 3) AS completeness, round(avg(overall), 3) AS overall, round(coalesce(stddev_samp(overall), 0), 3) AS overall_stdev, round(avg(CAST(passed AS INT)), 3) AS pass_rate"
+_SUMMARY = "count(*) AS samples, floor(avg(accuracy) * 1000 + 0.5000001) / 1000 AS accuracy, floor(avg(relevance) * 1000 + 0.5000001) / 1000 AS relevance, floor(avg(completeness) * 1000 + 0.5000001) / 1000 AS completeness, floor(avg(overall) * 1000 + 0.5000001) / 1000 AS overall, floor(coalesce(stddev_samp(overall), 0) * 1000 + 0.5000001) / 1000 AS overall_stdev, floor(avg(CAST(passed AS INT)) * 1000 + 0.5000001) / 1000 AS pass_rate"
 
 
 @plans.add(f"SELECT {_SUMMARY} FROM sample_results")
@@ -360,7 +360,7 @@ def k9_program(spark: SparkSession, d: str) -> DataFrame:
 # ---- history and caches ---------------------------------------------------------------------------------------------
 
 
-@plans.add("SELECT count(*) AS runs, count(*) FILTER (lower(status) = 'completed') AS completed, count(*) FILTER (lower(status) = 'failed') AS failed, count(*) FILTER (lower(status) = 'running') AS running, round(avg(avg_score), 3) AS avg_score, round(avg(pass_rate), 3) AS pass_rate, round(avg(weighted_eval), 3) AS weighted_eval FROM runs")
+@plans.add("SELECT count(*) AS runs, count(*) FILTER (lower(status) = 'completed') AS completed, count(*) FILTER (lower(status) = 'failed') AS failed, count(*) FILTER (lower(status) = 'running') AS running, floor(avg(avg_score) * 1000 + 0.5000001) / 1000 AS avg_score, floor(avg(pass_rate) * 1000 + 0.5000001) / 1000 AS pass_rate, floor(avg(weighted_eval) * 1000 + 0.5000001) / 1000 AS weighted_eval FROM runs")
 def a7_run_statistics(spark: SparkSession, d: str) -> DataFrame:
     return history.run_statistics(read(spark, d, "runs"))
 
@@ -375,12 +375,12 @@ def a9_o10_topics(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "runs").where("lower(status) = 'completed'").select("topic").distinct()
 
 
-@plans.add("SELECT judge_model, round(avg(avg_score), 4) AS mean FROM runs WHERE avg_score IS NOT NULL GROUP BY judge_model ORDER BY round(avg(avg_score), 4) DESC, judge_model LIMIT 10")
+@plans.add("SELECT judge_model, floor(avg(avg_score) * 10000 + 0.5000001) / 10000 AS mean FROM runs WHERE avg_score IS NOT NULL GROUP BY judge_model ORDER BY floor(avg(avg_score) * 10000 + 0.5000001) / 10000 DESC, judge_model LIMIT 10")
 def a10_best_groups(spark: SparkSession, d: str) -> DataFrame:
     return quality.mean_by(read(spark, d, "runs"), "judge_model", "avg_score", 10)
 
 
-@plans.add("SELECT run_id, count(*) AS iterations, round(avg(overall), 4) AS score, round(avg(CAST(passed AS INT)), 4) AS pass_rate FROM sample_results GROUP BY run_id")
+@plans.add("SELECT run_id, count(*) AS iterations, floor(avg(overall) * 10000 + 0.5000001) / 10000 AS score, floor(avg(CAST(passed AS INT)) * 10000 + 0.5000001) / 10000 AS pass_rate FROM sample_results GROUP BY run_id")
 def a13_roll_up(spark: SparkSession, d: str) -> DataFrame:
     return history.roll_up(_results(spark, d).select("run_id", F.col("overall").alias("score"), F.col("passed").cast("int").alias("pass_rate")))
 
