@@ -1,14 +1,15 @@
 """Problem 7: records that stand in an evaluation split and in the training split.
 
-Method: passages of the normalised evaluation records, in shards of ``SHARD`` records, make Aho–Corasick automata
-over words. Each scans all training texts; matched intervals are merged into the coverage of each evaluation record.
-What is covered enough is decided by the longest common subsequence of words, exactly.
-
-Passages are ``PASSAGE`` words long and follow each other without a gap; one that more than ``COMMON`` records of its shard
-hold is lengthened to ``LONG_PASSAGE`` words, never dropped. Before two texts are compared in full, the words of one that
-the other may have at all bound what they can have in common. Shards are read from the shared folder, so no fingerprints pass
-through the driver. Equal evaluation records share one class; training rows are scanned each. Null ids are left out;
-null messages and contents count as empty; records without words match nothing.
+Method: an exact prefix filter on words. The words of each record (the second "the" of a record is another word than
+the first) are put in the order of how many records of a shard of ``SHARD`` evaluation records have them, rarest first.
+Two texts that share enough words share ``SHARED`` of them among their first ones, and the longer the other text may be,
+the fewer are the first; so inverted lists by word and length give every pair that can be alike and few others.
+What is alike enough is decided by the longest common subsequence of words, exactly.
+
+No pair is lost at any length, number of edits or size of a group of near copies. Before two texts are compared in full, the
+words of one that the other may have at all bound what they can have in common. Shards are read from the shared folder, so no
+fingerprints pass through the driver. Equal evaluation records share one class; training rows are scanned each. Null ids are
+left out; null messages and contents count as empty; records without words match nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -29,12 +29,17 @@ from sparkloom.llm.base import documents
 from sparkloom.shared import new_path, table
 
 ALIKE = 0.7
-PASSAGE, LONG_PASSAGE, COMMON = 5, 10, 4
-SHARD = 5000
-#: Letters by which a word is spelled for the automaton, out of 64; few, as its states search their letters one by one.
-LETTERS = 3
+#: Words that must be shared among the first ones. More make longer lists to follow, but fewer pairs to compare.
+SHARED = 10
+SHARD = 20_000
+#: Training records whose words a task holds, about; more make more tasks.
+TASK = 50_000
+#: Entries of inverted lists followed, and counters of pairs held, at a time.
+HITS, COUNTERS = 1_000_000, 2_000_000
 #: Bits of the words of a record that bound what a text can have in common with it.
 BITS = 1024
+#: Rounding of products with a share never loses a pair.
+EPSILON = 1e-6
 
 
 def contents(messages: str = "messages") -> Column:
@@ -43,12 +48,6 @@ def contents(messages: str = "messages") -> Column:
     return F.array_join(F.transform(told, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")
 
 
-def spelled(hashes: np.ndarray) -> str:
-    """``LETTERS`` letters for each word, for the automaton only."""
-    shifts = np.arange(LETTERS, dtype=np.uint64) * np.uint64(6)
-    return (((hashes[:, None] >> shifts) & np.uint64(63)).astype(np.uint8) + np.uint8(48)).tobytes().decode("ascii")
-
-
 def common_words(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, with the bits of an integer as one row of the table.
 
@@ -66,82 +65,85 @@ def common_words(a: list[int], b: list[int]) -> int:
     return len(b) - row.bit_count()
 
 
-def _keys(words: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash of the runs of ``length`` words from each place on."""
-    key = length.astype(np.uint64)
+def numbered(words: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Hashes of words with their number among the equal words of their text, so that what two texts share is a set."""
+    order = np.lexsort((words, owner))
+    w, o = words[order], owner[order]
+    at = np.arange(len(w))
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1]) | (o[1:] != o[:-1])
+    nth = at - np.maximum.accumulate(np.where(new, at, 0))
+    out = np.empty_like(words)
     with np.errstate(over="ignore"):
-        for i in range(int(length.max(initial=0))):
-            key = np.where(i < length, K.mix(key * np.uint64(31) + words[np.minimum(at + i, len(words) - 1)]), key)
-    return key
+        out[order] = K.mix(w + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
+def _places(rank: np.ndarray, owner: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The place of each word in its text by ascending rank."""
+    order = np.argsort((owner << 32) + rank + 1)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - first[owner]  # ``owner`` is in order already
+    return place
 
 
 class Shard:
-    """Automaton over the passages of some evaluation records, given as arrays of word hashes."""
+    """Inverted lists of the rarest words of some evaluation records, given as arrays of word hashes."""
 
-    def __init__(self, ids: list[int], records: list[np.ndarray]):
-        self.ids, self.records = ids, records
-        self.size = np.array([len(r) for r in records], dtype=np.int64)
+    def __init__(self, ids: list[int], records: list[np.ndarray], alike: float = ALIKE):
+        order = np.argsort([len(r) for r in records], kind="stable")  # by length, so that lists are
+        self.ids, self.records, self.alike = [ids[i] for i in order], [records[i] for i in order], alike
+        self.size = np.array([len(r) for r in self.records], dtype=np.int64)
         first = np.concatenate([[0], np.cumsum(self.size)])
-        words = np.concatenate([*records, np.zeros(LONG_PASSAGE, np.uint64)])
-        pieces = np.where(self.size > 0, np.maximum(1, -(-self.size // PASSAGE)), 0)
-        record = np.repeat(np.arange(len(records)), pieces)
-        nth = np.arange(len(record)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        n = self.size[record]
-        length = np.minimum(PASSAGE, n)
-        begin = np.minimum(nth * PASSAGE, n - length)
-        key = _keys(words, first[record] + begin, length)
-        _, kind, count = np.unique(key, return_inverse=True, return_counts=True)
-        common = count[kind] > COMMON
-        length = np.where(common, np.minimum(LONG_PASSAGE, n), length)
-        begin = np.minimum(begin, n - length)
-        key = _keys(words, first[record] + begin, length)
-        order = np.lexsort((begin, record, key))
-        once = np.ones(len(order), bool)
-        once[1:] = (np.diff(key[order]) != 0) | (np.diff(record[order]) != 0) | (np.diff(begin[order]) != 0)
-        order = order[once]
-        key = key[order]
-        self.flat = np.stack([record[order], begin[order]], axis=1)
-        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.starts, self.lengths = np.append(new, len(key)), length[order][new]
-        text = spelled(words)
-        self.automaton = ahocorasick.Automaton()
-        at = (first[record] + begin)[order][new]
-        for i, (a, b) in enumerate(zip((at * LETTERS).tolist(), ((at + self.lengths) * LETTERS).tolist())):
-            self.automaton.add_word(text[a:b], i)
-        self.automaton.make_automaton()
-        self.bits = np.zeros((len(records), BITS), bool)
-        self.bits[np.repeat(np.arange(len(records)), self.size), (words[: first[-1]] >> np.uint64(20)) % np.uint64(BITS)] = True
-
-    def scan(self, text: str, bounds: np.ndarray, alike: float) -> tuple[np.ndarray, np.ndarray]:
-        """Training texts and records of all pairs whose coverage and length allow for ``alike``. ``bounds``: where each text begins in ``text``, in words."""
-        if not len(self.lengths):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hits = np.fromiter((x for hit in self.automaton.iter(text) for x in hit), dtype=np.int64).reshape(-1, 2)
-        hits = hits[hits[:, 0] % LETTERS == LETTERS - 1]  # others are out of step with the words
-        which = hits[:, 1]
-        count = self.starts[which + 1] - self.starts[which]
-        doc = np.repeat(np.searchsorted(bounds, hits[:, 0] // LETTERS, "right") - 1, count)
-        place = np.repeat(self.starts[which] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(hits) else np.zeros(0, np.int64)
-        record, begin = self.flat[place, 0], self.flat[place, 1]
-        end = begin + np.repeat(self.lengths[which], count)
-        sizes = np.diff(np.append(bounds, len(text) // LETTERS)) - 1
-        fits = np.minimum(sizes[doc], self.size[record]) >= alike * np.maximum(sizes[doc], self.size[record])
-        doc, record, begin, end = doc[fits], record[fits], begin[fits], end[fits]
-        order = np.lexsort((begin, record, doc))
-        doc, record, begin, end = doc[order], record[order], begin[order], end[order]
-        if not len(doc):
-            return doc, record
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (record[1:] != record[:-1])])
-        pair = np.cumsum(new) - 1
-        wide = 1 << 32
-        reach = np.maximum.accumulate(pair * wide + end)  # intervals of a pair come in order of their begin
-        before = np.where(new, 0, np.concatenate([[0], reach[:-1]]) - pair * wide)
-        covered = np.bincount(pair, weights=np.maximum(0, end - np.maximum(begin, before)))
-        first = np.flatnonzero(new)
-        enough = covered >= np.minimum(PASSAGE, self.size[record[first]])
-        return doc[first[enough]], record[first[enough]]
-
-    def possible(self, doc: np.ndarray, record: np.ndarray, words: np.ndarray, first: np.ndarray, alike: float, block: int = 20_000) -> np.ndarray:
+        words = np.concatenate([np.zeros(0, np.uint64), *self.records])
+        record = np.repeat(np.arange(len(self.records)), self.size)
+        self.words, which, count = np.unique(numbered(words, record), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(count), np.int64)
+        self.rank[np.lexsort((self.words, count))] = np.arange(len(count))
+        rank = self.rank[which]
+        room = SHARED - 1 + self.size[record] - _places(rank, record, first)  # most that pairs here can need to share
+        at = np.flatnonzero(room >= alike * self.size[record] - EPSILON)
+        at = at[np.argsort(rank[at], kind="stable")]
+        self.key, self.record, self.room = (rank[at] << 32) + self.size[record[at]], record[at], room[at]
+        self.bits = np.zeros((len(self.records), BITS), bool)
+        self.bits[record, (words >> np.uint64(20)) % np.uint64(BITS)] = True
+
+    def scan(self, known: np.ndarray, which: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Training texts and records of all pairs that share enough of their rarest words, a block of texts at a time.
+
+        ``known``: the distinct numbered words of the texts in order; ``which``: those of each text, from ``first`` on.
+        """
+        if not len(self.words) or not len(which):
+            return
+        size = np.diff(first)
+        doc = np.repeat(np.arange(len(size)), size)
+        at = np.minimum(np.searchsorted(self.words, known), len(self.words) - 1)
+        rank = np.where(self.words[at] == known, self.rank[at], -1)[which]  # words that no record has are the rarest
+        room = SHARED - 1 + size[doc] - _places(rank, doc, first)
+        need = self.alike * size[doc] - EPSILON
+        use = np.flatnonzero((rank >= 0) & (room >= need))
+        doc, rank, room, need = doc[use], rank[use] << 32, room[use], need[use]
+        low = np.searchsorted(self.key, rank + np.ceil(need).astype(np.int64))
+        high = np.searchsorted(self.key, rank + ((np.minimum(room, size[doc]) + EPSILON) / self.alike).astype(np.int64), "right")
+        count = np.maximum(0, high - low)
+        total = np.concatenate([[0], np.cumsum(count)])
+        mine = np.searchsorted(doc, np.arange(len(size) + 1))  # the words of each text among these
+        until, n, begin = total[mine], len(self.records), 0
+        while begin < len(size):
+            end = max(begin + 1, min(begin + max(1, COUNTERS // n), int(np.searchsorted(until, until[begin] + HITS, "right")) - 1))
+            a, b = mine[begin], mine[end]
+            c = count[a:b]
+            place = np.repeat(low[a:b] - total[a:b], c) + np.arange(total[a], total[b])
+            fits = self.room[place] >= np.repeat(need[a:b], c)
+            hits = np.bincount((np.repeat((doc[a:b] - begin) * n, c) + self.record[place])[fits], minlength=1)
+            enough = lambda longer: np.minimum(SHARED, np.ceil(self.alike * longer - EPSILON))
+            found = np.flatnonzero(hits >= max(1, enough(size[begin:end].min())))
+            docs, records = found // n + begin, found % n
+            keep = hits[found] >= enough(np.maximum(size[docs], self.size[records]))
+            yield docs[keep], records[keep]
+            begin = end
+
+    def possible(self, doc: np.ndarray, record: np.ndarray, words: np.ndarray, first: np.ndarray, block: int = 20_000) -> np.ndarray:
         """Which pairs can be ``alike`` at all: words of the text that the record may have, against the longer one. Loses no pair."""
         out = np.zeros(len(doc), bool)
         spot = ((words >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64)
@@ -152,17 +154,17 @@ class Shard:
             at = np.arange(ends[-1]) + np.repeat(first[d] - np.concatenate([[0], ends[:-1]]), size)
             there = self.bits[np.repeat(r, size), spot[at]]
             shared = np.add.reduceat(there, np.minimum(ends - size, len(there) - 1), dtype=np.int64) if len(there) else np.zeros(len(d), np.int64)
-            out[a : a + block] = shared >= alike * np.maximum(size, self.size[r])
+            out[a : a + block] = shared >= self.alike * np.maximum(size, self.size[r]) - EPSILON
         return out
 
 
-def load_shard(path: str) -> Shard:
+def load_shard(path: str, alike: float = ALIKE) -> Shard:
     where = path if "://" in path else f"file://{path}"
     system, folder = fs.FileSystem.from_uri(where.replace("s3a://", "s3://").replace("file:////", "file:///"))
     rows = pq.read_table(folder, filesystem=system, columns=["class", "words"], partitioning=None)
     values = rows["words"].combine_chunks()
     flat, offsets = values.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(values.value_lengths().fill_null(0).to_numpy())])
-    return Shard(rows["class"].to_pylist(), [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+    return Shard(rows["class"].to_pylist(), [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])], alike)
 
 
 def _scanner(folders: list[str], alike: float):
@@ -182,18 +184,8 @@ def _scanner(folders: list[str], alike: float):
             return
         words, size = np.concatenate(parts), np.concatenate(sizes)
         first = np.concatenate([[0], np.cumsum(size)])
-        row = np.repeat(np.arange(len(size)), size)
-        slots = np.zeros(len(words) + len(size), np.uint64)  # a slot after each text ends it
-        slots[np.arange(len(words)) + row] = words
-        bounds = first[:-1] + np.arange(len(size))
-        letters = np.frombuffer(spelled(slots).encode("ascii"), np.uint8).reshape(-1, LETTERS).copy()
-        letters[bounds + size] = ord(".")  # no passage has a dot
-        text = letters.tobytes().decode("ascii")
-        for folder in folders:
-            shard = load_shard(folder)
-            docs, records = shard.scan(text, bounds, alike)
-            keep = shard.possible(docs, records, words, first, alike)
-            docs, records = docs[keep], records[keep]
+
+        def compared(shard: Shard, docs: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
             found: tuple[list[int], list[int]] = ([], [])
             last, mine = -1, []
             for d, r in zip(docs.tolist(), records.tolist()):
@@ -203,7 +195,14 @@ def _scanner(folders: list[str], alike: float):
                 if common_words(mine, shard.records[r].tolist()) >= alike * max(a, b):
                     found[0].append(ids[d])
                     found[1].append(shard.ids[r])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+
+        known, which = np.unique(numbered(words, np.repeat(np.arange(len(size)), size)), return_inverse=True)
+        for folder in folders:
+            shard = load_shard(folder, alike)
+            for docs, records in shard.scan(known, which, first):
+                keep = shard.possible(docs, records, words, first)
+                yield compared(shard, docs[keep], records[keep])
 
     return run
 
@@ -229,7 +228,7 @@ def overlaps(train: DataFrame, val: DataFrame, alike: float = ALIKE, shard: int
     classes.select("class", "text", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard").mapInArrow(_hashes, "class long, words array<long>, shard int").write.partitionBy("shard").parquet(path)
     there = sorted(r.shard for r in spark.read.schema("class long, words array<long>, shard int").parquet(path).select("shard").distinct().collect())
     rows = documents(train, "record_id", "messages").select("record_id", contents().alias("text"))
-    most = 2 * spark.sparkContext.defaultParallelism  # each task builds every automaton, so tasks are few and long
+    most = max(2 * spark.sparkContext.defaultParallelism, -(-rows.select("record_id").count() // TASK))  # each task reads every shard, so tasks are few and long
     found = rows.coalesce(most).mapInArrow(_scanner([f"{path}/shard={i}" for i in there], alike), "train long, class long")
     ids = members.groupBy("key").agg(F.min("record_id").alias("class")).join(members.select("key", "record_id"), "key").select("class", "record_id")
     pairs = found.join(ids, "class").where("train <> record_id")

@@ -322,6 +322,30 @@ def test_overlaps_match_brute_force(spark):
     assert split_overlap.overlaps(make([]), make([])).count() == 0
 
 
+def edited(rng, body, share):
+    """A text with a share of its words, at random places, replaced by others."""
+    w = body.split()
+    for i in rng.sample(range(len(w)), round(len(w) * share)):
+        w[i] = "other" + str(rng.randint(0, 999))
+    return " ".join(w)
+
+
+def overlaps_and_brute_force(spark, train, val):
+    make = lambda rows: spark.createDataFrame([(i, [("user", t)], None, None, None) for i, t in rows.items()], RECORDS)
+    got = {tuple(r) for r in split_overlap.overlaps(make(train), make(val)).collect()}
+    a, b = {i: words(t) for i, t in train.items()}, {i: words(t) for i, t in val.items()}
+    return got, {(i, j) for i in a for j in b if lcs(a[i], b[j]) >= 0.7 * max(len(a[i]), len(b[j]))}
+
+
+def test_overlaps_in_a_hot_group_of_edited_copies(spark):
+    rng = random.Random(21)
+    base = sentence(rng, 60)
+    val = {1000 + i: edited(rng, base, 0.03) for i in range(60)}
+    train = {i: edited(rng, base, (0.2, 0.25, 0.3)[i % 3]) for i in range(60)}
+    got, want = overlaps_and_brute_force(spark, train, val)
+    assert len(want) > 1000 and got == want
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 
