@@ -346,6 +346,15 @@ def test_overlaps_in_a_hot_group_of_edited_copies(spark):
     assert len(want) > 1000 and got == want
 
 
+def test_overlaps_of_short_records(spark):
+    rng = random.Random(22)
+    told = {1000 + i: sentence(rng, rng.randint(1, 30)) for i in range(150)}
+    train = {i: edited(rng, told[1000 + i], rng.choice((0.1, 0.2, 0.25, 0.3))) for i in range(150)}
+    train[500], told[1500] = "four of five agree", "four of five words agree"
+    got, want = overlaps_and_brute_force(spark, train, told)
+    assert len(want) > 100 and got == want
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 
