@@ -130,8 +130,9 @@ def is_empty(text: str | None) -> bool:
     """Nothing that says anything: blank, only marks, a placeholder or a label."""
     if text is None:
         return True
-    bare = " ".join(_WORDS.findall(plain(text).lower()))
-    return bare in PLACEHOLDERS and not (len(text) > 40)
+    said = plain(text)
+    bare = " ".join(_WORDS.findall(said.lower()))
+    return not bare or bare in PLACEHOLDERS and len(" ".join(said.split())) <= 40
 
 
 def question_of(prompt: str) -> str:
@@ -208,20 +209,21 @@ def is_refusal(text: str) -> bool:
 
 
 def is_copy(question: str, response: str) -> bool:
-    """Whether the response says nothing beyond the question, a word or two aside."""
+    """Whether the response says nothing beyond the question, however often it repeats it, a word or two aside."""
     said = _WORDS.findall(LEADS.sub("", plain(response)).lower())
     if len(said) < 4:
         return False
     asked = _WORDS.findall(LEADS.sub("", question).lower())
-    if not asked or len(said) > 3 * len(asked) + 4:
+    if not asked:
         return False
+    spare = max(2, min(len(said), 3 * len(asked) + 4) // 6)  # more repetitions don't allow for more words of its own
     there = set(asked)
-    if sum(w in there for w in said) < len(said) - max(2, len(said) // 6):
+    if sum(w in there for w in said) < len(said) - spare:
         return False
     automaton = SuffixAutomaton(asked)
     extra = len(said) - automaton.covered(said, 2)
     back = SuffixAutomaton(said).covered(asked, 2)  # a short answer in the question's words is no copy of it
-    return extra <= max(2, len(said) // 6) and back >= 0.6 * len(asked)
+    return extra <= spare and back >= 0.6 * len(asked)
 
 
 def is_foreign(prompt: str, question: str, response: str) -> bool:

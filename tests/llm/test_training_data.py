@@ -177,6 +177,15 @@ def test_defects(prompt, response, want):
     assert answers.defects(prompt, response) == want
 
 
+@pytest.mark.parametrize("response,want", [
+    (" " * 50, ["empty"]), ("\n" * 50, ["empty"]), ("\u200b" * 50, ["empty"]), ("<p></p>" * 10, ["empty"]), ("-" * 50, ["empty"]), ("n/a" + " " * 50, ["empty"]),
+    ("What is the role of the old bridge? " * 5, ["copies_question"]), ("What is the role of the old bridge? " * 40, ["copies_question"]),
+    ("What is the role of the old bridge? " * 5 + "It carries traffic across a river between two large towns.", []),
+])
+def test_defects_at_any_length(response, want):
+    assert answers.defects("What is the role of the old bridge?", response) == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=12), st.lists(st.sampled_from("abcde"), max_size=14), st.integers(1, 3))
 def test_suffix_automaton_coverage(told, said, least):
