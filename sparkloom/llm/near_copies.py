@@ -1,10 +1,10 @@
 """Problem 3: near-duplicate documents.
 
 Method: bottom-k sketches from one hash function over the distinct runs of three words. Inverted lists of
-retained values generate overlaps; a list longer than ``LONG_LIST`` is split by longer runs of retained
-values instead of being paired or dropped, and the pairs that this leaves out in large groups are found through
-common neighbours. The sketch of the union estimates the similarity of each
-candidate; exact Jaccard similarity of the whole sets decides.
+retained values generate overlaps: short lists are paired by a join. Longer ones than ``LONG_LIST`` are followed by an exact
+prefix filter: classes with enough retained values in long lists are read in shards, and each is held against those that share
+enough of the rarest. The sketch of the union estimates the similarity of each candidate; exact Jaccard similarity of the whole
+sets decides. Only the estimate can lose a pair, and none of two sets of up to ``RETAINED`` runs.
 
 Texts with the same set of word runs are one class; only classes are compared, and members are added at the
 end. Null ids and texts of under three words have no pairs; repeated rows of one id are one document.
@@ -12,24 +12,35 @@ end. Null ids and texts of under three words have no pairs; repeated rows of one
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textkernel as K
 from sparkloom.llm.base import documents, map_chunks
-from sparkloom.shared import table
+from sparkloom.shared import new_path, table
 
 RUN = 3
 SIMILARITY = 0.5
 RETAINED = 32
-#: Longer inverted lists are split by runs of two, then of four retained values.
+#: Longer inverted lists are followed in shards, rarest first.
 LONG_LIST = 16
 #: Estimates below are no candidates: 2.8 standard deviations of a 32-value sketch under 0.5.
 ESTIMATE = 0.25
 #: Sketches of fewer values need one shared list only, others two.
 SMALL = 12
+#: Values of long lists that must be shared among the rarest. More make longer lists to follow, but fewer pairs to estimate.
+SHARED = 5
+SHARD = 20_000
+#: Classes that a task holds at most, about.
+TASK = 50_000
+#: Entries of inverted lists followed, and counters of pairs held, at a time.
+HITS, COUNTERS = 1_000_000, 2_000_000
 
 
 def runs_by_text(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,7 +68,7 @@ def _sketch(data: dict) -> dict:
     kept = np.minimum(total, RETAINED)
     offsets = np.concatenate([[0], np.cumsum(kept)])
     at = np.repeat(first[:-1] - offsets[:-1], kept) + np.arange(offsets[-1])
-    return {"doc_id": data["doc_id"], "class": K.signed(K.mix((sums[first[1:]] - sums[first[:-1]]) ^ total.astype(np.uint64))), "size": total.astype(np.int32), "kept": _lists(g[at], offsets)}
+    return {"doc_id": data["doc_id"], "class": K.signed(K.mix((sums[first[1:]] - sums[first[:-1]]) ^ total.astype(np.uint64))), "size": total.astype(np.int32), "kept": _lists(g[at] ^ np.uint64(1 << 63), offsets)}  # in the same order as signed numbers
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -73,27 +84,134 @@ def _pairs(lists: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b").select("a", "b", (F.col("small_a") | F.col("small_b")).alias("small"))
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs of classes that share retained values, from (class, size, kept)."""
-    last = F.size("kept")
-    run = lambda n: F.when(F.col("i") + n <= last, F.xxhash64(F.slice("kept", F.col("i") + 1, n)))
-    rows = classes.select("class", (F.col("size") < SMALL).alias("small"), "kept", F.posexplode("kept").alias("i", "k1"))
-    rows = rows.select("class", "small", "k1", run(2).alias("k2"), run(4).alias("k4"))
-    lists = []
-    for key, longer in (("k1", "k2"), ("k2", "k4"), ("k4", None)):
-        counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        if longer is None:  # what shares a run of four is all but alike: such lists are paired whole
-            lists.append(rows.join(counted, key).select(F.col(key).alias("key"), "class", "small"))
-            break
-        rows = table(rows.join(counted, key), f"lists-{key}")
-        lists.append(rows.where(F.col("n") <= LONG_LIST).select(F.col(key).alias("key"), "class", "small"))
-        rows = rows.where(F.col("n") > LONG_LIST).drop("n", key)
-    found = _pairs(lists[0])
-    for more in lists[1:]:
-        found = found.unionByName(_pairs(more))
+def _rows(classes: DataFrame) -> DataFrame:
+    """class, size, small, k1 (a retained value), n (classes in its list) of all lists of several classes."""
+    rows = classes.select("class", "size", (F.col("size") < SMALL).alias("small"), F.explode("kept").alias("k1"))
+    counted = rows.groupBy("k1").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return table(rows.join(counted, "k1"), "lists")
+
+
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of classes that share retained values of short lists: two, or one where a set is small."""
+    found = _pairs(rows.where(F.col("n") <= LONG_LIST).select(F.col("k1").alias("key"), "class", "small"))
     return found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("hits"), F.max("small").alias("small")).where("hits > 1 or small").select("a", "b")
 
 
+class Shard:
+    """Inverted lists of the rarest values that some classes have in long lists."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by("class")
+        self.id, self.need = rows["class"].to_numpy(), rows["need"].to_numpy().astype(np.int64)
+        self.kept = _padded(rows["kept"].combine_chunks())
+        value, row = _rarest(rows)
+        order = np.lexsort((row, value))
+        self.values, which = np.unique(value[order], return_inverse=True)
+        self.row = row[order]
+        self.key = (which << 32) + self.row
+
+    def scan(self, rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (a < b) of classes of ``rows`` and of the shard that share enough values and whose estimate is likely."""
+        if not len(self.values) or not len(rows):
+            return
+        ids, need = rows["class"].to_numpy(), rows["need"].to_numpy().astype(np.int64)
+        kept = _padded(rows["kept"].combine_chunks())
+        value, row = _rarest(rows)
+        at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
+        there = self.values[at] == value
+        at, row = at[there], row[there]
+        low = np.searchsorted(self.key, (at << 32) + np.searchsorted(self.id, ids, "right")[row])  # classes of larger ids only
+        count = np.searchsorted(self.key, (at + 1) << 32) - low
+        total = np.concatenate([[0], np.cumsum(count)])
+        mine = np.searchsorted(row, np.arange(len(ids) + 1))
+        until, n, begin = total[mine], len(self.id), 0
+        while begin < len(ids):
+            end = max(begin + 1, min(begin + max(1, COUNTERS // n), int(np.searchsorted(until, until[begin] + HITS, "right")) - 1))
+            a, b = mine[begin], mine[end]
+            place = np.repeat(low[a:b] - total[a:b], count[a:b]) + np.arange(total[a], total[b])
+            hits = np.bincount(np.repeat((row[a:b] - begin) * n, count[a:b]) + self.row[place], minlength=1)
+            found = np.flatnonzero(hits >= min(SHARED, need[begin:end].min()))
+            x, y = found // n + begin, found % n
+            keep = hits[found] >= np.minimum(SHARED, np.maximum(need[x], self.need[y]))
+            x, y = x[keep], y[keep]
+            for c in range(0, len(x), 20_000):
+                u, v = x[c : c + 20_000], y[c : c + 20_000]
+                good = likely(kept[u], self.kept[v])
+                yield ids[u[good]], self.id[v[good]]
+            begin = end
+
+
+def _padded(kept: pa.Array) -> np.ndarray:
+    size = kept.value_lengths().to_numpy()
+    out = np.full((len(size), RETAINED), np.iinfo(np.int64).max)
+    out[np.arange(RETAINED) < size[:, None]] = kept.flatten().to_numpy()
+    return out
+
+
+def _rarest(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The values of each row among whose first ones ``SHARED`` are shared if ``need`` are shared at all, and their rows."""
+    values = rows["values"].combine_chunks()
+    size = values.value_lengths().to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    use = place < (size - np.maximum(0, rows["need"].to_numpy() - SHARED))[row]
+    return values.flatten().to_numpy()[use], row[use]
+
+
+def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the sketches of the unions of pairs of padded sketches give an estimate of ``ESTIMATE`` or more."""
+    both = np.sort(np.concatenate([a, b], axis=1), axis=1)
+    real = both < np.iinfo(np.int64).max
+    again = np.zeros(both.shape, bool)
+    again[:, 1:] = both[:, 1:] == both[:, :-1]
+    inside = real & (np.cumsum(~again, axis=1) <= RETAINED)
+    return (again & inside).sum(axis=1) >= ESTIMATE * (~again & inside).sum(axis=1)
+
+
+def _read(path: str) -> pa.Table:
+    where = path if "://" in path else f"file://{path}"
+    system, folder = fs.FileSystem.from_uri(where.replace("s3a://", "s3://").replace("file:////", "file:///"))
+    return pq.read_table(folder, filesystem=system, columns=["class", "need", "values", "kept"], partitioning=None)
+
+
+def _scanner(folders: list[str]):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)  # sketches only
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        for folder in folders:
+            for pair in Shard(_read(folder)).scan(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], schema=schema)
+
+    return run
+
+
+def long_list_pairs(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
+    """Pairs of classes whose estimate is likely and of whose shared values at most one is in a short list.
+
+    Sketches of an estimate of ``ESTIMATE`` share that part of the larger one at least; where the other set must have a whole
+    sketch too, ``similarity`` holds instead. One less is needed here, as two of short lists are found there.
+    """
+    spark = rows.sparkSession
+    least = F.when(F.col("size") <= RETAINED * similarity, F.ceil(F.col("size") * similarity - 1e-9)).otherwise(F.ceil(F.least("size", F.lit(RETAINED)) * min(ESTIMATE, similarity) - 1e-9))
+    values = rows.where(F.col("n") > LONG_LIST).groupBy("class").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "k1"))).alias("v"))
+    values = values.select("class", F.greatest(F.lit(1), least - 1).cast("int").alias("need"), F.col("v.k1").alias("values")).where("size(values) >= need")
+    found = table(values.join(classes.select("class", "kept"), "class"), "long")
+    path = new_path(spark, "shards")
+    count = found.count()
+    shards = max(1, -(-count // shard))
+    found.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    there = sorted(r.shard for r in spark.read.schema(f"{_LONG}, shard int").parquet(path).select("shard").distinct().collect())
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-count // TASK))  # each task reads every shard, so tasks are few and long
+    return found.repartition(tasks).mapInArrow(_scanner([f"{path}/shard={i}" for i in there]), "a long, b long")
+
+
+_LONG = "class long, need int, values array<long>, kept array<long>"
+
+
 def _runs(data: dict) -> dict:
     g, first = runs_by_text(data["text"], RUN)
     return {"class": data["class"], "runs": _lists(g, first)}
@@ -105,31 +223,17 @@ def class_pairs(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILA
     side = lambda x: classes.select(F.col("class").alias(x), F.col("kept").alias(f"kept_{x}"))
     union = F.slice(F.array_sort(F.array_union("kept_a", "kept_b")), 1, RETAINED)
     both = F.array_intersect(union, F.array_intersect("kept_a", "kept_b"))
-    likely = table(candidates(classes).join(side("a"), "a").join(side("b"), "b").where(F.size(both) >= ESTIMATE * F.size(union)).select("a", "b"), "likely")
+    rows = _rows(classes)
+    few = candidates(rows).join(side("a"), "a").join(side("b"), "b").where(F.size(both) >= ESTIMATE * F.size(union)).select("a", "b")
+    likely = table(few.unionByName(long_list_pairs(rows, classes, similarity)).distinct(), "likely")
     wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
     texts = documents(docs, "doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
     runs = table(map_chunks(texts.select("class", "text"), "text", "class long, runs array<long>", _runs), "runs")
     side = lambda x: runs.select(F.col("class").alias(x), F.col("runs").alias(f"runs_{x}"))
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
-        return both.select("a", "b", (F.col("shared") / (F.size("runs_a") + F.size("runs_b") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= similarity)
-
-    first = table(verify(likely), "verified")
-    return first.unionByName(verify(_by_neighbours(first).join(likely, ["a", "b"], "left_anti")))
-
-
-def _by_neighbours(pairs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose classes meet at a hub: the smallest, the largest or a hashed neighbour of one of them.
-
-    In a large group of copies, where lists are split by runs, this finds pairs that share no short list; its rows are
-    as many as the pairs of the groups, not their square.
-    """
-    edges = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
-    hubs = edges.groupBy("u").agg(F.array(F.min("v"), F.max("v"), F.min_by("v", F.xxhash64("v"))).alias("h")).select("u", F.explode(F.array_distinct("h")).alias("hub"))
-    met = hubs.join(edges.select(F.col("u").alias("hub"), F.col("v").alias("w")), "hub").where("u <> w")
-    return met.select(F.least("u", "w").alias("a"), F.greatest("u", "w").alias("b")).distinct()
+    both = likely.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
+    return both.select("a", "b", (F.col("shared") / (F.size("runs_a") + F.size("runs_b") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= similarity)
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -152,6 +152,16 @@ def test_near_copies_match_brute_force_with_a_hot_group(spark):
     assert near_copies.near_copies(docs(spark, [])).count() == 0
 
 
+def test_near_copies_in_hot_groups_of_short_texts(spark):
+    rng = random.Random(31)
+    rows = []
+    for group, n in enumerate((5, 6, 8, 12)):
+        base = sentence(rng, n)
+        rows += [(1000 * group + i, edited(rng, base, rng.choice((0, 1, 2)) / n) + " " + sentence(rng, rng.randint(0, 2))) for i in range(150)]
+    got, want = {tuple(r) for r in near_copies.near_copies(docs(spark, rows)).collect()}, brute_pairs(rows)
+    assert len(want) > 1000 and got == want
+
+
 def test_groups_of_a_long_chain(spark):
     members = spark.createDataFrame([(i, 1000 + i) for i in range(40)] + [(99, 5)], "class long, doc_id long")
     pairs = spark.createDataFrame([(i, i + 1, 1.0) for i in range(39)], "a long, b long, similarity double")
