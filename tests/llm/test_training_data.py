@@ -162,6 +162,17 @@ def test_near_copies_in_hot_groups_of_short_texts(spark):
     assert len(want) > 1000 and got == want
 
 
+def test_near_copies_around_the_threshold_in_hot_groups(spark):
+    rng = random.Random(32)
+    rows = []
+    for group, (n, share) in enumerate(((60, 1 / 15), (150, 1 / 15), (300, 1 / 15))):
+        base = sentence(rng, n)
+        rows += [(1000 * group + i, edited(rng, base, share)) for i in range(150)]
+    got, want = {tuple(r) for r in near_copies.near_copies(docs(spark, rows)).collect()}, brute_pairs(rows)
+    assert len(want) > 1000 and not got - want
+    assert len(got) >= 0.999 * len(want)
+
+
 def test_groups_of_a_long_chain(spark):
     members = spark.createDataFrame([(i, 1000 + i) for i in range(40)] + [(99, 5)], "class long, doc_id long")
     pairs = spark.createDataFrame([(i, i + 1, 1.0) for i in range(39)], "a long, b long, similarity double")
