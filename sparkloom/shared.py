@@ -7,16 +7,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Only inputs of at most so many bytes are spread by a shuffle; larger ones make enough tasks by their size.
+SPREAD_BYTES = 1 << 30
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``. Only where that is unset (tests on one machine) is a local one made."""
+    """The folder named by ``spark.checkpoint.dir``. Only on one machine (tests), where that is unset, is a local one made."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{shared_dir(spark)}/sparkloom/{spark.sparkContext.applicationId}"
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back: later reads share it, and a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, name)
@@ -25,10 +35,27 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
+    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. DataFrames that still read them fail afterwards."""
+    remove(spark, session_dir(spark))
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its files make fewer than half as many tasks, as one small file does; else as it is."""
+    """``df`` over all cores where it is small and its files make fewer than half as many tasks, as one file does; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() < cores else df
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    return df.repartition(cores) if small and 2 * df.rdd.getNumPartitions() < cores else df
