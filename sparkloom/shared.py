@@ -57,5 +57,5 @@ def cleanup(spark: SparkSession) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it is small and its files make fewer than half as many tasks, as one file does; else as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= SPREAD_BYTES
+    small = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= SPREAD_BYTES
     return df.repartition(cores) if small and 2 * df.rdd.getNumPartitions() < cores else df
