@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import answers, leaks, mixture, near_copies, page_bodies, site_lines, split_overlap, splitting, subject_areas, text_forms
+from sparkloom.llm import answers, form_labels, leaks, mixture, near_copies, page_bodies, site_lines, split_overlap, splitting, subject_areas, text_forms
 from sparkloom.llm.base import read
 from sparkloom.shared import table
 
@@ -15,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return text_forms.forms(text_forms.document_figures(read(spark, d, "documents"))).where("form <> 'prose'").select("doc_id", "form")
+    return text_forms.forms(read(spark, d, "documents")).where("form <> 'prose'").select("doc_id", "form")
 
 
 def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -23,7 +24,17 @@ def p1_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return site_lines.repeated_lines(read(spark, d, "documents"))
+    docs = read(spark, d, "documents")
+    return site_lines.repeated_lines(docs, site_lines.by_arrival(docs))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every text without its site's recurring lines."""
+    docs = read(spark, d, "documents")
+    state = site_lines.LineCounts(spark)
+    for batch, part in site_lines.by_arrival(docs):
+        state.add(batch, part)
+    return site_lines.cleaned(docs, state.recurring())
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -77,20 +88,38 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("part"), 3).alias("weight"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p10_found, p10_composition)}
 # SQL of the cases where it can say the same: words, runs of words and lines as texts instead of hashes.
 _PLAIN = r"replace(lower(nfc_normalize(regexp_replace({x}, '\p{{Cf}}', '', 'g'))), 'ß', 'ss')"
 _WORDS = "list_filter(regexp_split_to_array(" + _PLAIN.format(x="text") + r", '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
 _SITE = r"""CASE WHEN lower(trim(coalesce(url, ''))) = '' OR starts_with(lower(trim(url)), 'file:') THEN lower(trim(coalesce(source, '')))
 ELSE regexp_extract(lower(trim(url)), '^(?:[a-z][a-z0-9+.\-]*:)?(?://)?(?:[^/?#@]*@)?(?:www\.)?([^/?#:]*)', 1) END"""
 
-ORACLE: dict[str, str] = {
-    "p2_found": rf"""WITH raw AS (SELECT row_number() OVER () AS r, doc_id, {_SITE} AS site, string_split(text, chr(10)) AS ls FROM documents),
+_RECURRING = rf"""raw AS (SELECT row_number() OVER () AS r, doc_id, {_SITE} AS site, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT r, doc_id, site, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM raw WHERE ls IS NOT NULL),
 k AS (SELECT r, doc_id, site, line_no, trim(regexp_replace({_PLAIN.format(x="line")}, '[^\p{{L}}\p{{M}}]+', ' ', 'g')) AS key FROM l),
 n AS (SELECT site, count(*) AS docs FROM raw GROUP BY site),
-f AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, docs HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) * 10 >= docs)
+f AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, docs HAVING count(DISTINCT r) >= 5 AND count(DISTINCT r) * 10 >= docs)"""
+# all characters but spaces and controls; figures of lines that show any, recurring ones aside
+_SHOWN = r"regexp_replace({x}, '[\p{{Z}}\p{{C}}]+', '', 'g')"
+_COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for x in form_labels.GLUE | form_labels.ARTICLES for w in re.findall(r"[^\W_]+", x)}))
+
+ORACLE: dict[str, str] = {
+    "p1_statistics": rf"""WITH {_RECURRING},
+v AS (SELECT k.doc_id, replace(nfc_normalize(regexp_replace(l.line, '\p{{Cf}}', '', 'g')), 'ß', 'ss') AS line FROM l JOIN k USING (r, line_no) LEFT JOIN f ON f.site = k.site AND f.key = k.key WHERE f.key IS NULL),
+c AS (SELECT doc_id, {_SHOWN.format(x="line")} AS shown, list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '') AS w,
+regexp_matches(line, '[.!?…]["”’)»'']?[\p{{Z}}\p{{C}}]*$') AS ended, length(regexp_replace(regexp_replace(regexp_replace(line, '[.!?…]{{2,}}', '~', 'g'), '[.!?…](["”’)»'']|[\p{{Z}}\p{{C}}]|$)', chr(1), 'g'), '[^\x01]', '', 'g')) AS stops,
+length(regexp_replace(line, '[^\p{{L}}\p{{M}}]', '', 'g')) AS letters, length(regexp_replace(line, '[\p{{L}}\p{{M}}\p{{N}}\p{{Z}}\p{{C}}.,:;!?…''"()–—‘’“”„«»/%&-]', '', 'g')) AS symbols FROM v),
+s AS (SELECT doc_id, count(*) AS lines, sum(length(shown)) AS chars, sum(len(w)) AS words, sum(stops) AS sentences, sum(letters) AS letters, sum(symbols) AS symbols, count(*) FILTER (ended) AS ended, sum(len(list_filter(w, lambda x: x IN ({_COMMON})))) AS common FROM c WHERE shown <> '' GROUP BY doc_id),
+t AS (SELECT * FROM doc_stats WHERE doc_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY analyzed_at DESC NULLS LAST, words DESC NULLS LAST, sentences DESC NULLS LAST, quality_score DESC NULLS LAST) = 1)
+SELECT d.doc_id, CAST(coalesce(lines, 0) AS BIGINT) AS lines, CAST(coalesce(s.chars, 0) AS BIGINT) AS chars, CAST(coalesce(s.words, 0) AS BIGINT) AS words, CAST(coalesce(s.sentences, 0) AS BIGINT) AS sentences,
+coalesce(round(letters / nullif(s.words, 0), 9), 0) AS mean_word, coalesce(round(symbols / nullif(s.chars, 0), 9), 0) AS symbol_share, coalesce(round(ended / nullif(lines, 0), 9), 0) AS ended_lines, coalesce(round(common / nullif(s.words, 0), 9), 0) AS common_words,
+t.words AS stored_words, t.sentences AS stored_sentences, t.quality_score FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "p2_found": rf"""WITH {_RECURRING}
 SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING (site, key)""",
+    "p2_clean": rf"""WITH {_RECURRING},
+m AS (SELECT k.r, k.doc_id, k.line_no, l.line, f.key IS NOT NULL AS gone FROM l JOIN k USING (r, line_no) LEFT JOIN f ON f.site = k.site AND f.key = k.key)
+SELECT d.doc_id, CASE WHEN d.ls IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') END AS text, CAST(coalesce(count(*) FILTER (gone), 0) AS INTEGER) AS removed FROM raw d LEFT JOIN m USING (r) GROUP BY d.r, d.doc_id, d.ls""",
     "p3_found": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
+TRIES = 8
+
 
 @dataclass
 class Rule:
@@ -66,13 +68,15 @@ def _prune(rule: Rule, x: dict[str, np.ndarray], y: np.ndarray) -> Rule:
 def learn(x: dict[str, np.ndarray], labels: np.ndarray, order: list[str], seed: int = 7, cuts: int = 48) -> list[Rule]:
     """Rules for the classes of ``order`` in that order; what no rule takes belongs to none of them.
 
-    Two thirds of the rows grow a rule, the rest prunes it; a class is done when a rule errs more often than not.
+    Two thirds of the rows grow a rule, the rest prunes it; a class is done when ``TRIES`` partitions of the rows in succession
+    give rules that err more often than one time in four.
     """
     rng = np.random.default_rng(seed)
     rules: list[Rule] = []
     left = np.ones(len(labels), bool)
     for label in order:
-        while (labels[left] == label).any():
+        failed = 0
+        while failed < TRIES and (labels[left] == label).any():
             at = np.flatnonzero(left)
             rng.shuffle(at)
             grow, prune = at[: 2 * len(at) // 3], at[2 * len(at) // 3 :]
@@ -80,8 +84,10 @@ def learn(x: dict[str, np.ndarray], labels: np.ndarray, order: list[str], seed:
             rule = _prune(_grow(*take(grow), label, cuts), *take(prune))
             px, py = take(prune)
             inside = rule.holds(px)
-            if not rule.tests or (inside & ~py).sum() * 2 >= max(1, inside.sum()):
-                break
+            if not rule.tests or (inside & ~py).sum() * 4 >= max(1, inside.sum()):
+                failed += 1
+                continue
+            failed = 0
             rules.append(rule)
             left &= ~rule.holds(x)
     return rules

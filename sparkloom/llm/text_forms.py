@@ -3,240 +3,219 @@
 Method: an ordered rule list is induced by incremental reduced-error pruning on labelled documents; the learned
 thresholds become a SQL CASE expression over the figures, which Spark evaluates natively.
 
-The labelled documents are composed here (``labelled``) of passages whose form is known, ``TRAINING`` of them, so that
-no table needs labels. The figures of a document leave out the lines that recur on its site. A null or empty text
-has zero figures and the form ``prose``; a document without ``doc_stats`` has nulls for the figures stored there.
+The figures are plain ones (words, word length, symbols, ended lines, common words, delimiters …), counted line by line
+in numpy and summed up by document, so that a site's recurring lines drop out by a join of line hashes and no text moves.
+The labelled documents are ``SAMPLE`` real ones of the table, chosen by a hash of their id and rated by ``form_labels``;
+a table with fewer than ``LEAST`` is filled up with composed documents of known form.
+
+A null or empty text has zero figures and the form ``prose``; a repeated row of one id adds its figures to the others;
+null ids are left out; a document without ``doc_stats`` has nulls for the figures stored there.
 """
 
 from __future__ import annotations
 
-import random
-import re
-from functools import cache
+import unicodedata
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm import rule_lists, site_lines
-from sparkloom.llm.base import documents, map_chunks
-from sparkloom.llm.languages import STOPWORDS
+from sparkloom.llm import form_labels, rule_lists, site_lines
+from sparkloom.llm import textkernel as K
+from sparkloom.llm.base import BROADCAST_ROWS, documents, map_chunks, site
+from sparkloom.shared import table
 
 #: Labelled documents that the rules are learned from.
-TRAINING = 900
-FORMS = ["junk", "table", "list"]
-COMMON = frozenset(w for words in STOPWORDS.values() for w in words.split())
-
-SHARES = ["marked", "linked", "leaders", "inline", "defined", "brief", "cells", "log", "dump", "spaced", "noise", "heap", "prose"]
-FIGURES = ["chars", "words", "mean_word", "symbols", "ended_lines", "common_words", "sentences", *SHARES, "entries", "junk"]
-SCHEMA = "doc_id long, " + ", ".join(f"{f} double" for f in FIGURES)
-
-_MARK = re.compile(r"(?:[-*•‣◦·–—+»]|\(?\d{1,3}[.)]|\(?[a-z][.)]|\[[ xX]\])\s+\S")
-_LINK = re.compile(r"\S.*\s<?(?:https?://|www\.)\S+$|^<?(?:https?://|www\.)\S+$")
-_LEADER = re.compile(r"\S\s*(?:\.\s?){4,}\s*\d*$")
-_RULE = re.compile(r"[|│┃+:\-=─━┼┬┴├┤┌┐└┘\s]{4,}$")
-_CSV = re.compile(r"^(?:\"[^\"]*\"|[^,\"]*)(?:,(?! )(?:\"[^\"]*\"|[^,\"]*)){2,}$")
-_SEMI = re.compile(r"^(?:\"[^\"]*\"|[^;\"]*)(?:;(?! )(?:\"[^\"]*\"|[^;\"]*)){1,}$")
-_ALIGNED = re.compile(r"\S {3,}\S")
-_LOG = re.compile(r"\[?(?:\d{4}[-/]\d\d[-/]\d\d[T ]\d\d:\d\d|\d\d:\d\d:\d\d|[A-Z][a-z]{2} \d\d? \d\d:\d\d)|(?:INFO|WARN|WARNING|ERR|ERROR|DEBUG|TRACE|FATAL)\b[ :\[]")
-_DUMP = re.compile(r"(?:[0-9a-f]{6,}:?\s+)?(?:[0-9a-fA-F]{2,4}\s){6,}|[A-Za-z0-9+/=]{40,}$|(?:0x[0-9a-fA-F]+[\s,]*){3,}")
-_SPACED = re.compile(r"(?:\w ){5,}\w?")
-_END = re.compile(r"[.!?…]+[\"”’)]*(?:\s|$)")
-_INSIDE = re.compile(r"[^\W\d_]")
-_ODD = re.compile(r"[^\w\s.,;:!?'\"()\-–—‘’“”„«»…/%&·•]|[ÃÂÐ�]|(?<=\w)[¿§¶¤€™](?=\w)")
-_INVISIBLE = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad]")
-
-
-def shape(line: str, odd: int) -> str | None:
-    """What a line with ``odd`` unusual characters looks like alone; None where the lines around it decide."""
-    if _LOG.match(line):
-        return "log"
-    if _DUMP.match(line):
-        return "dump"
-    if _SPACED.search(line) and len(_SPACED.sub("", line)) * 2 < len(line):
-        return "spaced"
-    if ("..." in line or ". ." in line) and _LEADER.search(line):
-        return "leaders"
-    bars = line.count("|") + line.count("│") + line.count("┃")
-    ruled = len(line) > 3 and _RULE.match(line)
-    if ruled or (bars >= 2 and (odd - bars) * 4 < len(line)) or (bars and (odd - bars) * 10 < len(line)):
-        return "cells"
-    linked = ("://" in line or "www." in line) and _LINK.match(line)
-    if (odd - bars) * 9 > len(line) and not linked:
-        return "noise"
-    if "\t" in line or "   " in line and _ALIGNED.search(line) and not _END.search(line[:-1]):
-        return "cells"
-    if linked:
-        return "linked"
-    if _MARK.match(line):
-        return "marked"
-    if line.count(",") - line.count(", ") >= 2 and _CSV.match(line):
-        return "cells"
-    if ";" in line:
-        if _SEMI.match(line) and not _END.search(line):
-            return "cells"
-        if line.count("; ") >= 2 and not _END.search(line[:-1]) or line.endswith(";") and line.count(";") >= 2:
-            return "inline"
-    return None
-
-
-def figures(text: str | None, skip: frozenset[int] | set[int] = frozenset()) -> dict[str, float]:
-    """All figures of a text; shares count characters of stripped lines, those numbered in ``skip`` aside."""
-    parts: dict[str, int] = dict.fromkeys(SHARES, 0)
-    chars = words = letters = symbols = lines = ended = common = sentences = 0
-    block: list[str] = []
-
-    def close() -> None:
-        """Lines that follow each other without a blank one: prose, brief entries or a heap of words."""
-        nonlocal sentences
-        if not block:
-            return
-        size = sum(map(len, block))
-        joined = " ".join(block)
-        stops = len(_END.findall(joined))
-        sentences += stops
-        tokens = joined.lower().split()
-        if stops and (size < 260 * stops or block[-1][-1:] in ".!?…\"”"):
-            plain = [x for x in block if len(x) >= 60 or _END.search(x)]
-            loose = 0
-            if stops < len(block) and sum(map(len, plain)) < size // 2 and max(map(len, block)) < 60 and stops * 4 < len(block):
-                loose = sum(len(x) for x in block if not _END.search(x))  # entries with a sentence among them
-            parts["brief"] += loose
-            parts["prose"] += size - loose
-        elif size / len(block) >= 55 and len(tokens) >= 12:
-            kept = len(set(tokens)) * 10 > 7 * len(tokens) and re.search(r"[,:]", joined)
-            parts["prose" if kept else "heap"] += size
-        else:
-            for x in block:
-                parts["defined" if ": " in x[:-1] else "brief"] += len(x)
-        block.clear()
-
-    for number, raw in enumerate((text or "").split("\n")):
-        line = _INVISIBLE.sub("", raw).replace("\xa0", " ").strip(" \r\f\v").strip("\t\r ") if number not in skip else ""
-        if not line:
-            if number not in skip:
-                close()
-            continue
-        chars += len(line)
-        lines += 1
-        tokens = line.lower().split()
-        words += len(tokens)
-        letters += sum(map(len, tokens))
-        odd = len(_ODD.findall(line)) if _ODD.search(line) else 0
-        symbols += odd
-        ended += line[-1] in ".!?…"
-        common += len([t for t in tokens if t in COMMON])
-        kind = shape(line, odd)
-        if kind is None:
-            block.append(line)
-        else:
-            close()
-            parts[kind] += len(line)
-    close()
-    total = max(chars, 1)
-    out = {"chars": chars, "words": words, "mean_word": letters / max(words, 1), "symbols": symbols / total, "ended_lines": ended / max(lines, 1), "common_words": common / max(words, 1), "sentences": sentences}
-    out |= {k: v / total for k, v in parts.items()}
-    out["entries"] = sum(out[k] for k in ("marked", "linked", "leaders", "inline", "defined", "brief"))
-    out["junk"] = sum(out[k] for k in ("log", "dump", "spaced", "noise", "heap"))
-    return {k: float(v) for k, v in out.items()}
-
-
-# ---- labelled documents -------------------------------------------------------------------------------------------
-
-_NOUNS = "river engine meadow lantern harvest signal bridge kettle orchard compass quarry ferry loom archive pump valley beacon cellar garden tower".split()
-_ADJECTIVES = "old quiet narrow heavy plain early late broken steady public small deep".split()
-
-
-def _passage(kind: str, rng: random.Random) -> list[str]:
-    """Some lines of one form."""
-    noun, adj = lambda: rng.choice(_NOUNS), lambda: rng.choice(_ADJECTIVES)
-    name = lambda: "".join(rng.choice(["ka", "mor", "tel", "vin", "dra", "sul", "ben", "or"]) for _ in range(3)).title()
-    entry = lambda: rng.choice([lambda: f"{adj()} {noun()} of {name()}", lambda: f"{noun()} ({name()})", lambda: f"{noun()}, {noun()} and {noun()}", lambda: f"{name()} {noun()}"])()
-    cell = lambda: rng.choice([str(rng.randint(1, 9999)), f"{rng.random() * 99:.2f}", "n/a", "-", name(), f"{rng.randint(1, 99)}%"])
-    n = rng.randint(4, 14)
-    if kind == "prose":
-        told = " ".join(f"{rng.choice(['The', 'A', 'Every'])} {adj()} {noun()} near {name()} {rng.choice(['was seen', 'had been moved', 'is kept'])} {rng.choice(['before', 'after', 'beside'])} the {noun()} and the {adj()} {noun()}{rng.choice(['', ', they say', ' of ' + name()])}." for _ in range(n))
-        if rng.random() < 0.5:
-            return [told]
-        wide, out = rng.randint(50, 90), [""]
-        for word in told.split():
-            if len(out[-1]) + len(word) > wide:
-                out.append("")
-            out[-1] = f"{out[-1]} {word}".strip()
-        return out
-    if kind == "list":
-        form = rng.choice(["mark", "number", "brief", "inline", "link", "leader", "defined"])
-        if form == "inline":
-            return ["; ".join(entry() for _ in range(rng.randint(4, 8))) for _ in range(max(1, n // 3))]
-        mark = rng.choice(["- ", "* ", "• ", "– "])
-        make = {"mark": lambda i: mark + entry(), "number": lambda i: f"{i + 1}{rng.choice('.)')} {entry()}", "brief": lambda i: entry(), "link": lambda i: f"{entry()} https://{name().lower()}.example/{noun()}", "leader": lambda i: f"{entry()} {'.' * rng.randint(6, 30)} {i + 3}", "defined": lambda i: f"{name()}: {entry()}"}[form]
-        return [make(i) for i in range(n)]
-    if kind == "table":
-        form, k = rng.choice(["bar", "box", "tab", "comma", "semi", "aligned"]), rng.randint(2, 5)
-        rows = [[entry() if form != "comma" else f'"{entry()}"', *(cell() for _ in range(k))] for _ in range(n)]
-        if form == "bar":
-            return [f"| {' | '.join(r)} |" for r in [rows[0], ["---"] * (k + 1), *rows[1:]]]
-        if form == "aligned":
-            return ["".join(c.ljust(28) for c in r).rstrip() for r in rows]
-        return [{"box": " │ ", "tab": "\t", "comma": ",", "semi": ";"}[form].join(r) for r in rows]
-    form = rng.choice(["log", "hex", "spaced", "noise", "heap", "broken"])
-    if form == "log":
-        return [f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T0{rng.randint(0, 9)}:11:{rng.randint(10, 59)}Z {rng.choice(['INFO', 'WARN', 'ERR'])} {noun()}[{rng.randint(1, 9999)}]: {noun()}={rng.getrandbits(40):x}" for _ in range(n)]
-    if form == "hex":
-        return [" ".join(f"{rng.getrandbits(8):02x}" for _ in range(16)) + "  " + "".join(rng.choice("#.ax|~Q") for _ in range(16)) for _ in range(n)]
-    if form == "spaced":
-        return [" ".join(f"{noun()}{name()}") for _ in range(n)]
-    if form == "noise":
-        return ["".join(rng.choice("!@#$%^*~=<>?/\\|:. ") for _ in range(rng.randint(20, 60))) + f" {name()} {name()}" for _ in range(n)]
-    if form == "heap":
-        few = [noun(), noun(), noun(), name(), name()]
-        return [" ".join(rng.choice(few) for _ in range(rng.randint(14, 40))) for _ in range(max(1, n // 3))]
-    told = " ".join(_passage("prose", rng))
-    return ["".join(rng.choice("€¤¶§Ã�™¿Âœ") if c.isalpha() and rng.random() < 0.35 else c for c in told)]
-
-
-def labelled(count: int = TRAINING, seed: int = 11) -> list[tuple[str, str]]:
-    """(text, form) of composed documents: passages of a main form and of others, and the form that holds more than half of the characters."""
-    rng = random.Random(seed)
-    out = []
-    for i in range(count):
-        main = ["prose", *FORMS][i % 4]
-        sizes, blocks = dict.fromkeys(["prose", *FORMS], 0), []
-        for _ in range(rng.randint(1, 5)):
-            kind = main if rng.random() < 0.7 else rng.choice(["prose", "prose", *FORMS])
-            lines = _passage(kind, rng)
-            sizes[kind] += sum(map(len, lines))
-            blocks.append("\n".join(lines))
-        total = sum(sizes.values())
-        out.append(("\n\n".join(blocks), next((k for k in FORMS if sizes[k] * 2 > total), "prose")))
-    return out
-
-
-@cache
-def rules() -> tuple[rule_lists.Rule, ...]:
-    """The rule list, learned once per driver."""
-    rows = labelled()
-    data = [figures(text) for text, _ in rows]
-    x = {name: np.array([d[name] for d in data]) for name in FIGURES if name not in ("chars", "words", "sentences")}
-    return tuple(rule_lists.learn(x, np.array([form for _, form in rows]), FORMS))
-
-
-def _figures(data: dict) -> dict:
-    rows = [figures(t, set(s or ())) for t, s in zip(data["text"], data["skip"])]
-    return {"doc_id": data["doc_id"]} | {f: [r[f] for r in rows] for f in FIGURES}
-
-
-def document_figures(docs: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
-    """doc_id and all figures; ``repeated`` (doc_id, line_no) are the lines to leave out, by default those that recur on the site."""
-    if repeated is None:
-        repeated = site_lines.repeated_lines(docs)
-    skip = repeated.groupBy("doc_id").agg(F.collect_set("line_no").alias("skip"))  # bounded by the lines of one document
-    return map_chunks(documents(docs, "doc_id", "text").join(skip, "doc_id", "left"), "text", SCHEMA, _figures)
-
-
-def forms(counted: DataFrame) -> DataFrame:
-    """``document_figures`` with the column form: prose, list, table or junk."""
-    return counted.withColumn("form", F.expr(rule_lists.to_sql(list(rules()), "prose")))
+SAMPLE = 4000
+#: With fewer rated documents than this, composed ones are added up to that number.
+LEAST = 1000
+FORMS = form_labels.FORMS
+
+#: What is counted in each line. ``stops`` are marks that end a sentence, runs of marks aside; ``tight`` ones have no space behind them.
+COUNTS = [
+    "lines", "chars", "words", "letters", "digits", "symbols", "ended", "stops", "common", "glue", "marks", "commas", "tight", "semicolons",
+    "colons", "bars", "tabs", "gaps", "slashes", "dots", "singles", "lengthy", "mixed", "distinct", "repeats", "short",
+]
+#: Figures as shares of counts; what the rules test.
+RATIOS = {
+    "mean_word": ("letters", "words"), "symbol_share": ("symbols", "chars"), "digit_share": ("digits", "chars"), "ended_lines": ("ended", "lines"),
+    "common_words": ("common", "words"), "glue_words": ("glue", "words"), "words_a_line": ("words", "lines"), "chars_a_line": ("chars", "lines"),
+    "sentence_share": ("stops", "words"), "stops_a_line": ("stops", "lines"), "marked_lines": ("marks", "lines"), "comma_share": ("commas", "words"), "tight_share": ("tight", "words"),
+    "semicolon_share": ("semicolons", "words"), "colons_a_line": ("colons", "lines"), "bars_a_line": ("bars", "lines"), "tabs_a_line": ("tabs", "lines"),
+    "gaps_a_line": ("gaps", "lines"), "slashes_a_line": ("slashes", "lines"), "dot_share": ("dots", "chars"), "single_share": ("singles", "words"), "lengthy_share": ("lengthy", "words"),
+    "mixed_share": ("mixed", "words"), "distinct_share": ("distinct", "words"), "repeat_share": ("repeats", "words"), "short_lines": ("short", "lines"), "spelled": ("letters", "chars"),
+}
+
+_PLAIN = frozenset(".,:;!?…'\"()-–—‘’“”„«»/%&")
+_END = frozenset(".!?…")
+_MARKS = frozenset(".)]-*•‣◦·–—+»")
+_SPACE, _SYMBOL, _STOP, _MARK, _CLOSE = 1, 2, 4, 8, 16
+_LIMIT = 0x20000
+_tables: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+
+
+def _flags() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flags of each code point, and the sorted hashes of common and of glue words; made once per process."""
+    global _tables
+    if _tables is None:
+        flags = np.zeros(_LIMIT, np.uint8)
+        for code in range(_LIMIT):
+            char = chr(code)
+            group = unicodedata.category(char)[0]
+            if group in "ZC":
+                flags[code] = _SPACE
+            elif group not in "LMN" and char not in _PLAIN:
+                flags[code] = _SYMBOL
+            flags[code] |= _STOP * (char in _END) | _MARK * (char in _MARKS) | _CLOSE * (char in "\"”’)»'")
+        hashes = lambda words: np.unique(K.words([" ".join(sorted(words))]).hash)
+        _tables = flags, hashes(form_labels.GLUE | form_labels.ARTICLES), hashes(form_labels.GLUE)
+    return _tables
+
+
+def _known(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return words[np.minimum(np.searchsorted(words, hashes), len(words) - 1)] == hashes
+
+
+def line_counts(texts: list) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Text and number of each non-blank line, its ``COUNTS``, the hash of its words of letters, and whether it has any.
+
+    >>> _, number, counts, _, _ = line_counts(["- a Fig\\n\\nIt rained, 7x."])
+    >>> number.tolist(), counts["words"].tolist(), counts["marks"].tolist(), counts["ended"].tolist(), counts["mixed"].tolist()
+    ([0, 2], [2, 3], [1, 0], [0, 1], [0, 1])
+    """
+    w = K.words(texts)
+    codes, flags = w.codes, _flags()
+    flag = np.where(codes < _LIMIT, flags[0][np.minimum(codes, _LIMIT - 1)], 0).astype(np.uint8)
+    n = len(codes)
+    feed = np.flatnonzero(codes == 10)
+    start, end = np.concatenate([[0], feed[:-1] + 1]) if len(feed) else feed, feed
+    visible = (flag & _SPACE) == 0
+    shown = np.flatnonzero(visible)
+    total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    count_shown = total(visible)
+    row = np.flatnonzero(count_shown[end] > count_shown[start])  # lines that show anything
+    start, end = start[row], end[row]
+    within = lambda mask, a=start, b=end: (lambda t: t[b] - t[a])(total(mask))
+    first, last = shown[count_shown[start]] if len(row) else start, shown[count_shown[end] - 1] if len(row) else end
+    after = np.append(codes[1:], 10)
+    space_after = np.append(~visible[1:], True)
+    letter, digit = w.kind == K.LETTER, w.kind == K.DIGIT
+    stop = (flag & _STOP) > 0
+    close = (flag & _CLOSE) > 0
+
+    # the mark that begins an entry: a first token of up to 8 characters that ends with a sign and has others behind it
+    gap_at = np.flatnonzero(~visible)
+    token_end = gap_at[np.searchsorted(gap_at, first)] if len(row) else first
+    lead = token_end - first
+    mark = (token_end < last) & (((flag[np.maximum(token_end - 1, 0)] & _MARK) > 0) & ((lead <= 3) | ((codes[first] == 91) & (lead <= 8))))
+    # wide gaps between visible characters
+    edge = np.diff(np.concatenate([[False], ~visible & (codes != 10) & (codes != 9), [False]]).astype(np.int8))
+    a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    wide = np.zeros(n, bool)
+    wide[a[b - a >= 3]] = True
+    inner = lambda mask: (lambda t: t[last + 1] - t[first])(total(mask))
+
+    word_line = np.searchsorted(end, w.start)
+    word_doc_line = word_line
+    per = lambda mask: np.bincount(word_doc_line[mask], minlength=len(row)) if len(row) else np.zeros(0, np.int64)
+    size = w.end - w.start
+    has_letter, has_digit = (lambda t: t[w.end] - t[w.start] > 0)(total(letter)), (lambda t: t[w.end] - t[w.start] > 0)(total(digit))
+    order = np.lexsort((w.hash, word_line))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (w.hash[order][1:] != w.hash[order][:-1]) | (word_line[order][1:] != word_line[order][:-1])
+    again = np.zeros(len(order), bool)
+    again[1:] = (w.hash[1:] == w.hash[:-1]) & (word_line[1:] == word_line[:-1])
+    tail = last - (close[last] & (last > first))
+    counts = {
+        "lines": np.ones(len(row), np.int64), "chars": within(visible), "words": per(size > 0), "letters": within(letter), "digits": within(digit), "symbols": within((flag & _SYMBOL) > 0),
+        "ended": stop[tail], "stops": within(stop & (space_after | np.append(close[1:], False)) & ~np.append(False, stop[:-1])), "common": per(_known(w.hash, flags[1])), "glue": per(_known(w.hash, flags[2])), "marks": mark,
+        "commas": within(codes == 44), "tight": within(((codes == 44) | (codes == 59)) & ~space_after), "semicolons": within(codes == 59), "colons": within((codes == 58) & space_after),
+        "bars": within((codes == 0x7C) | (codes == 0x2502) | (codes == 0x2503)), "tabs": inner(codes == 9), "gaps": inner(wide), "slashes": within((codes == 47) & (after == 47)),
+        "dots": within((codes == 46) & (after == 46)), "singles": per(size == 1), "lengthy": per(size > 20), "mixed": per(has_letter & has_digit), "distinct": np.bincount(word_line[order][fresh], minlength=len(row)) if len(row) else np.zeros(0, np.int64),
+        "repeats": per(again), "short": within(visible) < 40,
+    }
+    _, lines, doc_of, number_of = site_lines.line_words(texts)
+    owner = np.searchsorted(w.bounds, start, "right") - 1
+    number = row - np.searchsorted(feed, w.bounds[:-1])[owner] if len(row) else row
+    # the same lines by text and number; those without letters have no hash
+    key, wanted = (owner << 32) + number, (doc_of << 32) + number_of
+    at = np.searchsorted(key, wanted)
+    hashes, worded = np.zeros(len(row), np.uint64), np.zeros(len(row), bool)
+    hashes[at], worded[at] = lines, True
+    return owner, number, counts, hashes, worded
+
+
+def _lines(data: dict) -> dict:
+    owner, number, counts, hashes, worded = line_counts(data["text"])
+    once = site_lines.first_of_each(hashes, owner, number) & worded
+    site_of = np.array(data["site"], dtype=np.int64)[owner]
+    out = {"doc_id": np.array(data["doc_id"], dtype=np.int64)[owner], "site": site_of, "line_no": number.astype(np.int32), "line": pa.array(K.signed(hashes), mask=~worded), "once": once}
+    return out | {c: v.astype(np.int32) for c, v in counts.items()}
+
+
+def counted_lines(docs: DataFrame) -> DataFrame:
+    """Every non-blank line: doc_id, site and line as hashes (a line without letters has a null one), line_no, once, ``COUNTS``."""
+    rows = documents(docs.withColumn("site", F.xxhash64(site())), "doc_id", "site", "text").where("text is not null")
+    return table(map_chunks(rows, "text", f"{site_lines.LINES}, " + ", ".join(f"{c} int" for c in COUNTS), _lines), "counted")
+
+
+def ratios() -> dict[str, Column]:
+    """The figures that are shares, 0 where there is nothing to share."""
+    return {name: F.coalesce(F.round(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), 9), F.lit(0.0)) for name, (a, b) in RATIOS.items()}
+
+
+def figures_of(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, ``COUNTS`` and ``RATIOS`` of all documents, from lines without the ``wanted`` (site, line) recurring ones.
+
+    The lines of a document lie together, so sums before the shuffle leave about one row for each document.
+    """
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    kept = lines.join(wanted, ["site", "line"], "left_anti").select("doc_id", *COUNTS)
+    none = documents(docs, "doc_id").select("doc_id", *(F.lit(0).alias(c) for c in COUNTS))  # documents without lines have figures too
+    sums = kept.unionByName(none).groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    return sums.select("doc_id", *COUNTS, *(c.alias(name) for name, c in ratios().items()))
+
+
+def document_figures(docs: DataFrame) -> DataFrame:
+    """doc_id and all figures of each document, the recurring lines of its site aside."""
+    lines = counted_lines(docs)
+    return figures_of(docs, lines, site_lines.recurring_table(lines.where("line is not null"), docs))
+
+
+def labelled(docs: DataFrame, lines: DataFrame, wanted: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """doc_id, form of ``size`` real documents, the smallest hashes of ids first, as the rater sees them."""
+    ids = documents(docs, "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+    skip = lines.join(F.broadcast(ids), "doc_id", "left_semi").join(wanted, ["site", "line"], "left_semi").groupBy("doc_id").agg(F.collect_set("line_no").alias("skip"))  # lines of ``size`` documents
+    rows = documents(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").join(F.broadcast(skip), "doc_id", "left")
+    return map_chunks(rows, "text", "doc_id long, form string", lambda data: {"doc_id": data["doc_id"], "form": [form_labels.form(t, set(s or ())) for t, s in zip(data["text"], data["skip"])]})
+
+
+def learn(figures: DataFrame, rated: DataFrame) -> list[rule_lists.Rule]:
+    """The rule list from the figures of the rated documents, which are a bounded sample."""
+    rows = figures.join(F.broadcast(rated), "doc_id").select("doc_id", "form", *RATIOS).toPandas().sort_values(["doc_id", "form"])
+    x, y = {name: rows[name].to_numpy(float) for name in RATIOS}, rows["form"].to_numpy(str)
+    if len(rows) < LEAST:
+        more = form_labels.composed(LEAST - len(rows))
+        own, filled = composed_ratios([text for text, _ in more]), np.array([form for _, form in more])
+        x, y = {name: np.concatenate([x[name], own[name]]) for name in RATIOS}, np.concatenate([y, filled]) if len(rows) else filled
+    return rule_lists.learn(x, y, FORMS)
+
+
+def composed_ratios(texts: list[str]) -> dict[str, np.ndarray]:
+    """``RATIOS`` of a few texts, without Spark."""
+    owner, _, counts, _, _ = line_counts(texts)
+    sums = {c: np.bincount(owner, weights=v, minlength=len(texts)) for c, v in counts.items()}
+    return {name: np.round(sums[a] / np.maximum(sums[b], 1), 9) * (sums[b] > 0) for name, (a, b) in RATIOS.items()}
+
+
+def forms(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
+    """doc_id, all figures and form: prose, list, table or junk."""
+    lines = counted_lines(docs)
+    wanted = site_lines.recurring_table(lines.where("line is not null"), docs)
+    figures = table(figures_of(docs, lines, wanted), "figures")
+    return figures.withColumn("form", F.expr(rule_lists.to_sql(learn(figures, labelled(docs, lines, wanted, size)), "prose")))
 
 
 def latest_stats(stats: DataFrame) -> DataFrame:
@@ -247,5 +226,6 @@ def latest_stats(stats: DataFrame) -> DataFrame:
 
 
 def statistics(docs: DataFrame, stats: DataFrame) -> DataFrame:
-    """All figures and the form of each document beside the words, sentences and quality_score last stored for it."""
-    return forms(document_figures(docs)).join(latest_stats(stats), "doc_id", "left")
+    """The main figures of each document beside the words, sentences and quality_score last stored for it."""
+    shown = ["doc_id", "lines", "chars", "words", F.col("stops").alias("sentences"), "mean_word", "symbol_share", "ended_lines", "common_words"]
+    return document_figures(docs).select(*shown).join(latest_stats(stats), "doc_id", "left")

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkloom.llm import answers, leaks, mixture, near_copies, page_bodies, queries, rule_lists, site_lines, split_overlap, splitting, subject_areas, text_forms
+from sparkloom.llm import answers, form_labels, leaks, mixture, near_copies, page_bodies, queries, rule_lists, site_lines, split_overlap, splitting, subject_areas, text_forms
 from sparkloom.llm import textkernel as K
 
 DOCS = "doc_id long, title string, text string, lang string, source string, url string, site string, class string"
@@ -52,15 +52,25 @@ def test_chunks_never_cut_a_text():
 # ---- 1 ------------------------------------------------------------------------------------------------------------
 
 
-def test_rules_hold_on_held_out_documents():
-    rows = text_forms.labelled(240, seed=77)
-    data = [text_forms.figures(t) for t, _ in rows]
-    x = {f: np.array([d[f] for d in data]) for f in text_forms.FIGURES}
-    guess, left = np.full(len(rows), "prose", dtype=object), np.ones(len(rows), bool)
-    for rule in text_forms.rules():
-        hit = rule.holds(x) & left
-        guess[hit], left = rule.label, left & ~hit
-    assert np.mean(guess == np.array([f for _, f in rows])) > 0.97
+def test_rules_hold_on_held_out_documents(spark):
+    rows = [(i, *x) for i, x in enumerate(form_labels.composed(2400, seed=77))]
+    got = {r.doc_id: r.form for r in text_forms.forms(docs(spark, [(i, t) for i, t, _ in rows]), size=1500).collect()}
+    rated = {r.id for r in spark.range(2400).orderBy(F.xxhash64("id"), "id").limit(1500).collect()}
+    assert np.mean([got[i] == form for i, _, form in rows if i not in rated]) > 0.93  # some of them lie near a half
+
+
+def test_rater():
+    assert form_labels.form("[e1] Mor D. Das Tal (kad). 1951.\n[c2] Tel E. Der Fluss, kad. 1962.") == "list"
+    assert form_labels.form("Cached compiler parser merged branch query planner deployed logged patched model index.\nParser cached merged branch query planner deployed logged patched compiler model token.") == "junk"
+    assert form_labels.form(None) == form_labels.form("") == form_labels.form("It rained all day, and nobody came.") == "prose"
+
+
+def test_line_counts_add_up(spark):
+    text = "- one Fig\n\n| a | 12 |\nIt rained; 7x and seven, then…\n\u200b \n"
+    _, number, counts, _, worded = text_forms.line_counts([text, None, ""])
+    assert number.tolist() == [0, 2, 3] and worded.all()
+    assert counts["bars"].tolist() == [0, 3, 0] and counts["ended"].tolist() == [0, 0, 1] and counts["digits"].tolist() == [0, 2, 1]
+    assert counts["words"].tolist() == [2, 2, 6] and counts["chars"].tolist() == [7, 6, 25]
 
 
 def test_rule_list_sql():
@@ -71,12 +81,13 @@ def test_rule_list_sql():
 
 
 def test_forms_and_edge_cases(spark):
-    table = "\n".join(f"| row {i} | {i * 7} |" for i in range(12))
-    bullets = "\n".join(f"- item {i} of the list" for i in range(12))
+    plants = "aster birch clover dahlia elder fern gorse hazel iris juniper larch maple".split()
+    table = "\n".join(f"| {x} meadow | {i * 37} | {i * 7}% | {x[::-1].title()} |" for i, x in enumerate(plants))
+    bullets = "\n".join(f"- {x} {plants[-i]}" for i, x in enumerate(plants))
     log = "\n".join(f"2024-01-01T00:00:{i:02}Z INFO app[{i}]: k={i:08x}" for i in range(12))
     prose = "The cat sat on the mat. It was a fine day, and nobody minded the rain."
     rows = docs(spark, [(1, table), (2, bullets), (3, log), (4, prose), (5, None), (6, ""), (7, "​ \n"), (None, table), (8, prose * 3000), (4, prose)])
-    got = {r.doc_id: r.form for r in text_forms.forms(text_forms.document_figures(rows)).collect()}
+    got = {r.doc_id: r.form for r in text_forms.forms(rows).collect()}
     assert got == {1: "table", 2: "list", 3: "junk", 4: "prose", 5: "prose", 6: "prose", 7: "prose", 8: "prose"}
     assert text_forms.document_figures(docs(spark, [])).count() == 0
 
@@ -110,15 +121,34 @@ def test_repeated_lines_match_brute_force(spark):
     assert {tuple(r) for r in site_lines.repeated_lines(docs(spark, rows)).collect()} == brute_lines(rows)
 
 
-def test_incremental_counts_equal_a_full_count(spark):
+def test_merged_batches_equal_a_full_count(spark, tmp_path):
     rows = [(i, f"unique {chr(97 + i)}{chr(98 + i)} text\nSubscribe now", "web", "https://s.example") for i in range(8)]
     first, second = docs(spark, rows[:4]), docs(spark, rows[4:])
-    lines = site_lines.site_lines(first)
-    counts, totals, all_lines, touched = site_lines.update(second, site_lines.line_delta(lines), site_lines.site_totals(first), lines)
-    assert {r.doc_id for r in touched.collect()} == set(range(8))  # the line crossed only now, so all its documents change
-    found = site_lines.occurrences(all_lines, site_lines.recurring(counts, totals)).select("doc_id", "line_no")
-    clean = {r.doc_id: r.text for r in site_lines.rebuild(docs(spark, rows), found, touched).collect()}
-    assert clean == {i: f"unique {chr(97 + i)}{chr(98 + i)} text" for i in range(8)}
+    state = site_lines.LineCounts(spark, f"file://{tmp_path}/state")
+    assert state.batches() == [] and state.found().count() == 0
+    assert state.touched(state.add("one", first)).count() == 0  # four documents are too few
+    version = state.add("two", second)
+    assert {r.doc_id for r in state.touched(version).collect()} == set(range(8))  # the line crossed only now, so all its documents change
+    assert state.add("one", first) == 1 and state.add("two", second) == 2 and state.batches() == ["one", "two"]  # delivered again
+    assert {tuple(r) for r in state.found().collect()} == brute_lines(rows) == {(i, 1) for i in range(8)}
+    again = site_lines.LineCounts(spark, f"file://{tmp_path}/state")  # the folder is all there is
+    want = {i: f"unique {chr(97 + i)}{chr(98 + i)} text" for i in range(8)}
+    assert {r.doc_id: r.text for r in site_lines.cleaned(docs(spark, rows), again.recurring(), state.touched(version)).collect()} == want
+    assert {r.doc_id: r.text for r in site_lines.rebuild(docs(spark, rows), again.found()).collect()} == want
+
+
+def test_lines_that_recur_no_more_touch_their_documents(spark):
+    state = site_lines.LineCounts(spark, min_documents=2, min_share=0.5)
+    state.add("one", docs(spark, [(i, f"a{i}b\nread more", "web", None) for i in range(2)]))
+    version = state.add("two", docs(spark, [(i + 2, f"{chr(97 + i) * 4} text", "web", None) for i in range(6)]))
+    assert state.recurring().count() == 0 and {r.doc_id for r in state.touched(version).collect()} == {0, 1}
+
+
+@pytest.mark.parametrize("share,least", [(0.15, 3), (0.4, 8), (0.7, 14), (0.1, 2), (1, 20)])
+def test_shares_are_exact(spark, share, least):
+    counts = spark.createDataFrame([(1, i, i) for i in range(1, 21)], "site long, line long, holding long")
+    totals = spark.createDataFrame([(1, 20)], "site long, documents long")
+    assert {r.line for r in site_lines.recurring(counts, totals, 1, share).collect()} == set(range(least, 21))
 
 
 # ---- 3 ------------------------------------------------------------------------------------------------------------
