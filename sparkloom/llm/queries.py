@@ -66,14 +66,30 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.report(split_overlap.overlaps(train, val), train, val)
 
 
+#: Vocabulary of the public tokenizer that sizes are counted with.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def _mixed(spark: SparkSession, d: str, counts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    counts, targets = table(counts, "tokens"), read(spark, d, "mix_targets")
+    return mixture.mix(counts, targets), counts, targets
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    counts = table(mixture.token_counts(read(spark, d, "documents")), "tokens")
-    return mixture.mix(counts, read(spark, d, "mix_targets"))
+    return _mixed(spark, d, mixture.token_counts(read(spark, d, "documents"), VOCABULARY))[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    counts, targets = table(mixture.token_counts(read(spark, d, "documents")), "tokens"), read(spark, d, "mix_targets")
-    return mixture.shares(mixture.mix(counts, targets), counts, targets)
+    return mixture.shares(*_mixed(spark, d, mixture.token_counts(read(spark, d, "documents"), VOCABULARY)))
+
+
+def p9_mix_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The same with sizes in characters, which SQL can count."""
+    return _mixed(spark, d, mixture.character_counts(read(spark, d, "documents")))[0]
+
+
+def p9_shares_chars(spark: SparkSession, d: str) -> DataFrame:
+    return mixture.shares(*_mixed(spark, d, mixture.character_counts(read(spark, d, "documents"))))
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +104,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("part"), 3).alias("weight"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_composition)}
 # SQL of the cases where it can say the same: words, runs of words and lines as texts instead of hashes.
 _PLAIN = r"replace(lower(nfc_normalize(regexp_replace({x}, '\p{{Cf}}', '', 'g'))), 'ß', 'ss')"
 _WORDS = "list_filter(regexp_split_to_array(" + _PLAIN.format(x="text") + r", '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
@@ -104,7 +120,19 @@ f AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site,
 _SHOWN = r"regexp_replace({x}, '[\p{{Z}}\p{{C}}]+', '', 'g')"
 _COMMON = ", ".join("'" + w.replace("'", "''") + "'" for w in sorted({w for x in form_labels.GLUE | form_labels.ARTICLES for w in re.findall(r"[^\W_]+", x)}))
 
+_MIXED = """c AS (SELECT doc_id, lower(trim(source)) AS source, length(text) AS tokens FROM documents WHERE source IS NOT NULL AND length(text) > 0),
+w AS (SELECT lower(trim(source)) AS source, max(target_share) AS share, max(coalesce(max_repeats, 1)) AS repeats FROM mix_targets WHERE target_share > 0 GROUP BY 1),
+x AS (SELECT c.*, share, unnest(range(1, repeats + 1)) AS copy FROM c JOIN w USING (source)),
+k AS (SELECT *, md5('42|' || copy || '|' || doc_id) AS h FROM x),
+q AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY copy, h, doc_id) / share AS finish FROM k),
+p AS (SELECT *, sum(tokens) OVER (ORDER BY finish, source, copy, h, doc_id) AS place FROM q),
+m AS (SELECT CAST(place AS BIGINT) AS place, doc_id, CAST(copy AS INTEGER) AS copy, source, tokens FROM p WHERE place - tokens < (SELECT sum(tokens) FROM c))"""
+
 ORACLE: dict[str, str] = {
+    "p9_mix_chars": f"WITH {_MIXED} SELECT * FROM m",
+    "p9_shares_chars": f"""WITH {_MIXED}, g AS (SELECT source, sum(tokens) AS tokens, count(*) AS copies, count(DISTINCT doc_id) AS documents FROM m GROUP BY source), a AS (SELECT source, sum(tokens) AS available FROM c GROUP BY source)
+SELECT lower(trim(t.source)) AS source, target_share, coalesce(round(g.tokens / (SELECT sum(tokens) FROM m), 6), 0) AS actual_share, CAST(coalesce(g.tokens, 0) AS BIGINT) AS tokens, coalesce(copies, 0) AS copies, coalesce(documents, 0) AS documents, CAST(coalesce(available, 0) AS BIGINT) AS available_tokens
+FROM mix_targets t LEFT JOIN g ON g.source = lower(trim(t.source)) LEFT JOIN a ON a.source = lower(trim(t.source))""",
     "p1_statistics": rf"""WITH {_RECURRING},
 v AS (SELECT k.doc_id, replace(nfc_normalize(regexp_replace(l.line, '\p{{Cf}}', '', 'g')), 'ß', 'ss') AS line FROM l JOIN k USING (r, line_no) LEFT JOIN f ON f.site = k.site AND f.key = k.key WHERE f.key IS NULL),
 c AS (SELECT doc_id, {_SHOWN.format(x="line")} AS shown, list_filter(regexp_split_to_array(lower(line), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: w <> '') AS w,

@@ -453,14 +453,25 @@ def test_mixture_reaches_shares_and_caps(spark):
     assert {r.n for r in mixed.where("source = 'b'").groupBy("doc_id").count().withColumnRenamed("count", "n").collect()} <= {1, 2}
     last = mixed.agg(F.max("place")).first()[0]
     assert 2 * total["b"] <= last < 2 * total["b"] + 50 and mixed.agg(F.sum("tokens")).first()[0] == last
+    order = ["place", "doc_id", "copy", "source", "tokens"]
+    assert {tuple(r) for r in mixture.mix(counts, targets, budget=2 * total["b"], rows=37).select(order).collect()} == {tuple(r) for r in mixed.select(order).collect()}
     everything = mixture.mix(counts, targets, budget=10**9)
     assert everything.where("source = 'b'").agg(F.sum("tokens")).first()[0] == 2 * total["b"]
     assert mixture.mix(counts.limit(0), targets).count() == 0
 
 
+def test_ranges_stay_small_with_a_tiny_target(spark):
+    """A source with a millionth of the tokens stretches finish times, but no range of rows."""
+    rows = [(i, "abc"[i % 3] if i < 30 else "ab"[i % 2], 10 + i % 7) for i in range(4000)]
+    counts = spark.createDataFrame(rows, "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.399999, 1), ("c", 1e-6, 1)], "source string, target_share double, max_repeats int")
+    made = mixture.mix(counts, targets, rows=200)
+    assert made.agg(F.max("place")).first()[0] == sum(t for _, _, t in rows) and made.count() == 4000
+
+
 def test_token_counts(spark):
     rows = docs(spark, [(1, "Hello world", "Web "), (2, None, "web"), (3, "x", None), (4, "", "pdf")])
-    assert {(r.doc_id, r.source, r.tokens) for r in mixture.token_counts(rows).collect()} == {(1, "web", 2), (2, "web", 0), (4, "pdf", 0)}
+    assert {(r.doc_id, r.source, r.tokens) for r in mixture.token_counts(rows, queries.VOCABULARY).collect()} == {(1, "web", 2), (2, "web", 0), (4, "pdf", 0)}
 
 
 # ---- 10 -----------------------------------------------------------------------------------------------------------
