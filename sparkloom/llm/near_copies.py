@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import textkernel as K
-from sparkloom.llm.base import documents, map_chunks
+from sparkloom.llm.base import BROADCAST_ROWS, documents, map_chunks
 from sparkloom.shared import new_path, table
 
 RUN = 3
@@ -60,15 +60,20 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(K.signed(values)))
 
 
+def _classes(g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The class of each text: the same for the same set of runs."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(g + np.uint64(1)))])
+        return K.signed(K.mix((sums[first[1:]] - sums[first[:-1]]) ^ np.diff(first).astype(np.uint64)))
+
+
 def _sketch(data: dict) -> dict:
     g, first = runs_by_text(data["text"], RUN)
     total = np.diff(first)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(g + np.uint64(1)))])
     kept = np.minimum(total, RETAINED)
     offsets = np.concatenate([[0], np.cumsum(kept)])
     at = np.repeat(first[:-1] - offsets[:-1], kept) + np.arange(offsets[-1])
-    return {"doc_id": data["doc_id"], "class": K.signed(K.mix((sums[first[1:]] - sums[first[:-1]]) ^ total.astype(np.uint64))), "size": total.astype(np.int32), "kept": _lists(g[at] ^ np.uint64(1 << 63), offsets)}  # in the same order as signed numbers
+    return {"doc_id": data["doc_id"], "class": _classes(g, first), "size": total.astype(np.int32), "kept": _lists(g[at] ^ np.uint64(1 << 63), offsets)}  # in the same order as signed numbers
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -214,7 +219,8 @@ _LONG = "class long, need int, values array<long>, kept array<long>"
 
 def _runs(data: dict) -> dict:
     g, first = runs_by_text(data["text"], RUN)
-    return {"class": data["class"], "runs": _lists(g, first)}
+    same = (_classes(g, first) == np.array(data["class"], dtype=np.int64)).tolist()  # another text under the same id is left out
+    return {"class": [c if s else None for c, s in zip(data["class"], same)], "runs": _lists(g, first)}
 
 
 def class_pairs(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -226,14 +232,16 @@ def class_pairs(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILA
     rows = _rows(classes)
     few = candidates(rows).join(side("a"), "a").join(side("b"), "b").where(F.size(both) >= ESTIMATE * F.size(union)).select("a", "b")
     likely = table(few.unionByName(long_list_pairs(rows, classes, similarity)).distinct(), "likely")
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class")
-    texts = documents(docs, "doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    runs = table(map_chunks(texts.select("class", "text"), "text", "class long, runs array<long>", _runs), "runs")
+    wanted = table(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # texts stay where they are; beyond it Spark filters them by the ids before they move
+        wanted = F.broadcast(wanted)
+    texts = documents(docs, "doc_id", "text").join(wanted, "doc_id")
+    runs = table(map_chunks(texts.select("class", "text"), "text", "class long, runs array<long>", _runs).where("class is not null"), "runs")
     side = lambda x: runs.select(F.col("class").alias(x), F.col("runs").alias(f"runs_{x}"))
     shared = F.size(F.array_intersect("runs_a", "runs_b"))
 
     both = likely.join(side("a"), "a").join(side("b"), "b").withColumn("shared", shared)
-    return both.select("a", "b", (F.col("shared") / (F.size("runs_a") + F.size("runs_b") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= similarity)
+    return both.select("a", "b", (F.col("shared") / (F.size("runs_a") + F.size("runs_b") - F.col("shared"))).alias("similarity")).where(F.col("similarity") >= similarity).distinct()  # a text stored twice under its id gives its pairs twice
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -247,6 +255,17 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
+def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, group_id (the smallest id of the group), links (other texts that its text is a near copy of) for every document.
+
+    Copies are not expanded into pairs. A document without word runs, or without near copies, is a group of its own.
+    """
+    sketched = table(sketches(docs), "sketches")
+    found = groups(table(class_pairs(docs, sketched, similarity), "pairs"), sketched.select("class", "doc_id").distinct())
+    ids = documents(docs, "doc_id").distinct()
+    return ids.join(found, "doc_id", "left").select("doc_id", F.coalesce("group_id", "doc_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """doc_id, group_id (smallest id of the group), links (of its class) for every document, copies not expanded.
 

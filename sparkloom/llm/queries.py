@@ -41,6 +41,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return near_copies.near_copies(read(spark, d, "documents"))
 
 
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Group and number of links of every document."""
+    return near_copies.grouped(read(spark, d, "documents"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return page_bodies.main_bodies(read(spark, d, "web_pages")).distinct()
 
@@ -104,7 +109,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("part"), 3).alias("weight"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_composition)}
 # SQL of the cases where it can say the same: words, runs of words and lines as texts instead of hashes.
 _PLAIN = r"replace(lower(nfc_normalize(regexp_replace({x}, '\p{{Cf}}', '', 'g'))), 'ß', 'ss')"
 _WORDS = "list_filter(regexp_split_to_array(" + _PLAIN.format(x="text") + r", '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
@@ -148,6 +153,12 @@ SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN f USING
     "p2_clean": rf"""WITH {_RECURRING},
 m AS (SELECT k.r, k.doc_id, k.line_no, l.line, f.key IS NOT NULL AS gone FROM l JOIN k USING (r, line_no) LEFT JOIN f ON f.site = k.site AND f.key = k.key)
 SELECT d.doc_id, CASE WHEN d.ls IS NOT NULL THEN coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') END AS text, CAST(coalesce(count(*) FILTER (gone), 0) AS INTEGER) AS removed FROM raw d LEFT JOIN m USING (r) GROUP BY d.r, d.doc_id, d.ls""",
+    "p3_groups": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(1) ORDER BY g)) AS class FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, x.class AS ka, y.class AS kb FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.n, y.n, x.class, y.class HAVING 2 * count(*) >= x.n + y.n - count(*)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b)
+SELECT a AS doc_id, min(b) AS group_id, (SELECT count(DISTINCT kb) FROM p WHERE p.a = r.a AND ka <> kb) AS links FROM r GROUP BY a""",
     "p3_found": f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id)
