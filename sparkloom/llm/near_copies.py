@@ -4,7 +4,7 @@ Method: bottom-k sketches from one hash function over the distinct runs of three
 retained values generate overlaps: short lists are paired by a join. Longer ones than ``LONG_LIST`` are followed by an exact
 prefix filter: classes with enough retained values in long lists are read in shards, and each is held against those that share
 enough of the rarest. The sketch of the union estimates the similarity of each candidate; exact Jaccard similarity of the whole
-sets decides. Only the estimate can lose a pair, and none of two sets of up to ``RETAINED`` runs.
+sets decides. Only the estimates can lose a pair, and none of two sets of up to ``RETAINED`` runs.
 
 Texts with the same set of word runs are one class; only classes are compared, and members are added at the
 end. Null ids and texts of under three words have no pairs; repeated rows of one id are one document.
@@ -30,8 +30,10 @@ SIMILARITY = 0.5
 RETAINED = 32
 #: Longer inverted lists are followed in shards, rarest first.
 LONG_LIST = 16
-#: Estimates below are no candidates: 2.8 standard deviations of a 32-value sketch under 0.5.
-ESTIMATE = 0.25
+#: Values whose upper halves estimate the similarity of a candidate: the inverted lists need few, a close estimate more.
+ESTIMATED = 64
+#: Standard deviations under the similarity sought that an estimate may lie.
+DEVIATIONS = 2.8
 #: Sketches of fewer values need one shared list only, others two.
 SMALL = 12
 #: Values of long lists that must be shared among the rarest. More make longer lists to follow, but fewer pairs to estimate.
@@ -43,6 +45,15 @@ TASK = 50_000
 HITS, COUNTERS = 1_000_000, 2_000_000
 
 
+def least_estimate(similarity: float, values: int) -> float:
+    """What the estimate from a sketch of ``values`` must reach.
+
+    >>> round(least_estimate(0.5, 64), 3), round(least_estimate(0.5, 32), 2)
+    (0.325, 0.25)
+    """
+    return max(0.0, similarity - DEVIATIONS * (similarity * (1 - similarity) / values) ** 0.5)
+
+
 def runs_by_text(texts: list, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of ``k``-word runs in ascending order, text by text, and where each text's begin."""
     w = K.words(texts)
@@ -70,16 +81,21 @@ def _classes(g: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _sketch(data: dict) -> dict:
     g, first = runs_by_text(data["text"], RUN)
     total = np.diff(first)
-    kept = np.minimum(total, RETAINED)
-    offsets = np.concatenate([[0], np.cumsum(kept)])
-    at = np.repeat(first[:-1] - offsets[:-1], kept) + np.arange(offsets[-1])
-    return {"doc_id": data["doc_id"], "class": _classes(g, first), "size": total.astype(np.int32), "kept": _lists(g[at] ^ np.uint64(1 << 63), offsets)}  # in the same order as signed numbers
+
+    def smallest(most: int) -> tuple[np.ndarray, np.ndarray]:
+        offsets = np.concatenate([[0], np.cumsum(np.minimum(total, most))])
+        at = np.repeat(first[:-1] - offsets[:-1], np.diff(offsets)) + np.arange(offsets[-1])
+        return g[at] ^ np.uint64(1 << 63), offsets  # in the same order as signed numbers
+
+    upper, offsets = smallest(ESTIMATED)
+    upper = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((K.signed(upper) >> 32).astype(np.int32)))
+    return {"doc_id": data["doc_id"], "class": _classes(g, first), "size": total.astype(np.int32), "kept": _lists(*smallest(RETAINED)), "upper": upper}
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, class (same for the same set of runs), size of the set, kept (its smallest hashes)."""
+    """doc_id, class (same for the same set of runs), size of the set, kept (its smallest hashes), upper (the upper halves of more of them)."""
     rows = documents(docs, "doc_id", "text").where("text is not null")
-    return map_chunks(rows, "text", "doc_id long, class long, size int, kept array<long>", _sketch).where("size > 0")
+    return map_chunks(rows, "text", "doc_id long, class long, size int, kept array<long>, upper array<int>", _sketch).where("size > 0")
 
 
 def _pairs(lists: DataFrame) -> DataFrame:
@@ -103,53 +119,63 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 class Shard:
-    """Inverted lists of the rarest values that some classes have in long lists."""
+    """Inverted lists of the rarest values that some classes have in long lists, each in the order of the size of the sets."""
 
-    def __init__(self, rows: pa.Table):
-        rows = rows.sort_by("class")
-        self.id, self.need = rows["class"].to_numpy(), rows["need"].to_numpy().astype(np.int64)
-        self.kept = _padded(rows["kept"].combine_chunks())
+    def __init__(self, rows: pa.Table, similarity: float = SIMILARITY):
+        rows = rows.sort_by([("size", "ascending"), ("class", "ascending")])
+        self.similarity = similarity
+        self.id, self.size, self.need = (rows[c].to_numpy().astype(np.int64) for c in ("class", "size", "need"))
+        self.upper = _padded(rows["upper"].combine_chunks())
         value, row = _rarest(rows)
         order = np.lexsort((row, value))
         self.values, which = np.unique(value[order], return_inverse=True)
         self.row = row[order]
         self.key = (which << 32) + self.row
 
-    def scan(self, rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (a < b) of classes of ``rows`` and of the shard that share enough values and whose estimate is likely."""
-        if not len(self.values) or not len(rows):
+    def scan(self, other: Shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (a < b) of classes of ``other`` and of the shard that share enough values and whose estimate is likely.
+
+        The class of the shard has the larger set, or an equally large one and the larger id, so each pair comes from one side; no
+        set can be alike that is more than 1 / ``similarity`` times as large.
+        """
+        if not len(self.values) or not len(other.values):
             return
-        ids, need = rows["class"].to_numpy(), rows["need"].to_numpy().astype(np.int64)
-        kept = _padded(rows["kept"].combine_chunks())
-        value, row = _rarest(rows)
+        low = np.searchsorted(self.size, other.size)  # the rows of the shard that each class may be alike
+        high = np.searchsorted(self.size, (other.size / self.similarity + 1e-9).astype(np.int64), "right")
+        order = np.argsort(other.row, kind="stable")
+        row, value = other.row[order], other.values[other.key[order] >> 32]
         at = np.minimum(np.searchsorted(self.values, value), len(self.values) - 1)
         there = self.values[at] == value
         at, row = at[there], row[there]
-        low = np.searchsorted(self.key, (at << 32) + np.searchsorted(self.id, ids, "right")[row])  # classes of larger ids only
-        count = np.searchsorted(self.key, (at + 1) << 32) - low
+        first = np.searchsorted(self.key, (at << 32) + low[row])
+        count = np.maximum(0, np.searchsorted(self.key, (at << 32) + high[row]) - first)
         total = np.concatenate([[0], np.cumsum(count)])
-        mine = np.searchsorted(row, np.arange(len(ids) + 1))
-        until, n, begin = total[mine], len(self.id), 0
-        while begin < len(ids):
-            end = max(begin + 1, min(begin + max(1, COUNTERS // n), int(np.searchsorted(until, until[begin] + HITS, "right")) - 1))
+        mine = np.searchsorted(row, np.arange(len(other.id) + 1))
+        until, begin = total[mine], 0
+        while begin < len(other.id):
+            width = max(1, int(high[begin : begin + 256].max() - low[begin]))  # sizes ascend, so ranges of neighbours are alike
+            end = max(begin + 1, min(begin + 256, len(other.id), begin + max(1, COUNTERS // width), int(np.searchsorted(until, until[begin] + HITS, "right")) - 1))
             a, b = mine[begin], mine[end]
-            place = np.repeat(low[a:b] - total[a:b], count[a:b]) + np.arange(total[a], total[b])
-            hits = np.bincount(np.repeat((row[a:b] - begin) * n, count[a:b]) + self.row[place], minlength=1)
-            found = np.flatnonzero(hits >= min(SHARED, need[begin:end].min()))
-            x, y = found // n + begin, found % n
-            keep = hits[found] >= np.minimum(SHARED, np.maximum(need[x], self.need[y]))
-            x, y = x[keep], y[keep]
-            for c in range(0, len(x), 20_000):
-                u, v = x[c : c + 20_000], y[c : c + 20_000]
-                good = likely(kept[u], self.kept[v])
-                yield ids[u[good]], self.id[v[good]]
+            if total[b] > total[a]:
+                place = np.repeat(first[a:b] - total[a:b], count[a:b]) + np.arange(total[a], total[b])
+                hits = np.bincount(np.repeat((row[a:b] - begin) * width - low[begin], count[a:b]) + self.row[place])
+                found = np.flatnonzero(hits >= min(SHARED, other.need[begin:end].min()))
+                x, y = found // width + begin, found % width + low[begin]
+                keep = hits[found] >= np.minimum(SHARED, np.maximum(other.need[x], self.need[y]))
+                keep &= (self.size[y] > other.size[x]) | (self.id[y] > other.id[x])
+                x, y = x[keep], y[keep]
+                for c in range(0, len(x), 20_000):
+                    u, v = x[c : c + 20_000], y[c : c + 20_000]
+                    good = likely(other.upper[u], self.upper[v], self.similarity)
+                    p, q = other.id[u[good]], self.id[v[good]]
+                    yield np.minimum(p, q), np.maximum(p, q)
             begin = end
 
 
-def _padded(kept: pa.Array) -> np.ndarray:
-    size = kept.value_lengths().to_numpy()
-    out = np.full((len(size), RETAINED), np.iinfo(np.int64).max)
-    out[np.arange(RETAINED) < size[:, None]] = kept.flatten().to_numpy()
+def _padded(upper: pa.Array) -> np.ndarray:
+    size = upper.value_lengths().to_numpy()
+    out = np.full((len(size), ESTIMATED), np.iinfo(np.int32).max, np.int32)
+    out[np.arange(ESTIMATED) < size[:, None]] = upper.flatten().to_numpy()
     return out
 
 
@@ -163,33 +189,36 @@ def _rarest(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return values.flatten().to_numpy()[use], row[use]
 
 
-def likely(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether the sketches of the unions of pairs of padded sketches give an estimate of ``ESTIMATE`` or more."""
+def likely(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """Whether the sketches of the unions of pairs of padded sketches give an estimate that a pair of ``similarity`` may have."""
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
-    real = both < np.iinfo(np.int64).max
+    real = both < np.iinfo(np.int32).max
     again = np.zeros(both.shape, bool)
     again[:, 1:] = both[:, 1:] == both[:, :-1]
-    inside = real & (np.cumsum(~again, axis=1) <= RETAINED)
-    return (again & inside).sum(axis=1) >= ESTIMATE * (~again & inside).sum(axis=1)
+    inside = real & (np.cumsum(~again, axis=1, dtype=np.int16) <= ESTIMATED)
+    return (again & inside).sum(axis=1) >= least_estimate(similarity, ESTIMATED) * (~again & inside).sum(axis=1)
 
 
 def _read(path: str) -> pa.Table:
     where = path if "://" in path else f"file://{path}"
     system, folder = fs.FileSystem.from_uri(where.replace("s3a://", "s3://").replace("file:////", "file:///"))
-    return pq.read_table(folder, filesystem=system, columns=["class", "need", "values", "kept"], partitioning=None)
+    return pq.read_table(folder, filesystem=system, columns=["class", "size", "need", "values", "upper"], partitioning=None)
 
 
-def _scanner(folders: list[str]):
+def _scanner(folders: list[tuple[str, int, int]], similarity: float):
+    """``folders``: path, smallest and largest set of each shard."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)  # sketches only
         if not held:
             return
-        rows = pa.Table.from_batches(held)
-        for folder in folders:
-            for pair in Shard(_read(folder)).scan(rows):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], schema=schema)
+        rows = Shard(pa.Table.from_batches(held), similarity)
+        least, most = int(rows.size[0]), int(rows.size[-1])
+        for folder, smallest, largest in folders:
+            if largest >= least and smallest <= most / similarity + 1e-9:
+                for pair in Shard(_read(folder), similarity).scan(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pair], schema=schema)
 
     return run
 
@@ -197,24 +226,24 @@ def _scanner(folders: list[str]):
 def long_list_pairs(rows: DataFrame, classes: DataFrame, similarity: float = SIMILARITY, shard: int = SHARD) -> DataFrame:
     """Pairs of classes whose estimate is likely and of whose shared values at most one is in a short list.
 
-    Sketches of an estimate of ``ESTIMATE`` share that part of the larger one at least; where the other set must have a whole
+    Sketches whose estimate is likely share that part of the larger one at least; where the other set must have a whole
     sketch too, ``similarity`` holds instead. One less is needed here, as two of short lists are found there.
     """
     spark = rows.sparkSession
-    least = F.when(F.col("size") <= RETAINED * similarity, F.ceil(F.col("size") * similarity - 1e-9)).otherwise(F.ceil(F.least("size", F.lit(RETAINED)) * min(ESTIMATE, similarity) - 1e-9))
+    least = F.when(F.col("size") <= RETAINED * similarity, F.ceil(F.col("size") * similarity - 1e-9)).otherwise(F.floor(F.least("size", F.lit(RETAINED)) * least_estimate(similarity, RETAINED)))
     values = rows.where(F.col("n") > LONG_LIST).groupBy("class").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("n", "k1"))).alias("v"))
-    values = values.select("class", F.greatest(F.lit(1), least - 1).cast("int").alias("need"), F.col("v.k1").alias("values")).where("size(values) >= need")
-    found = table(values.join(classes.select("class", "kept"), "class"), "long")
+    values = values.select("class", "size", F.greatest(F.lit(1), least - 1).cast("int").alias("need"), F.col("v.k1").alias("values")).where("size(values) >= need")
+    found = table(values.join(classes.select("class", "upper"), "class"), "long")
     path = new_path(spark, "shards")
     count = found.count()
     shards = max(1, -(-count // shard))
-    found.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(path)
-    there = sorted(r.shard for r in spark.read.schema(f"{_LONG}, shard int").parquet(path).select("shard").distinct().collect())
-    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-count // TASK))  # each task reads every shard, so tasks are few and long
-    return found.repartition(tasks).mapInArrow(_scanner([f"{path}/shard={i}" for i in there]), "a long, b long")
+    found.repartitionByRange(shards, "size", "class").withColumn("shard", F.spark_partition_id()).write.partitionBy("shard").parquet(path)
+    there = spark.read.schema(f"{_LONG}, shard int").parquet(path).groupBy("shard").agg(F.min("size").alias("least"), F.max("size").alias("most")).orderBy("shard").collect()  # a row for each shard
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-count // TASK))  # a task reads the shards of sets that may be alike its own, so tasks are few and long
+    return found.repartitionByRange(tasks, "size", "class").mapInArrow(_scanner([(f"{path}/shard={r.shard}", r.least, r.most) for r in there], similarity), "a long, b long")
 
 
-_LONG = "class long, need int, values array<long>, kept array<long>"
+_LONG = "class long, size int, need int, values array<long>, upper array<int>"
 
 
 def _runs(data: dict) -> dict:
@@ -225,12 +254,12 @@ def _runs(data: dict) -> dict:
 
 def class_pairs(docs: DataFrame, sketched: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, similarity of all pairs of classes at or over ``similarity``."""
-    classes = table(sketched.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("kept").alias("kept")), "classes")
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("kept").alias(f"kept_{x}"))
-    union = F.slice(F.array_sort(F.array_union("kept_a", "kept_b")), 1, RETAINED)
-    both = F.array_intersect(union, F.array_intersect("kept_a", "kept_b"))
+    classes = table(sketched.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("kept").alias("kept"), F.first("upper").alias("upper")), "classes")
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("upper").alias(f"upper_{x}"))
+    union = F.slice(F.array_sort(F.array_union("upper_a", "upper_b")), 1, ESTIMATED)
+    both = F.array_intersect(union, F.array_intersect("upper_a", "upper_b"))
     rows = _rows(classes)
-    few = candidates(rows).join(side("a"), "a").join(side("b"), "b").where(F.size(both) >= ESTIMATE * F.size(union)).select("a", "b")
+    few = candidates(rows).join(side("a"), "a").join(side("b"), "b").where(F.size(both) >= least_estimate(similarity, ESTIMATED) * F.size(union)).select("a", "b")
     likely = table(few.unionByName(long_list_pairs(rows, classes, similarity)).distinct(), "likely")
     wanted = table(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", "doc_id"), "class"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:  # texts stay where they are; beyond it Spark filters them by the ids before they move
