@@ -68,7 +68,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     train, val = read(spark, d, "qa_train"), read(spark, d, "qa_val")
-    return split_overlap.report(split_overlap.overlaps(train, val), train, val)
+    return split_overlap.report(split_overlap.matches(train, val), train, val)
+
+
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How far each evaluation record is covered by training records."""
+    train, val = read(spark, d, "qa_train"), read(spark, d, "qa_val")
+    return split_overlap.coverage(split_overlap.matches(train, val), val)
 
 
 #: Vocabulary of the public tokenizer that sizes are counted with.
@@ -109,7 +115,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("part"), 3).alias("weight"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p7_report, p8_found, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p7_report, p7_coverage, p8_found, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_composition)}
 # SQL of the cases where it can say the same: words, runs of words and lines as texts instead of hashes.
 _PLAIN = r"replace(lower(nfc_normalize(regexp_replace({x}, '\p{{Cf}}', '', 'g'))), 'ß', 'ss')"
 _WORDS = "list_filter(regexp_split_to_array(" + _PLAIN.format(x="text") + r", '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"

@@ -6,6 +6,10 @@ Two texts that share enough words share ``SHARED`` of them among their first one
 the fewer are the first; so inverted lists by word and length give every pair that can be alike and few others.
 What is alike enough is decided by the longest common subsequence of words, exactly.
 
+Passages in an automaton (Aho–Corasick) cannot give these pairs: with three words in ten changed evenly no passage of more than
+three words need be left, and of short records not even one of two, while passages of one word are such lists. What the automaton
+would merge, the words matched in each record, is given as ``coverage`` all the same.
+
 No pair is lost at any length, number of edits or size of a group of near copies. Before two texts are compared in full, the
 words of one that the other may have at all bound what they can have in common. Shards are read from the shared folder, so no
 fingerprints pass through the driver. Equal evaluation records share one class; training rows are scanned each. Null ids are
@@ -168,7 +172,7 @@ def load_shard(path: str, alike: float = ALIKE) -> Shard:
 
 
 def _scanner(folders: list[str], alike: float):
-    schema = pa.schema([("train", pa.int64()), ("class", pa.int64())])
+    schema = pa.schema([("train", pa.int64()), ("class", pa.int64()), ("coverage", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int] = []
@@ -186,16 +190,17 @@ def _scanner(folders: list[str], alike: float):
         first = np.concatenate([[0], np.cumsum(size)])
 
         def compared(shard: Shard, docs: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
-            found: tuple[list[int], list[int]] = ([], [])
+            found: tuple[list, list, list] = ([], [], [])
             last, mine = -1, []
             for d, r in zip(docs.tolist(), records.tolist()):
                 a, b = int(size[d]), len(shard.records[r])
                 if d != last:
                     last, mine = d, words[first[d] : first[d + 1]].tolist()
-                if common_words(mine, shard.records[r].tolist()) >= alike * max(a, b):
-                    found[0].append(ids[d])
-                    found[1].append(shard.ids[r])
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], schema=schema)
+                common = common_words(mine, shard.records[r].tolist())
+                if common >= alike * max(a, b):
+                    for column, value in zip(found, (ids[d], shard.ids[r], common / max(a, b))):
+                        column.append(value)
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
 
         known, which = np.unique(numbered(words, np.repeat(np.arange(len(size)), size)), return_inverse=True)
         for folder in folders:
@@ -217,8 +222,8 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(data["class"][a:b], pa.int64()), lists, pa.array(data["shard"][a:b], pa.int32())], schema=schema)
 
 
-def overlaps(train: DataFrame, val: DataFrame, alike: float = ALIKE, shard: int = SHARD) -> DataFrame:
-    """record_a, record_b (the smaller id first) of all pairs of a training and an evaluation record alike in ``alike`` of their words."""
+def matches(train: DataFrame, val: DataFrame, alike: float = ALIKE, shard: int = SHARD) -> DataFrame:
+    """train, record_id, coverage (part of the words of the longer one found in both) of all pairs alike in ``alike`` of their words."""
     spark = train.sparkSession
     told = documents(val, "record_id", "messages").select("record_id", F.md5(contents()).alias("key"), contents().alias("text"))
     members = table(told.groupBy("key", "record_id").agg(F.first("text").alias("text")), "eval")
@@ -229,15 +234,30 @@ def overlaps(train: DataFrame, val: DataFrame, alike: float = ALIKE, shard: int
     there = sorted(r.shard for r in spark.read.schema("class long, words array<long>, shard int").parquet(path).select("shard").distinct().collect())
     rows = documents(train, "record_id", "messages").select("record_id", contents().alias("text"))
     most = max(2 * spark.sparkContext.defaultParallelism, -(-rows.select("record_id").count() // TASK))  # each task reads every shard, so tasks are few and long
-    found = rows.coalesce(most).mapInArrow(_scanner([f"{path}/shard={i}" for i in there], alike), "train long, class long")
+    found = rows.coalesce(most).mapInArrow(_scanner([f"{path}/shard={i}" for i in there], alike), "train long, class long, coverage double")
     ids = members.groupBy("key").agg(F.min("record_id").alias("class")).join(members.select("key", "record_id"), "key").select("class", "record_id")
-    pairs = found.join(ids, "class").where("train <> record_id")
+    return found.join(ids, "class").where("train <> record_id").groupBy("train", "record_id").agg(F.max("coverage").alias("coverage"))
+
+
+def overlaps(train: DataFrame, val: DataFrame, alike: float = ALIKE, shard: int = SHARD) -> DataFrame:
+    """record_a, record_b (the smaller id first) of all pairs of a training and an evaluation record alike in ``alike`` of their words."""
+    pairs = matches(train, val, alike, shard)
     return pairs.select(F.least("train", "record_id").alias("record_a"), F.greatest("train", "record_id").alias("record_b")).distinct()
 
 
-def report(pairs: DataFrame, train: DataFrame, val: DataFrame) -> DataFrame:
-    """split, source (of the training record; null as '(none)'), pairs, eval_records, train_records."""
+def _splits(val: DataFrame) -> DataFrame:
+    return documents(val, "record_id", "split").select("record_id", F.coalesce("split", F.lit("(none)")).alias("split")).dropDuplicates(["record_id"])
+
+
+def coverage(found: DataFrame, val: DataFrame) -> DataFrame:
+    """record_id, split, copies, exact, coverage of every evaluation record: training records alike, those of all its words, and the best coverage."""
+    best = found.groupBy("record_id").agg(F.count(F.lit(1)).alias("copies"), F.count_if(F.col("coverage") == 1).alias("exact"), F.max("coverage").alias("coverage"))
+    none = lambda c, x: F.coalesce(c, F.lit(x)).alias(c)
+    return _splits(val).join(best, "record_id", "left").select("record_id", "split", none("copies", 0), none("exact", 0), F.round(F.coalesce("coverage", F.lit(0.0)), 6).alias("coverage"))
+
+
+def report(found: DataFrame, train: DataFrame, val: DataFrame) -> DataFrame:
+    """split, source (of the training record; null as '(none)'), pairs, eval_records, train_records, exact_pairs, mean_coverage."""
     t = documents(train, "record_id", "source").select(F.col("record_id").alias("train"), F.coalesce("source", F.lit("(none)")).alias("source")).dropDuplicates(["train"])
-    v = documents(val, "record_id", "split").select(F.col("record_id").alias("eval"), F.coalesce("split", F.lit("(none)")).alias("split")).dropDuplicates(["eval"])
-    sides = pairs.select(F.explode(F.array(F.struct(F.col("record_a").alias("train"), F.col("record_b").alias("eval")), F.struct(F.col("record_b").alias("train"), F.col("record_a").alias("eval")))).alias("s")).select("s.*")
-    return sides.join(v, "eval").join(t, "train").groupBy("split", "source").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval").alias("eval_records"), F.countDistinct("train").alias("train_records"))
+    rows = found.join(_splits(val), "record_id").join(t, "train").groupBy("split", "source")
+    return rows.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("record_id").alias("eval_records"), F.countDistinct("train").alias("train_records"), F.count_if(F.col("coverage") == 1).alias("exact_pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))

@@ -92,11 +92,21 @@ def line_counts(texts: list) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarr
     start, end = np.concatenate([[0], feed[:-1] + 1]) if len(feed) else feed, feed
     visible = (flag & _SPACE) == 0
     shown = np.flatnonzero(visible)
-    total = lambda mask: np.concatenate([[0], np.cumsum(mask)])
+    total = lambda mask: np.concatenate([np.zeros(1, np.int32), np.cumsum(mask, dtype=np.int32)])
     count_shown = total(visible)
     row = np.flatnonzero(count_shown[end] > count_shown[start])  # lines that show anything
     start, end = start[row], end[row]
-    within = lambda mask, a=start, b=end: (lambda t: t[b] - t[a])(total(mask))
+
+    def dense(mask: np.ndarray) -> np.ndarray:
+        t = total(mask)
+        return t[end] - t[start]
+
+    def rare(mask: np.ndarray, a: np.ndarray = start) -> np.ndarray:
+        """Marked places by line, from ``a`` on; cheap where few are marked."""
+        place = np.flatnonzero(mask)
+        line = np.minimum(np.searchsorted(end, place), len(row) - 1)
+        return np.bincount(line[(place >= a[line]) & (place < end[line])], minlength=len(row)) if len(row) else np.zeros(0, np.int64)
+
     first, last = shown[count_shown[start]] if len(row) else start, shown[count_shown[end] - 1] if len(row) else end
     after = np.append(codes[1:], 10)
     space_after = np.append(~visible[1:], True)
@@ -114,13 +124,13 @@ def line_counts(texts: list) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarr
     a, b = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     wide = np.zeros(n, bool)
     wide[a[b - a >= 3]] = True
-    inner = lambda mask: (lambda t: t[last + 1] - t[first])(total(mask))
 
     word_line = np.searchsorted(end, w.start)
-    word_doc_line = word_line
-    per = lambda mask: np.bincount(word_doc_line[mask], minlength=len(row)) if len(row) else np.zeros(0, np.int64)
+    per = lambda mask: np.bincount(word_line[mask], minlength=len(row)) if len(row) else np.zeros(0, np.int64)
     size = w.end - w.start
-    has_letter, has_digit = (lambda t: t[w.end] - t[w.start] > 0)(total(letter)), (lambda t: t[w.end] - t[w.start] > 0)(total(digit))
+    digit_at = np.flatnonzero(digit)
+    digits_in = np.searchsorted(digit_at, w.end) - np.searchsorted(digit_at, w.start)
+    has_letter, has_digit = digits_in < size, digits_in > 0  # a word has nothing but letters and digits
     order = np.lexsort((w.hash, word_line))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (w.hash[order][1:] != w.hash[order][:-1]) | (word_line[order][1:] != word_line[order][:-1])
@@ -128,12 +138,12 @@ def line_counts(texts: list) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarr
     again[1:] = (w.hash[1:] == w.hash[:-1]) & (word_line[1:] == word_line[:-1])
     tail = last - (close[last] & (last > first))
     counts = {
-        "lines": np.ones(len(row), np.int64), "chars": within(visible), "words": per(size > 0), "letters": within(letter), "digits": within(digit), "symbols": within((flag & _SYMBOL) > 0),
-        "ended": stop[tail], "stops": within(stop & (space_after | np.append(close[1:], False)) & ~np.append(False, stop[:-1])), "common": per(_known(w.hash, flags[1])), "glue": per(_known(w.hash, flags[2])), "marks": mark,
-        "commas": within(codes == 44), "tight": within(((codes == 44) | (codes == 59)) & ~space_after), "semicolons": within(codes == 59), "colons": within((codes == 58) & space_after),
-        "bars": within((codes == 0x7C) | (codes == 0x2502) | (codes == 0x2503)), "tabs": inner(codes == 9), "gaps": inner(wide), "slashes": within((codes == 47) & (after == 47)),
-        "dots": within((codes == 46) & (after == 46)), "singles": per(size == 1), "lengthy": per(size > 20), "mixed": per(has_letter & has_digit), "distinct": np.bincount(word_line[order][fresh], minlength=len(row)) if len(row) else np.zeros(0, np.int64),
-        "repeats": per(again), "short": within(visible) < 40,
+        "lines": np.ones(len(row), np.int64), "chars": count_shown[end] - count_shown[start], "words": np.bincount(word_line, minlength=len(row)) if len(row) else np.zeros(0, np.int64), "letters": dense(letter), "digits": rare(digit), "symbols": rare((flag & _SYMBOL) > 0),
+        "ended": stop[tail], "stops": rare(stop & (space_after | np.append(close[1:], False)) & ~np.append(False, stop[:-1])), "common": per(_known(w.hash, flags[1])), "glue": per(_known(w.hash, flags[2])), "marks": mark,
+        "commas": rare(codes == 44), "tight": rare(((codes == 44) | (codes == 59)) & ~space_after), "semicolons": rare(codes == 59), "colons": rare((codes == 58) & space_after),
+        "bars": rare((codes == 0x7C) | (codes == 0x2502) | (codes == 0x2503)), "tabs": rare(codes == 9, first), "gaps": rare(wide, first), "slashes": rare((codes == 47) & (after == 47)),
+        "dots": rare((codes == 46) & (after == 46)), "singles": per(size == 1), "lengthy": per(size > 20), "mixed": per(has_letter & has_digit), "distinct": np.bincount(word_line[order][fresh], minlength=len(row)) if len(row) else np.zeros(0, np.int64),
+        "repeats": per(again), "short": count_shown[end] - count_shown[start] < 40,
     }
     _, lines, doc_of, number_of = site_lines.line_words(texts)
     owner = np.searchsorted(w.bounds, start, "right") - 1

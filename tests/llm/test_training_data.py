@@ -377,8 +377,12 @@ def test_overlaps_match_brute_force(spark):
     pairs = split_overlap.overlaps(make(train), make(val), shard=20)
     got = {tuple(r) for r in pairs.collect()}
     assert got == want
-    report = split_overlap.report(pairs, make(train), make(val)).collect()
-    assert sum(r.pairs for r in report) == len(want)
+    found = split_overlap.matches(make(train), make(val))
+    report = split_overlap.report(found, make(train), make(val)).collect()
+    assert sum(r.pairs for r in report) == len(want) and sum(r.exact_pairs for r in report) >= 6
+    covered = {r.record_id: r for r in split_overlap.coverage(found, make(val)).collect()}
+    assert len(covered) == len(val) and covered[2001].coverage == 0 and covered[1000].coverage == 1
+    assert sum(r.copies for r in covered.values()) == len(want)
     assert split_overlap.overlaps(make([]), make([])).count() == 0
 
 
@@ -415,6 +419,30 @@ def test_overlaps_of_short_records(spark):
     assert len(want) > 100 and got == want
 
 
+@pytest.mark.parametrize("shard", [1, 3, 20, 5000])
+def test_overlaps_of_templated_records_at_any_shard_size(spark, shard):
+    """Records that share a template of 15 words, against a text with two edits: alike with one by 0.9, with the others by 0.7."""
+    same = [f"same{i}" for i in range(15)]
+    val = {1000 + k: same + [f"own{k}x{i}" for i in range(5)] for k in range(6)}
+    text = list(val[1000])
+    text[3], text[9] = "edit3", "edit9"  # 13 of the 15 stay
+    text[1] = same[1]
+    train = {1: text, 2: same[:14] + [f"else{i}" for i in range(6)]}
+    make = lambda rows: spark.createDataFrame([(i, [("user", " ".join(t))], None, None, None) for i, t in rows.items()], RECORDS)
+    got = {(r.train, r.record_id): r.coverage for r in split_overlap.matches(make(train), make(val), shard=shard).collect()}
+    want = {(i, j): lcs(a, b) / max(len(a), len(b)) for i, a in train.items() for j, b in val.items()}
+    assert got == {k: v for k, v in want.items() if v >= 0.7} and len(got) == 7
+
+
+def test_overlaps_with_even_edits(spark):
+    """Every third word or so changed, so that no run of more than three words is left."""
+    rng = random.Random(23)
+    told = {1000 + i: sentence(rng, 20 + i % 60) for i in range(60)}
+    train = {i: " ".join("new" + str(k) if k % 10 in (2, 5, 9) else w for k, w in enumerate(told[1000 + i].split())) for i in range(60)}
+    got, want = overlaps_and_brute_force(spark, train, told)
+    assert len(want) >= 40 and got == want
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------
 
 
