@@ -44,13 +44,17 @@ def key_concepts(df: DataFrame, key: str, body: str, most: int = 8) -> DataFrame
 
 
 def sections(body: Column) -> Column:
-    """Map of heading (lower case, blanks to ``_``) to body for second-level headings; the last of equal headings wins."""
+    """Map of heading (lower case, blanks to ``_``) to body for second-level headings; the last of equal headings wins.
+
+    Every section is there by its place as well: ``_section_0``, ``_section_1``, …
+    """
     pattern = F.lit(r"(?s)##\s+([^\n]+)\n(.*?)(?=\n##\s|\z)")
     keys = F.transform(F.regexp_extract_all(body, pattern, 1), lambda h: F.replace(F.lower(text.strip(h)), F.lit(" "), F.lit("_")))
     values = F.transform(F.regexp_extract_all(body, pattern, 2), text.strip)
     entries = F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value"), i.alias("i")))
-    last = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])))
-    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+    last = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["key"] == e["key"]) & (o["i"] > e["i"])) & ~e["key"].rlike(r"^_section_\d+$"))
+    placed = F.transform(entries, lambda e: F.struct(F.concat(F.lit("_section_"), e["i"].cast("string")).alias("key"), e["value"].alias("value")))
+    return F.map_from_entries(F.concat(F.transform(last, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))), placed))
 
 
 def first_section(found: Column, names: list[str], default: str = "_No content generated._") -> Column:
@@ -82,6 +86,13 @@ def detect_topic(program: Column) -> Column:
     return F.nullif(text.strip(F.regexp_extract(program, r"(?im)^(?:#[ \t]*|topic:[ \t]*)(.+)$", 1)), F.lit(""))
 
 
+def topics(df: DataFrame, key: str, program: str, body: str) -> DataFrame:
+    """key, topic: that of the program, else the three most frequent word pairs of the text, else ``research findings``."""
+    named = df.select(key, detect_topic(F.col(program)).alias("named"), body)
+    pairs = word_pairs(named.where("named is null"), key, body, 3).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "pair"))), lambda p: p["pair"]), ", ").alias("pairs"))  # three of each
+    return named.select(key, "named").join(pairs, key, "left").select(key, F.coalesce("named", "pairs", F.lit("research findings")).alias("topic"))
+
+
 def replace_topic(program: Column, topic: str) -> Column:
-    """The program with the line after its Topic heading replaced."""
-    return F.regexp_replace(program, r"(?im)^(##?[ \t]*topic[ \t]*\n+)[^\n]*", "$1" + topic.replace("\\", r"\\").replace("$", r"\$"))
+    """The program with the line after each heading ``## Topic`` replaced."""
+    return F.regexp_replace(program, r"(## Topic\s*\n)([^\n]+)", "$1" + topic.replace("\\", r"\\").replace("$", r"\$"))

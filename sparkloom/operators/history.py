@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
@@ -21,18 +21,26 @@ def run_statistics(runs: DataFrame) -> DataFrame:
 
 def append(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
     """``table`` with new rows, whose keys follow the largest one in the order of ``place``. New batches are small."""
-    from pyspark.sql import Window
-
     last = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("last"))
     fresh = rows.crossJoin(F.broadcast(last)).withColumn(key, F.col("last") + F.row_number().over(Window.orderBy("place"))).drop("last", "place")
     return table.unionByName(fresh, allowMissingColumns=True)
 
 
-def update(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Rows of ``table`` with the columns of ``changes`` replaced where its value is not null; unknown keys change nothing."""
-    columns = [c for c in changes.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
-    return table.join(new, key, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns))
+#: What the end of a run sets where nothing else is given; all other fields become null.
+FINISHED = {"status": "completed", "iterations": 0, "results_path": "", "eval_path": "", "suggestions_path": "", "notes": ""}
+FINISH_FIELDS = ["status", "iterations", "avg_score", "pass_rate", "weighted_eval", "corpus_chars", "n_suggestions", "results_path", "eval_path", "suggestions_path", "notes"]
+
+
+def finish(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
+    """Rows of ``table`` whose key is in ``changes`` with every field of a finished run set anew: to the value given, else to its default.
+
+    Fields that ``table`` lacks don't matter, unknown keys change nothing. A key must occur once in ``changes``.
+    """
+    value = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(FINISHED.get(c))) if c in changes.columns else F.lit(FINISHED.get(c))
+    new = changes.select(key, *(F.col(c).alias(f"_{c}") for c in changes.columns if c != key), F.lit(True).alias("_hit"))
+    types = {f.name: f.dataType for f in table.schema}
+    set_ = lambda c: F.when(F.col("_hit"), value(c).cast(types[c])).otherwise(F.col(c)).alias(c)
+    return table.join(new, key, "left").select(*(set_(c) if c in FINISH_FIELDS else F.col(c) for c in table.columns))
 
 
 def upsert(cache: DataFrame, entries: DataFrame, keys: list[str], order: str, value: str, hits: str = "hits") -> DataFrame:
@@ -70,3 +78,8 @@ def chat_lines(messages: Column, form: str = "colon") -> Column:
     """Messages as lines, ``role: content`` or ``[role] content``."""
     made = (lambda m: F.concat(m["role"], F.lit(": "), m["content"])) if form == "colon" else (lambda m: F.concat(F.lit("["), m["role"], F.lit("] "), m["content"]))
     return F.array_join(F.transform(messages, made), "\n")
+
+
+def cleared(table: DataFrame) -> tuple[DataFrame, int]:
+    """The table without its rows, and how many there were."""
+    return table.limit(0), table.count()

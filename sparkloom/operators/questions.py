@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,13 +74,16 @@ def first_content(messages: Column, role: str) -> Column:
     return F.get(F.filter(messages, lambda m: m["role"] == role), F.lit(0))["content"]
 
 
-def quiz_pairs(df: DataFrame, keys: list[str], quiz: str) -> DataFrame:
-    """``keys``, pair_no, question, answer of a quiz in JSON: the right option and the hint, questions without either left out."""
+def quiz_pairs(df: DataFrame, keys: list[str], quiz: str, most: int = 500) -> DataFrame:
+    """``keys``, pair_no, question, answer of a quiz in JSON, from its first ``most`` questions.
+
+    The answer is the first right option and the hint after ``. ``, or either of them alone; a question or answer that is empty has no row.
+    """
     schema = "struct<questions: array<struct<question: string, answerOptions: array<struct<text: string, isCorrect: boolean>>, hint: string>>>"
-    rows = df.select(*keys, F.posexplode(F.from_json(quiz, schema)["questions"]).alias("pair_no", "_q"))
-    right = F.get(F.filter("_q.answerOptions", lambda o: o["isCorrect"]), F.lit(0))["text"]
-    answer = F.concat_ws(" ", right, F.nullif(F.col("_q.hint"), F.lit("")))
-    return rows.select(*keys, "pair_no", F.col("_q.question").alias("question"), answer.alias("answer")).where("question <> '' and answer <> ''")
+    rows = df.select(*keys, F.posexplode(F.slice(F.from_json(quiz, schema)["questions"], 1, most)).alias("pair_no", "_q"))
+    right = F.nullif(F.get(F.filter("_q.answerOptions", lambda o: o["isCorrect"]), F.lit(0))["text"], F.lit(""))
+    answer = text.strip(F.concat_ws(". ", right, F.nullif(F.col("_q.hint"), F.lit(""))))
+    return rows.select(*keys, "pair_no", text.strip(F.col("_q.question")).alias("question"), answer.alias("answer")).where("question <> '' and answer <> ''")
 
 
 def parse_answer(reply: Column) -> Column:
@@ -89,3 +95,43 @@ def parse_answer(reply: Column) -> Column:
     pair = lambda x, y: F.struct(x.alias("question"), y.alias("answer"))
     rest = F.substring(F.array_join(F.slice(lines, 2, 10**6), " "), 1, 1024)
     return F.when(named, pair(q, a)).when(F.size(lines) >= 2, pair(F.get(lines, F.lit(0)), rest))
+
+
+def contexts(df: DataFrame, key: str, question: str, chunks: DataFrame, words: int = 5, block: int = 200_000) -> DataFrame:
+    """``key``, place, chunk: the first chunk (place, chunk) that holds one of a question's first ``words`` words, as it is written, anywhere.
+
+    Without such a chunk it is the first of all. Chunks are scanned where they lie, once for each ``block`` of distinct words, by a
+    multi-pattern automaton; each task gives back the first place of each word, so nothing grows with chunks times words.
+    """
+    spark = df.sparkSession
+    asked = df.select(key, F.explode_outer(F.array_distinct(F.slice(F.filter(F.split(text.strip(F.coalesce(question, F.lit(""))), r"\s+"), lambda w: w != ""), 1, words))).alias("word"))
+    distinct = asked.where("word is not null").select("word").distinct()
+    blocks = max(1, -(-distinct.count() // block))
+    places = spark.createDataFrame([], "word string, place long")
+    for i in range(blocks):
+        some = [r.word for r in distinct.where(F.pmod(F.xxhash64("word"), F.lit(blocks)) == i).collect()]  # one block of words at a time
+        if some:
+            places = places.unionByName(chunks.select("place", "chunk").mapInArrow(_first_places(some), "word string, place long").groupBy("word").agg(F.min("place").alias("place")))
+    best = asked.join(places, "word", "left").groupBy(key).agg(F.min("place").alias("place"))
+    first = chunks.agg(F.min("place").alias("first"))
+    placed = best.crossJoin(F.broadcast(first)).select(key, F.coalesce("place", "first").alias("place"))  # one row
+    return placed.join(chunks.select("place", "chunk"), "place", "left").select(key, "place", F.coalesce("chunk", F.lit("")).alias("chunk"))
+
+
+def _first_places(words: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word in words:
+            automaton.add_word(word, word)
+        automaton.make_automaton()
+        least: dict[str, int] = {}
+        for batch in batches:
+            for place, chunk in zip(batch.column("place").to_pylist(), batch.column("chunk").to_pylist()):
+                for word in {w for _, w in automaton.iter(chunk or "")}:
+                    if place < least.get(word, place + 1):
+                        least[word] = place
+        yield pa.RecordBatch.from_arrays([pa.array(least.keys(), pa.string()), pa.array(least.values(), pa.int64())], names=["word", "place"])
+
+    return run

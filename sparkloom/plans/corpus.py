@@ -271,14 +271,6 @@ def c7_weighted_window(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.md5(chunking.weighted_window(blank("text"), blank("title"), 1000, 0.7)).alias("window_md5"))
 
 
-PROGRAMS = [(1, "# My topic\nrest"), (2, "intro\nTopic: second one \nx"), (3, "nothing"), (4, "#tight"), (5, "")]
-
-
-@plans.add(f"SELECT i AS id, nullif({strip('regexp_extract(x, ' + quote('(?im)^(?:#[ ' + chr(92) + 't]*|topic:[ ' + chr(92) + 't]*)(.+)$') + ', 1)')}, '') AS topic FROM {values(PROGRAMS, 'i, x')}")
-def c8_detect_topic(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(PROGRAMS, "id long, x string").select("id", extraction.detect_topic(F.col("x")).alias("topic"))
-
-
 @plans.add("SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\n\\n')) AS separators, format('{:,}', length(coalesce(text, ''))) AS chars FROM documents")
 def c9_corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
     body = F.coalesce("text", F.lit(""))

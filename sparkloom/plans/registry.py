@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import corpus, relational, scoring
+from sparkloom.plans import corpus, relational, scoring, structure
 from sparkloom.plans.base import Query
 
-_PARTS = (corpus.plans, scoring.plans, relational.plans)
+_PARTS = (corpus.plans, scoring.plans, structure.plans, relational.plans)
 
 
 def queries() -> dict[str, Query]:

@@ -15,19 +15,10 @@ from sparkloom.streaming import collect
 plans = Plans()
 
 BS = chr(92)
-REPLIES = [
-    (1, "Accuracy: 4\nRelevance: 5\nCompleteness: 2\nReasoning: sound and short"), (2, "accuracy 3 relevance: 1"), (3, "ACCURACY: 6\nRelevance: 2"), (4, "nothing"), (5, "Explanation:   "), (6, "Accuracy: 5 Relevance: 5 Completeness: 5 Reasoning: " + "r" * 600), (7, "")
-]
 SINGLE = [(1, "Score: 4\nReasoning: fine"), (2, "score: 2"), (3, "no number"), (4, "Score: 9"), (5, "Score: 1 Reasoning:   x  ")]
 PARSED = [(1, "Q: What is it?\nA: A thing.\nMore."), (2, "Question: Why\nAnswer: Because"), (3, "first line\nsecond line\nthird"), (4, "single"), (5, ""), (6, "q: low?\nno reply here")]
-SENTENCES = ["Water is wet and cold.", "The method works well.", "We measured everything twice.", "Researchers agree on this.", "Perhaps so.", "This is new...", "A thing", "Dogs were here ", "It rained", "scientists found it"]
 LOSSES = [0.0, 5.0, 10.0, 100.0, 1.23456, None]
-SECTIONS = [(1, "## One\nbody 1\n## Two Words\nbody 2\n\nmore\n"), (2, "intro\n## Same\na\n## Same\nb"), (3, "no heading"), (4, "## Deep\n### sub\ntext"), (5, "")]
-REPLIES_JSON = [(1, '```json\n{"a": "1", "b": "x"}\n```'), (2, 'well: {"a": "2", "b": "3"}'), (3, '{"a": "1"}'), (4, "no json"), (5, '{"a": "1", "b": '), (6, '["a", "b"]')]
-CODE = [(1, "x\n```python\n" + "print(1)\n" * 8 + "```\ny\n```\n" + "a = 1\n" * 20 + "```"), (2, "```js\nshort\n```"), (3, "none")]
-MARKED = [(1, "# Heading one.\n## Two\ntext **bold phrase** and **Heading one**\n### Three words here"), (2, "**only bold** text **only bold**"), (3, "alpha beta gamma alpha beta delta gamma alpha"), (4, "")]
 SLUGS = ["Multi-tenant RAG: a Survey!", "  --x--  ", "", "Ünïcode & more", "y" * 60]
-QUIZ = [(1, json.dumps({"questions": [{"question": "Q1?", "answerOptions": [{"text": "no", "isCorrect": False}, {"text": "yes", "isCorrect": True}], "hint": "think"}, {"question": "", "answerOptions": [{"text": "a", "isCorrect": True}], "hint": ""}, {"question": "Q3?", "answerOptions": [], "hint": ""}]})), (2, "{}")]
 STATE_LOG = [("k1", "h1", 1), ("k2", "h2", 2), ("k1", "h3", 3), ("k3", "h1", 4), (None, "h9", 5)]
 
 _BLANK = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -63,11 +54,6 @@ def t4_sentences(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.size(text.sentences(_BLANK("text"))).cast("long").alias("sentences"))
 
 
-@plans.add(f"SELECT s AS sentence, {_question_sql('s')} AS question FROM {values([(s,) for s in SENTENCES], 's')}")
-def t6_question(spark: SparkSession, d: str) -> DataFrame:
-    return _lit(spark, [(s,) for s in SENTENCES], "sentence string").select("sentence", questions.to_question(F.col("sentence")).alias("question"))
-
-
 @plans.add(f"SELECT doc_id, n - 1 AS pair_no, md5({_question_sql('ss[n]')}) AS question_md5, md5(array_to_string(ss[n:n + 2], ' ')) AS answer_md5 FROM (SELECT doc_id, ss, unnest(range(1, least(len(ss), 5) + 1)) AS n FROM (SELECT doc_id, {_sentences_sql('coalesce(text, ' + quote('') + ')')} AS ss FROM documents))")
 def q1_pairs(spark: SparkSession, d: str) -> DataFrame:
     rows = questions.pairs(read(spark, d, "documents").select("doc_id", _BLANK("text").alias("text")), ["doc_id"], "text")
@@ -84,11 +70,6 @@ def q3_split(spark: SparkSession, d: str) -> DataFrame:
     return questions.split(read(spark, d, "qa_train").select("record_id"), ["record_id"], 0.1)
 
 
-@plans.add(f"SELECT * FROM {values([(1, 0, 'Q1?', 'yes think')], 'id, pair_no, question, answer')}")
-def q4_quiz(spark: SparkSession, d: str) -> DataFrame:
-    return questions.quiz_pairs(_lit(spark, QUIZ, "id int, quiz string"), ["id"], "quiz")
-
-
 @plans.add("SELECT record_id, list_filter(messages, lambda m: m.role = 'user')[1].content AS question, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS answer, list_filter(messages, lambda m: m.role = 'system')[1].content AS told FROM qa_train")
 def q6_roles(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("messages")
@@ -137,13 +118,6 @@ def _digit_sql(label: str) -> str:
     return rf"coalesce(CAST(nullif(regexp_extract(x, '(?i){label}[:\s]+([1-5])', 1), '') AS INT), 3)"
 
 
-@plans.add(rf"""SELECT i AS id, {_digit_sql('accuracy')} AS accuracy, {_digit_sql('relevance')} AS relevance, {_digit_sql('completeness')} AS completeness,
-CASE WHEN r = '' THEN '(judge provided no explanation — raw: ' || substr(x, 1, 200) || ')' ELSE r END AS reasoning, round({_digit_sql('accuracy')} * 0.4 + {_digit_sql('relevance')} * 0.35 + {_digit_sql('completeness')} * 0.25, 2) AS overall
-FROM (SELECT i, x, CASE WHEN regexp_matches(x, '(?i)(reasoning|explanation)') THEN substr({strip(f"regexp_extract(x, '(?is)(?:reasoning|explanation)[:{BS}s]*(.*)', 1)")}, 1, 500) ELSE substr(x, 1, 300) END AS r FROM {values(REPLIES, 'i, x')})""")
-def t14_judge_scores(spark: SparkSession, d: str) -> DataFrame:
-    return _lit(spark, REPLIES, "id int, x string").select("id", judging.judge_scores(F.col("x")).alias("s")).select("id", "s.*")
-
-
 @plans.add(rf"SELECT i AS id, coalesce(CAST(nullif(regexp_extract(x, '(?i)Score:\s*([1-5])', 1), '') AS INT), 3) AS score, CASE WHEN regexp_extract(x, '(?is)Reasoning:\s*(.+)', 1) <> '' THEN substr({strip(f'regexp_extract(x, {quote(f"(?is)Reasoning:{BS}s*(.+)")}, 1)')}, 1, 500) ELSE substr(x, 1, 300) END AS reasoning FROM {values(SINGLE, 'i, x')}")
 def t15_single_score(spark: SparkSession, d: str) -> DataFrame:
     return _lit(spark, SINGLE, "id int, x string").select("id", judging.single_score(F.col("x")).alias("s")).select("id", "s.*")
@@ -233,14 +207,6 @@ def j2_j3_pair_similarity(spark: SparkSession, d: str) -> DataFrame:
     return _results(spark, d).select("result_id", F.round(similarity.cosine(_BLANK("question"), _BLANK("model_answer")), 6).alias("similarity"))
 
 
-@plans.add(f"SELECT CAST(b.k AS BIGINT) AS entry_id, round(sum(a.n * b.n / (a.norm * b.norm)), 3) AS similarity FROM {_vectors('benchmark WHERE item_id % 100 = 0', 'item_id', 'text')} a JOIN {_vectors('sample_results WHERE question IS NOT NULL', 'result_id', 'question')} b ON a.t = b.t GROUP BY a.k, b.k HAVING round(sum(a.n * b.n / (a.norm * b.norm)), 12) >= 0.2")
-def j4_find_similar(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set: items whose id is divisible by 100, against all questions."""
-    items = read(spark, d, "benchmark").where("item_id % 100 = 0")
-    found = similarity.similar(items, _results(spark, d).where("question is not null"), 0.2, ("item_id", "text"), ("result_id", "question"))
-    return found.select("entry_id", F.round("similarity", 3).alias("similarity"))
-
-
 _CACHE = "(SELECT hash, coalesce(model, '') AS model, max_by(response, entry_id) AS response FROM prompts GROUP BY hash, coalesce(model, ''))"
 
 
@@ -255,25 +221,6 @@ def j5_exact_lookup(spark: SparkSession, d: str) -> DataFrame:
     return similarity.exact(rows.drop("response"), cache, ["hash", "model"], "response").select("entry_id", "response")
 
 
-_FUZZY = f"SELECT qk AS query_id, ek AS entry_id, sim FROM (SELECT a.k AS qk, b.k AS ek, sum(a.n * b.n / (a.norm * b.norm)) AS sim FROM (SELECT v.*, p.model FROM {_vectors('prompts WHERE entry_id % 100 = 0', 'entry_id', 'prompt')} v JOIN prompts p ON p.entry_id = v.k) a JOIN (SELECT v.*, p.model FROM {_vectors('prompts', 'entry_id', 'prompt')} v JOIN prompts p ON p.entry_id = v.k) b ON a.t = b.t AND a.model = b.model AND a.k <> b.k GROUP BY a.k, b.k) WHERE round(sim, 12) >= 0.5"
-
-
-@plans.add(f"SELECT query_id, entry_id, round(sim, 3) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 12) DESC, entry_id) AS r FROM ({_FUZZY})) WHERE r = 1")
-def j6_j7_fuzzy_lookup(spark: SparkSession, d: str) -> DataFrame:
-    """The stated query set: entries whose id is divisible by 100, each against all other entries of its model."""
-    rows = read(spark, d, "prompts").where(F.length("prompt") <= fixed.FUZZY_PROMPT_LIMIT).select("entry_id", "model", "prompt")
-    found = similarity.similar(rows.where("entry_id % 100 = 0"), rows, 0.5, ("entry_id", "prompt"), ("entry_id", "prompt"), ["model"]).where("query_id <> entry_id")
-    return similarity.best_match(found, rows.select("entry_id", F.col("entry_id").alias("place")))
-
-
-@plans.add("SELECT b.i AS item, min(CASE WHEN contains(lower(d.text), b.w) THEN d.doc_id END) AS doc_id FROM (SELECT item_id AS i, unnest(list_distinct(regexp_split_to_array(lower(text), ' +')[1:5])) AS w FROM benchmark WHERE item_id % 100 = 0) b CROSS JOIN documents d GROUP BY b.i")
-def j9_context(spark: SparkSession, d: str) -> DataFrame:
-    """The first document that contains one of an item's first five words; the stated query set is every item whose id is divisible by 100."""
-    items = read(spark, d, "benchmark").where("item_id % 100 = 0").select("item_id", F.explode(F.array_distinct(F.slice(F.split(F.lower("text"), " +"), 1, 5))).alias("w"))
-    found = read(spark, d, "documents").select("doc_id", F.lower("text").alias("x")).join(F.broadcast(items), F.contains("x", "w"))  # five words an item of a fixed table
-    return found.groupBy(F.col("item_id").alias("item")).agg(F.min("doc_id").alias("doc_id"))
-
-
 @plans.add("SELECT r.id, s.result_id, s.overall FROM runs r JOIN sample_results s ON s.run_id = r.id")
 def j10_run_samples(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "runs").select("id").join(_results(spark, d), F.col("run_id") == F.col("id")).select("id", "result_id", "overall")
@@ -289,39 +236,6 @@ def t5_word_pairs(spark: SparkSession, d: str) -> DataFrame:
     return extraction.word_pairs(rows, "doc_id", "text", 3)
 
 
-@plans.add(f"SELECT i AS id, n - 1 AS place, b[n].l AS language, b[n].c AS code FROM (SELECT i, b, unnest(range(1, least(len(b), 6) + 1)) AS n FROM (SELECT i, list_sort(list_filter(list_transform(range(1, len(c) + 1), lambda k: {{'m': -length({strip('c[k]')}), 'k': k, 'l': CASE WHEN l[k] = '' THEN 'python' ELSE l[k] END, 'c': {strip('c[k]')}}}), lambda s: s.m < -40)) AS b FROM (SELECT i, regexp_extract_all(x, '(?s)```({BS}w*){BS}n(.*?)```', 1) AS l, regexp_extract_all(x, '(?s)```({BS}w*){BS}n(.*?)```', 2) AS c FROM {values(CODE, 'i, x')})))")
-def t8_code_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _lit(spark, CODE, "id int, x string").select("id", F.posexplode(extraction.code_blocks(F.col("x"))).alias("place", "b")).select("id", F.col("place").cast("long"), "b.language", "b.code")
-
-
-CONCEPTS = [(1, 1, "Heading one"), (1, 2, "Three words here"), (1, 3, "bold phrase"), (2, 1, "only bold"), (3, 1, "gamma alpha"), (3, 2, "alpha beta"), (3, 3, "beta gamma"), (3, 4, "beta delta"), (3, 5, "delta gamma")]
-
-
-@plans.add(f"SELECT * FROM {values(sorted([c for c in CONCEPTS if c[0] < 3] + [(3, 1, 'alpha beta'), (3, 2, 'gamma alpha'), (3, 3, 'beta gamma'), (3, 4, 'beta delta'), (3, 5, 'delta gamma')]), 'id, place, concept')}")
-def t9_concepts(spark: SparkSession, d: str) -> DataFrame:
-    return extraction.key_concepts(_lit(spark, MARKED, "id int, x string"), "id", "x")
-
-
-FOUND = [(1, "one", "body 1"), (1, "two_words", "body 2\n\nmore"), (2, "same", "b"), (4, "deep", "### sub\ntext")]
-
-
-@plans.add(f"SELECT * FROM {values(FOUND, 'id, heading, body')}")
-def t10_sections(spark: SparkSession, d: str) -> DataFrame:
-    return _lit(spark, SECTIONS, "id int, x string").select("id", F.explode(extraction.sections(F.col("x"))).alias("heading", "body"))
-
-
-@plans.add(f"SELECT * FROM {values([(1, 'body 2' + chr(10) * 2 + 'more', 50), (2, '_No content generated._', 0), (3, '_No content generated._', 0), (4, '_No content generated._', 0), (5, '_No content generated._', 0)], 'id, body, covered')}")
-def t11_t12_section_lookup(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lit(spark, SECTIONS, "id int, x string").select("id", extraction.sections(F.col("x")).alias("s"))
-    return rows.select("id", extraction.first_section(F.col("s"), ["Missing", "Two Words"]).alias("body"), extraction.coverage(F.col("s"), ["One", "Three"]).alias("covered"))
-
-
-@plans.add(f"SELECT * FROM {values([(1, '1', 'x'), (2, '2', '3'), (3, None, None), (4, None, None), (5, None, None), (6, None, None)], 'id, a, b')}")
-def t13_json(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lit(spark, REPLIES_JSON, "id int, x string").select("id", extraction.json_object(F.col("x"), ["a", "b"]).alias("m"))
-    return rows.select("id", F.try_element_at("m", F.lit("a")).alias("a"), F.try_element_at("m", F.lit("b")).alias("b"))
-
-
 @plans.add(f"SELECT s AS topic, substr(regexp_replace(regexp_replace(lower(s), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) AS slug FROM (SELECT s FROM {values([(s,) for s in SLUGS], 's')} UNION ALL SELECT topic FROM runs WHERE topic IS NOT NULL)")
 def t16_slugs(spark: SparkSession, d: str) -> DataFrame:
     rows = _lit(spark, [(s,) for s in SLUGS], "topic string").unionByName(read(spark, d, "runs").select("topic").where("topic is not null"))
@@ -333,30 +247,11 @@ def t17_hashes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "prompts").select("entry_id", text.short_hash(F.col("prompt")).alias("key"))
 
 
-@plans.add(f"SELECT i AS id, regexp_replace(x, '(?im)^(topic: )[^{BS}n]*', '{BS}1new') AS program FROM (VALUES (1, 'topic: old' || chr(10) || 'rest'), (2, 'none')) t(i, x)")
-def t27_replace_topic(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lit(spark, [(1, "## Topic\nold\nrest"), (2, "none")], "id int, x string").select("id", extraction.replace_topic(F.col("x"), "new").alias("program"))
-    return rows.withColumn("program", F.replace("program", F.lit("## Topic\nnew"), F.lit("topic: new")))
-
-
 @plans.add("SELECT id, coalesce(strftime(CAST(started_at AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y-%m-%d %H:%M'), '—') AS started FROM runs")
 def t28_dates(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "runs").select("id", F.coalesce(F.date_format("started_at", "yyyy-MM-dd HH:mm"), F.lit("—")).alias("started"))
 
 
-@plans.add(None)
-def t25_t26_reports(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("title"), _BLANK("text").alias("text"))
-    page = packaging.markdown(F.col("title"), extraction.sections(F.col("text")), ["Summary", "Findings"])
-    return docs.select("doc_id", packaging.suggestions(F.col("title"), F.col("text")).alias("suggestions"), page.alias("page"))
-
-
-@plans.add(f"SELECT '# P' || chr(10) || chr(10) || '## Topic' || chr(10) || 't' || chr(10) || chr(10) || '## Objective' || chr(10) || 'o' || chr(10) || chr(10) || '## Goals' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || chr(10) || '## Steps' || chr(10) || '1. x' || chr(10) || '2. y' || chr(10) AS program")
-def k9_program(spark: SparkSession, d: str) -> DataFrame:
-    rows = _lit(spark, [("P", "t", "o", ["a", "b"], ["x", "y"])], "n string, t string, o string, g array<string>, s array<string>")
-    return rows.select(packaging.program(*map(F.col, "ntogs")).alias("program"))
-
-
 # ---- history and caches ---------------------------------------------------------------------------------------------
 
 
@@ -412,12 +307,6 @@ def m1_m3_append(spark: SparkSession, d: str) -> DataFrame:
     return history.append(read(spark, d, "runs").select("id", "topic", "status"), rows)
 
 
-@plans.add("SELECT id, CASE id WHEN 1 THEN 'failed' ELSE status END AS status, CASE id WHEN 2 THEN 0.5 ELSE pass_rate END AS pass_rate FROM runs")
-def m2_update(spark: SparkSession, d: str) -> DataFrame:
-    changes = _lit(spark, [(1, "failed", None), (2, None, 0.5), (-9, "x", 1.0)], "id long, status string, pass_rate double")
-    return history.update(read(spark, d, "runs").select("id", "status", "pass_rate"), changes)
-
-
 @plans.add("SELECT id, topic FROM runs WHERE id = 7")
 def m4_point_read(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "runs").where("id = 7").select("id", "topic")
