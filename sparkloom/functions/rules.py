@@ -102,3 +102,14 @@ def domains(body: Column, most: int = 4) -> Column:
 def badge(score: Column) -> Column:
     """green from 0.75, amber from 0.5, else red; a dash for none."""
     return F.when(score.isNull(), "—").when(score >= 0.75, "green").when(score >= 0.5, "amber").otherwise("red")
+
+
+def score_badge(score: Column) -> Column:
+    """A coloured dot and the score to three places; a dash for none."""
+    dot = F.when(score >= 0.75, "🟢").when(score >= 0.5, "🟡").otherwise("🔴")
+    return F.when(score.isNull(), "—").otherwise(F.concat(dot, F.lit(" "), F.format_string("%.3f", score)))
+
+
+def status_badge(status: Column) -> Column:
+    """A sign for the known states of a run, others as they are."""
+    return F.when(status == "completed", "✅").when(status == "running", "⏳").when(status == "failed", "❌").otherwise(status)

@@ -97,6 +97,47 @@ def slug(c: Column, size: int = 40) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, size)
 
 
+def function_slug(c: Column) -> Column:
+    """Lower case, everything but a-z and 0-9 to single underscores, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+
+
+def program_slug(c: Column) -> Column:
+    """Lower case, blanks to hyphens, the first 40 characters."""
+    return F.substring(F.replace(F.lower(c), F.lit(" "), F.lit("-")), 1, 40)
+
+
+def content_hash(content: Column) -> Column:
+    """First 16 digits of the SHA-1 of the first 512 KiB of a file's bytes, which is all that fingerprint is defined on."""
+    return F.substring(F.sha1(F.substring(content, 1, 512 * 1024)), 1, 16)
+
+
+def file_stamp(modified: Column, size: Column) -> Column:
+    """Time of change in nanoseconds and size, joined by a colon."""
+    return F.concat((F.unix_micros(modified) * 1000).cast("string"), F.lit(":"), size.cast("string"))
+
+
+def minute(c: Column) -> Column:
+    """An ISO time as ``yyyy-MM-dd HH:mm``; the text itself where it is none, a dash where it is empty or null."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(c), "yyyy-MM-dd HH:mm"), F.nullif(c, F.lit("")), F.lit("—"))
+
+
+def criterion_prompt(question: Column, document: Column) -> Column:
+    """What a judge is asked on a criterion; the prompt is defined on the first 8,000 characters of the document."""
+    return F.concat(F.lit("Evaluation question: "), question, F.lit("\n\n--- Document to evaluate ---\n"), F.substring(document, 1, 8000), F.lit("\n--- End of document ---"))
+
+
+def judge_prompt(question: Column, reference: Column, answer: Column) -> Column:
+    """What a judge is asked on an answer; the prompt is defined on the first 800 characters of either answer."""
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nReference answer: "), F.substring(reference, 1, 800), F.lit("\n\nModel answer to evaluate: "), F.substring(answer, 1, 800))
+
+
+def report_prompt(topic: Column, extract: Column, note: Column, focus: Column, extra: str = "") -> Column:
+    """What a model is asked for a report on an extract of the corpus."""
+    lines = [F.concat(F.lit("Research topic: "), topic), F.lit(""), note, focus, *([F.lit(extra)] if extra else []), F.concat(F.lit("--- Corpus extract ("), F.format_number(F.length(extract), 0), F.lit(" chars) ---")), extract, F.lit("--- End of extract ---")]
+    return strip(F.concat_ws("\n", *(F.coalesce(x, F.lit("")) for x in lines)))
+
+
 def sample_window(c: Column, most: int = fixed.SAMPLE_WINDOW) -> Column:
     """The whole text up to ``most`` characters, else a third each of its head, middle and tail with marks between."""
     third = most // 3

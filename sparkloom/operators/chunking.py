@@ -60,3 +60,13 @@ def weighted_window(external: Column, main: Column, most: int = fixed.SAMPLE_WIN
     own = text.sample_window(main, most - budget)
     tail = F.when(text.strip(own) != "", F.concat(F.lit("\n\n[--- Additional context from project codebase ---]\n\n"), own)).otherwise("")
     return F.concat(text.sample_window(external, budget), tail)
+
+
+def corpus_window(external: Column | None, main: Column, most: int = fixed.SAMPLE_WINDOW, fraction: float = fixed.EXTERNAL_FRACTION) -> Column:
+    """(text, note): the weighted window with a note on its mix; without an external corpus, or where it is null, one of the main corpus."""
+    share = int(fraction * 100)
+    plain = F.struct(text.sample_window(main, most).alias("text"), F.lit("(Using combined corpus — no external corpus to sample first)").alias("note"))
+    if external is None:
+        return plain
+    mixed = F.struct(weighted_window(external, main, most, fraction).alias("text"), F.lit(f"(Corpus mix: ~{share}% external research sources, ~{100 - share}% project codebase context)").alias("note"))
+    return F.when(external.isNull(), plain).otherwise(mixed)

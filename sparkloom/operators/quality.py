@@ -27,11 +27,10 @@ def first_by_key(docs: DataFrame, key: str = "key", order: str = "doc_id") -> Da
     return docs.join(first, [key, order], "left_semi")
 
 
-def base_score(body: Column) -> Column:
-    """Quality of a text of fifty words or more: variety of words, length, less what boilerplate takes away."""
-    words = text.word_list(body)
-    n = F.size(words)
-    variety = F.least(F.size(F.array_distinct(F.transform(words, F.lower))) / n, F.lit(1.0))
+def base_score(body: Column, words: Column, distinct: Column) -> Column:
+    """Quality of a text of fifty ``words`` or more, ``distinct`` in lower case: variety, length, less what boilerplate takes away."""
+    n = words
+    variety = F.least(distinct / n, F.lit(1.0))
     hits = text.count_matching(body, [f"(?i){p}" for p in fixed.BOILERPLATE])
     raw = variety * 0.6 + F.least(n / 2000, F.lit(1.0)) * 0.2 - F.least(hits * 0.15, F.lit(0.5))
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
@@ -40,13 +39,15 @@ def base_score(body: Column) -> Column:
 def scored(docs: DataFrame, titles: list[str] | None = None) -> DataFrame:
     """Adds words, sentences, score, reason and kind (external or internal)."""
     body = F.col("text")
-    rows = docs.select("*", text.word_count(body).alias("words"), text.sentence_count(body).alias("sentences"), rules.personal_reason(body, F.col("title")).alias("_personal"), rules.script_reason(rules.script(body)).alias("_script"))
+    # split once; the array is used for the count and the variety, and goes no further
+    rows = docs.select("*", text.word_list(F.lower(body)).alias("_list")).select("*", F.size("_list").alias("words"), F.size(F.array_distinct("_list")).alias("_distinct")).drop("_list")
+    rows = rows.select("*", text.sentence_count(body).alias("sentences"), rules.personal_reason(body, F.col("title")).alias("_personal"), rules.script_reason(rules.script(body)).alias("_script"))
     empty = text.strip(body) == ""
     reason = F.when(empty, "empty document").when(F.col("_personal") != "", F.col("_personal")).when(F.col("_script") != "", F.col("_script")).when(F.col("words") < 50, "too short").otherwise("")
     rows = rows.select("*", reason.alias("reason"))
-    score = F.when(F.col("reason") == "too short", 0.1).when(F.col("reason") != "", 0.0).otherwise(base_score(body))
+    score = F.when(F.col("reason") == "too short", 0.1).when(F.col("reason") != "", 0.0).otherwise(base_score(body, F.col("words"), F.col("_distinct")))
     internal = rules.is_internal(F.col("title"), F.col("source"), titles)
-    return rows.select("*", score.alias("score"), F.when(internal, "internal").otherwise("external").alias("kind")).drop("_personal", "_script")
+    return rows.select("*", score.alias("score"), F.when(internal, "internal").otherwise("external").alias("kind")).drop("_personal", "_script", "_distinct")
 
 
 def gate(docs: DataFrame, threshold: float = fixed.QUALITY_THRESHOLD) -> DataFrame:

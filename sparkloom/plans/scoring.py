@@ -70,10 +70,12 @@ def q3_split(spark: SparkSession, d: str) -> DataFrame:
     return questions.split(read(spark, d, "qa_train").select("record_id"), ["record_id"], 0.1)
 
 
-@plans.add("SELECT record_id, list_filter(messages, lambda m: m.role = 'user')[1].content AS question, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS answer, list_filter(messages, lambda m: m.role = 'system')[1].content AS told FROM qa_train")
+@plans.add("SELECT * FROM (SELECT record_id, list_filter(messages, lambda m: m.role = 'user')[1].content AS question, list_filter(messages, lambda m: m.role = 'assistant')[1].content AS answer, list_filter(messages, lambda m: m.role = 'system')[1].content AS told FROM qa_train) WHERE question IS NOT NULL AND answer IS NOT NULL")
 def q6_roles(spark: SparkSession, d: str) -> DataFrame:
+    """Records that lack a question or an answer are left out."""
     m = F.col("messages")
-    return read(spark, d, "qa_train").select("record_id", *(questions.first_content(m, r).alias(n) for r, n in (("user", "question"), ("assistant", "answer"), ("system", "told"))))
+    rows = read(spark, d, "qa_train").select("record_id", *(questions.first_content(m, r).alias(n) for r, n in (("user", "question"), ("assistant", "answer"), ("system", "told"))))
+    return rows.where("question is not null and answer is not null")
 
 
 @plans.add(rf"""SELECT i AS id, CASE WHEN q <> '' AND a <> '' THEN {strip('q')} WHEN len(ls) >= 2 THEN ls[1] END AS question, CASE WHEN q <> '' AND a <> '' THEN substr({strip('a')}, 1, 1024) WHEN len(ls) >= 2 THEN substr(array_to_string(ls[2:], ' '), 1, 1024) END AS answer
@@ -102,8 +104,7 @@ def t23_clips(spark: SparkSession, d: str) -> DataFrame:
 
 @plans.add("SELECT result_id, md5('Question: ' || question || chr(10) || chr(10) || 'Reference answer: ' || substr(reference_answer, 1, 800) || chr(10) || chr(10) || 'Model answer to evaluate: ' || substr(model_answer, 1, 800)) AS prompt_md5 FROM sample_results")
 def t24_judge_prompt(spark: SparkSession, d: str) -> DataFrame:
-    prompt = F.concat(F.lit("Question: "), "question", F.lit("\n\nReference answer: "), F.substring("reference_answer", 1, 800), F.lit("\n\nModel answer to evaluate: "), F.substring("model_answer", 1, 800))
-    return _results(spark, d).select("result_id", F.md5(prompt).alias("prompt_md5"))
+    return _results(spark, d).select("result_id", F.md5(text.judge_prompt(F.col("question"), F.col("reference_answer"), F.col("model_answer"))).alias("prompt_md5"))
 
 
 @plans.add("SELECT result_id, question FROM sample_results ORDER BY result_id LIMIT 50")
@@ -265,9 +266,11 @@ def a8_cache_statistics(spark: SparkSession, d: str) -> DataFrame:
     return history.cache_statistics(read(spark, d, "prompts"))
 
 
-@plans.add("SELECT DISTINCT topic FROM runs WHERE lower(status) = 'completed'")
+@plans.add("SELECT 0 AS part, 'All' AS topic UNION ALL SELECT DISTINCT 1, topic FROM runs WHERE lower(status) = 'completed' AND topic IS NOT NULL")
 def a9_o10_topics(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "runs").where("lower(status) = 'completed'").select("topic").distinct()
+    """``All``, then the topics in order."""
+    found = read(spark, d, "runs").where("lower(status) = 'completed' and topic is not null").select(F.lit(1).alias("part"), "topic").distinct()
+    return spark.createDataFrame([(0, "All")], "part int, topic string").unionByName(found).orderBy("part", "topic")
 
 
 @plans.add("SELECT judge_model, floor(avg(avg_score) * 10000 + 0.5000001) / 10000 AS mean FROM runs WHERE avg_score IS NOT NULL GROUP BY judge_model ORDER BY floor(avg(avg_score) * 10000 + 0.5000001) / 10000 DESC, judge_model LIMIT 10")
@@ -290,10 +293,11 @@ def o6_filter(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "runs").where(F.lower("status").isin("completed", "failed") & F.contains(F.lower("topic"), F.lit("how"))).select("id", "status")
 
 
-@plans.add("SELECT origin, n FROM (SELECT 'sample_results' AS origin, count(*) AS n FROM sample_results UNION ALL SELECT 'prompts', count(*) FROM prompts)")
+@plans.add("SELECT 0 AS place, result_id AS id, md5(coalesce(question, '')) AS text_md5 FROM sample_results UNION ALL SELECT 1, entry_id, md5(coalesce(prompt, '')) FROM prompts UNION ALL SELECT 2, doc_id, md5(coalesce(text, '')) FROM documents")
 def o7_o8_union(spark: SparkSession, d: str) -> DataFrame:
-    rows = _results(spark, d).select(F.lit("sample_results").alias("origin")).unionByName(read(spark, d, "prompts").select(F.lit("prompts").alias("origin")))
-    return rows.groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+    """Rows of three collectors in the order of the sources."""
+    part = lambda i, df, key, c: df.select(F.lit(i).alias("place"), F.col(key).alias("id"), F.md5(_BLANK(c)).alias("text_md5"))
+    return part(0, _results(spark, d), "result_id", "question").unionByName(part(1, read(spark, d, "prompts"), "entry_id", "prompt")).unionByName(part(2, read(spark, d, "documents"), "doc_id", "text"))
 
 
 @plans.add("SELECT id, epoch_us(started_at) AS started_us, weighted_eval FROM runs WHERE weighted_eval IS NOT NULL")

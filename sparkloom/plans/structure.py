@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import fixed, text
+from sparkloom.functions import fixed, rules, text
 from sparkloom.operators import extraction, history, judging, packaging, questions, similarity
 from sparkloom.plans.base import Plans, clean, quote, read, strip, values
 from sparkloom.plans.scoring import _cache, _digit_sql, _question_sql, _sentences_sql, _vectors
@@ -249,3 +249,45 @@ def m2_finish(spark: SparkSession, d: str) -> DataFrame:
     changes = said.withColumn("status", F.when(F.col("run_id") % 3 == 0, "failed")).withColumnRenamed("run_id", "id")
     done = history.finish(read(spark, d, "runs"), changes)
     return done.select("id", "status", "iterations", F.round("pass_rate", 6).alias("pass_rate"), "avg_score", "notes", "topic")
+
+
+# ---- slugs, prints, prompts, badges ---------------------------------------------------------------------------------
+
+
+@plans.add("SELECT id, regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS function_name, substr(replace(lower(t), ' ', '-'), 1, 40) AS program_name, substr(regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 40) || '-' || strftime(CAST(started_at AT TIME ZONE 'UTC' AS TIMESTAMP), '%Y%m%d-%H%M%S') AS run_name FROM (SELECT id, coalesce(topic, '') AS t, started_at FROM runs)")
+def t16_names(spark: SparkSession, d: str) -> DataFrame:
+    t = F.coalesce("topic", F.lit(""))
+    return read(spark, d, "runs").select("id", text.function_slug(t).alias("function_name"), text.program_slug(t).alias("program_name"), packaging.run_name(t, F.col("started_at")).alias("run_name"))
+
+
+@plans.add("SELECT doc_id, substr(sha1(coalesce(url, '')), 1, 16) AS url_key, substr(sha1(coalesce(text, '')), 1, 16) AS content_key, CAST(epoch_us(collected_at) * 1000 AS VARCHAR) || ':' || CAST(n_chars AS VARCHAR) AS stamp FROM documents")
+def t17_prints(spark: SparkSession, d: str) -> DataFrame:
+    """The url, the text as a file of bytes (all are under 512 KiB), time and size of every document."""
+    url = F.coalesce("url", F.lit(""))
+    return read(spark, d, "documents").select("doc_id", F.substring(F.sha1(url), 1, 16).alias("url_key"), text.content_hash(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("content_key"), text.file_stamp(F.col("collected_at"), F.col("n_chars")).alias("stamp"))
+
+
+@plans.add("SELECT doc_id, md5('Evaluation question: ' || title || chr(10) || chr(10) || '--- Document to evaluate ---' || chr(10) || substr(text, 1, 8000) || chr(10) || '--- End of document ---') AS criterion_md5 FROM documents")
+def t24_criterion_prompt(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select("doc_id", F.md5(text.criterion_prompt(F.col("title"), F.col("text"))).alias("criterion_md5"))
+
+
+@plans.add("SELECT id, CASE WHEN avg_score IS NULL THEN '—' ELSE CASE WHEN avg_score >= 0.75 THEN '🟢' WHEN avg_score >= 0.5 THEN '🟡' ELSE '🔴' END || ' ' || printf('%.3f', avg_score) END AS score, CASE status WHEN 'completed' THEN '✅' WHEN 'running' THEN '⏳' WHEN 'failed' THEN '❌' ELSE status END AS state FROM runs")
+def f24_badges(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "runs").select("id", rules.score_badge(F.col("avg_score")).alias("score"), rules.status_badge(F.col("status")).alias("state"))
+
+
+_STUB_SQL = ", ".join(f"CASE WHEN contains(lower(x), {quote(w)}) THEN {quote(f'### {label}' + chr(10) * 2 + '```python' + chr(10) + f'# Pattern: {label}' + chr(10) + fixed.STUBS[w] + chr(10) * 2 + 'def ' + ''.join(c if c.isalnum() else '_' for c in label.lower()) + '():' + chr(10) + '    raise NotImplementedError' + chr(10) + '```')} END" for w, label in fixed.DOMAINS)
+_CODE_SQL = f"list_sort(list_filter(list_transform(range(1, len(cc) + 1), lambda k: {{'m': -length({strip('cc[k]')}), 'k': k, 'l': CASE WHEN ll[k] = '' THEN 'python' ELSE ll[k] END, 'c': {strip('cc[k]')}}}), lambda s: s.m < -40))[1:6]"
+
+
+@plans.add(rf"""WITH {_CONCEPTS_SQL}, e AS (SELECT id, x, cs, regexp_extract_all(x, '(?s)```(\w*)
+(.*?)```', 1) AS ll, regexp_extract_all(x, '(?s)```(\w*)
+(.*?)```', 2) AS cc FROM c),
+g AS (SELECT id, cs, {_CODE_SQL} AS bs, list_filter([{_STUB_SQL}], lambda s: s IS NOT NULL)[1:4] AS st FROM e)
+SELECT id, md5(concat_ws(chr(10) || chr(10), '# Code Suggestions (heuristic): ' || id, CASE WHEN len(cs) > 0 THEN '## Key Concepts' || chr(10) || chr(10) || array_to_string(list_transform(cs, lambda k, i: i || '. ' || k), chr(10)) END,
+'## Code' || chr(10) || chr(10) || CASE WHEN len(bs) = 0 THEN '_No fenced code blocks found._' ELSE array_to_string(list_transform(bs, lambda b, i: '### Example ' || i || chr(10) || chr(10) || '```' || b.l || chr(10) || b.c || chr(10) || '```'), chr(10) || chr(10)) END,
+CASE WHEN len(st) > 0 THEN '## Stubs for Detected Patterns' || chr(10) || chr(10) || array_to_string(st, chr(10) || chr(10)) END)) AS report_md5 FROM g""")
+def t26_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _ascii(_texts(spark, d, MARKED))
+    return rows.select("id", F.md5(packaging.suggestions(F.col("id").cast("string"), F.col("x"))).alias("report_md5"))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from sparkloom.functions import fixed, text
+from sparkloom.operators import chunking
+from sparkloom.shared import remove
 
 SEPARATOR = "<DOC_SEP>"
 DOCUMENT = "title string, text string, source string, url string"
@@ -22,7 +24,7 @@ def folder(spark: SparkSession, path: str, suffixes: list[str] | None = None, pd
     files that are missing or fail to parse are skipped. ``most`` keeps the first files by path.
     """
     suffixes = suffixes or fixed.FILE_SUFFIXES
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes) + "}").option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True).load(path)
     if most is not None:
         files = files.join(files.select("path").orderBy("path").limit(most), "path", "left_semi")
 
@@ -119,3 +121,44 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
 def write_split(records: DataFrame, path: str) -> None:
     """JSON lines by split."""
     records.write.mode("overwrite").partitionBy("split").json(path)
+
+
+def write_cleaned(chunks: DataFrame, path: str) -> dict[str, str]:
+    """The cleaned corpus ``cleaned``, external chunks first, and ``external`` with those alone; the latter goes if there are none.
+
+    Chunks are ordered by ranges, so that the files of a folder, in the order of their names, make up the corpus.
+    """
+    rows = chunking.cleaned_corpus(chunks)
+    order = ["part", "doc_id", "chunk_no"]
+    paths = {"cleaned": f"{path}/cleaned", "external": f"{path}/external"}
+    rows.orderBy(*order).select("chunk").write.mode("overwrite").option("lineSep", "\n\n").text(paths["cleaned"])
+    outer = rows.where("kind = 'external'")
+    if outer.limit(1).count():
+        outer.orderBy(*order).select("chunk").write.mode("overwrite").option("lineSep", "\n\n").text(paths["external"])
+    else:
+        remove(chunks.sparkSession, paths.pop("external"))
+    return paths
+
+
+def report_json(report: DataFrame, sources: DataFrame, best: DataFrame) -> DataFrame:
+    """json: one row, the report with its breakdown by source and its best documents (twenty of them)."""
+    by_source = sources.agg(F.array_sort(F.collect_list(F.struct(*sources.columns))).alias("source_breakdown"))  # a row for each source
+    shown = best.agg(F.collect_list(F.struct(*best.columns)).alias("doc_stats"))
+    return report.crossJoin(F.broadcast(by_source)).crossJoin(F.broadcast(shown)).select(F.to_json(F.struct("*")).alias("json"))  # one row each
+
+
+def write_report(report: DataFrame, sources: DataFrame, best: DataFrame, path: str) -> None:
+    """The report as one file of JSON."""
+    report_json(report, sources, best).coalesce(1).write.mode("overwrite").text(path)
+
+
+def metrics_summary(rows: DataFrame) -> DataFrame:
+    """line: iteration, losses and topic of each row of metrics (all texts), unknown columns and nulls as ``?``, in aligned columns."""
+    get = lambda c: F.coalesce(F.col(c), F.lit("?")) if c in rows.columns else F.lit("?")
+    padded = lambda c, n: F.lpad(get(c), F.greatest(F.lit(n), F.length(get(c))), F.lit(" "))
+    return rows.select(F.concat(F.lit("  iter "), padded("iteration", 3), F.lit("  val_loss="), padded("val_loss", 8), F.lit("  val_score="), padded("val_score", 6), F.lit("  topic="), get("topic")).alias("line"))
+
+
+def flush_log(entries: DataFrame, path: str) -> None:
+    """The whole state (key, hash, last_seen) as JSON lines, replacing what is there. The old state must not be read from ``path`` itself."""
+    entries.select("key", "hash", "last_seen").write.mode("overwrite").json(path)

@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkloom import running, shared
+from sparkloom import pipeline, running, shared
 from sparkloom.functions import rules, text
-from sparkloom.operators import chunking, history, incremental, packaging, quality, questions, relational, similarity
-from sparkloom.sources import files, services
+from sparkloom.operators import chunking, extraction, history, incremental, packaging, quality, questions, relational, similarity
+from sparkloom.sources import files, models, services
 from sparkloom.streaming import collect
 
 DOC = "doc_id long, title string, text string, source string, url string, clash string"
@@ -163,12 +163,124 @@ def test_service_shapes(spark):
     assert sorted(len(r.text) for r in rows) == [4000, 8000, 9000]
 
 
-def test_generators_and_package_write(spark, tmp_path):
+def test_generators_and_package_files(spark, tmp_path):
     rows = spark.createDataFrame([("r", "SUMMARY.md"), ("r", "TESTS.md")], "run_id string, file string")
-    made = packaging.generate(rows, {"SUMMARY.md": lambda df: df.withColumn("content", F.lit("# S"))})
-    packaging.write(made, str(tmp_path / "out"))
-    assert [(r.run_id, r.file) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("r", "SUMMARY.md")]
+    made = packaging.generate(rows, {"SUMMARY.md": lambda df: df.withColumn("content", F.lit("# Sü"))})
     assert packaging.generate(rows, {}).count() == 0
+    failed = rows.where("file = 'TESTS.md'").withColumn("content", F.lit(None).cast("string")).withColumn("error", F.lit("no generator"))
+    contents = made.withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+    meta = spark.createDataFrame([("r", "topic", "code")], "run_id string, topic string, type string")
+    out = str(tmp_path / "out")
+    packaging.write(contents, meta, out)
+    assert (tmp_path / "out" / "r" / "SUMMARY.md").read_text() == "# Sü"
+    assert sorted(f.name for f in (tmp_path / "out" / "r").iterdir() if not f.name.startswith(".")) == ["SUMMARY.md", "metadata.json"]
+    assert json.loads((tmp_path / "out" / "r" / "metadata.json").read_text())["errors"] == {"TESTS.md": "no generator"}
+    known = files.packages(spark, out).collect()
+    assert [(p.run_id, p.topic, p.type, dict(p.files)) for p in known] == [("r", "topic", "code", {"SUMMARY.md": "SUMMARY.md"})]
+
+
+def test_reports_of_a_row(spark):
+    body = "## Overview\nall of it\n## Key Findings\n- x"
+    rows = spark.createDataFrame([(1, "benchmark survey of stores", body), (2, "t", None)], "id int, topic string, body string")
+    made = {(r.id, r.file): r.content for r in packaging.reports(rows, "id", "topic", "body").collect()}
+    summary = made[1, "SUMMARY.md"]
+    assert summary.startswith("# Research Summary: benchmark survey of stores\n\n") and "## Overview\n\nall of it\n\n## Key Findings\n\n- x\n\n" in summary
+    assert "- **SUMMARY.md** — this file\n- **ARCHITECTURE.md**" in summary and "## Recommended Next Action\n\n_No content generated._" in summary
+    assert "## Component Diagram\n\n_No" not in made[1, "ARCHITECTURE.md"].split("## Components")[0]
+
+
+def test_sections_by_place_do_not_count_as_found(spark):
+    rows = spark.createDataFrame([("## A\none\n## B\ntwo",), ("",), (None,)], "x string").select(extraction.sections(F.col("x")).alias("s"), extraction.coverage(extraction.sections(F.col("x")), ["A", "C"]).alias("c")).collect()
+    assert dict(rows[0].s) == {"a": "one", "b": "two", "_section_0": "one", "_section_1": "two"} and [r.c for r in rows[:2]] == [50, 0]
+
+
+def test_topics_fall_back_to_word_pairs(spark):
+    rows = spark.createDataFrame([(1, "# Named", "x"), (2, None, "deep learning with deep learning models"), (3, "nothing", ""), (4, None, None)], "id int, program string, body string")
+    assert {r.id: r.topic for r in extraction.topics(rows, "id", "program", "body").collect()} == {1: "Named", 2: "deep learning, learning with, with deep", 3: "research findings", 4: "research findings"}
+
+
+def test_finished_runs_take_defaults(spark):
+    runs = spark.createDataFrame([(1, "t", "running", 5, 0.5, "old"), (2, "u", "running", 1, None, None)], "id long, topic string, status string, iterations long, avg_score double, notes string")
+    done = {r.id: r for r in history.finish(runs, spark.createDataFrame([(1, 0.75), (9, 1.0)], "id long, avg_score double")).collect()}
+    assert tuple(done[1]) == (1, "t", "completed", 0, 0.75, "") and tuple(done[2]) == (2, "u", "running", 1, None, None)
+    assert history.cleared(runs)[1] == 2 and history.cleared(runs)[0].count() == 0
+
+
+def test_contexts_in_blocks_of_words(spark):
+    chunks = spark.createDataFrame([(0, "nothing here"), (1, "Why not"), (2, "it rains. Why?"), (3, None)], "place long, chunk string")
+    asked = spark.createDataFrame([(1, "Why does it"), (2, "rain falls"), (3, "zebra"), (4, None), (5, "")], "id int, q string")
+    for block in (1, 200_000):
+        assert {r.id: r.place for r in questions.contexts(asked, "id", F.col("q"), chunks, block=block).collect()} == {1: 1, 2: 2, 3: 0, 4: 0, 5: 0}
+    assert {r.chunk for r in questions.contexts(asked, "id", F.col("q"), chunks.limit(0)).collect()} == {""}
+
+
+def test_cache_chain(spark):
+    cache = spark.createDataFrame([(1, "h1", "m", "alpha beta gamma", "old", 5), (2, "h1", "m", "alpha beta gamma", "new", 9), (3, "h3", "m", "one two three four", "near", 9), (4, "h4", "m", "stale entry here", "stale", 0)], "entry_id long, hash string, model string, prompt string, response string, at int")
+    cache = cache.withColumn("cached_at", F.timestamp_seconds(F.col("at") * 3600))
+    asked = spark.createDataFrame([(10, "h1", "m", "x y"), (11, "zz", "m", "one two three four!"), (12, "zz", "other", "one two three four"), (13, "h4", "m", "stale entry here"), (14, None, None, None)], "query_id long, hash string, model string, prompt string")
+    found = similarity.cached(asked, cache, lambda rest: rest.select("query_id", F.lit("made").alias("response")), age="6 hours", now=F.timestamp_seconds(F.lit(10 * 3600)))
+    assert {r.query_id: (r.how, r.entry_id, r.response) for r in found.collect()} == {10: ("exact", 2, "new"), 11: ("fuzzy", 3, "near"), 12: ("computed", None, "made"), 13: ("computed", None, "made"), 14: ("computed", None, "made")}
+
+
+def test_many_query_tokens_are_salted(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"common word{i % 7} thing{i % 3}") for i in range(60)], "id int, t string")
+    want = {tuple(r) for r in similarity.similar(rows, rows, 0.5, ("id", "t"), ("id", "t")).collect()}
+    monkeypatch.setattr(similarity, "QUERY_TOKENS", 10)
+    assert {tuple(r) for r in similarity.similar(rows, rows, 0.5, ("id", "t"), ("id", "t")).collect()} == want and len(want) > 60
+
+
+def test_completed_by_provider_with_retries_and_fallback(spark):
+    def reply(model, prompt):
+        if prompt == "down":
+            raise ValueError("bad request")
+        return f"{model}: ```" if prompt == "open" else f"{model}: {prompt}"
+
+    rows = spark.createDataFrame([(1, "hi", "claude-x"), (2, "down", "claude-x"), (3, "hi", "gpt-x"), (4, None, "claude-x"), (5, "open", "claude-x")], "id int, prompt string, model string")
+    got = {r.id: (r.reply, r.error) for r in models.completed(rows, "prompt", F.col("model"), {"anthropic": reply}, F.lit("none")).collect()}
+    assert got == {1: ("claude-x: hi", None), 2: ("none", "bad request"), 3: ("none", None), 4: ("none", None), 5: ("claude-x: ```", None)}
+
+
+def test_pipeline_writes_every_step(spark, tmp_path):
+    text_ = "## Overview\n" + " ".join(f"The river near town{i} was measured with great care, and the results of the survey were kept in the archive." for i in range(40))
+    source = lambda rows: spark.createDataFrame(rows, "title string, text string, source string, url string")
+    docs = pipeline.collected(source([("A", text_, "web", "u1"), ("short", "x", "web", "u2")]), source([("A", "later " + text_, "web", "u1"), ("B", text_[::-1], "pdf", None), (None, None, None, None)]))
+    assert sorted(r.title for r in docs.collect()) == ["A", "B"] and docs.where("title = 'A'").first().text.startswith("## Overview")
+    paths = pipeline.run(docs, f"file://{tmp_path}", "survey of rivers", "r1")
+    assert set(paths) == {"corpus", "metadata", "cleaned", "external", "report", "records", "package", "evaluation"}
+    report = json.loads(spark.read.text(paths["report"]).first().value)
+    assert report["total_docs"] == 2 and report["source_breakdown"] and report["doc_stats"]
+    assert {r.split for r in spark.read.json(paths["records"]).collect()} == {"train", "val"}
+    assert files.packages(spark, paths["package"]).count() == 2 and spark.read.parquet(paths["evaluation"]).count() == 2
+    with pytest.raises(ValueError):
+        pipeline.run(docs, str(tmp_path), "t", "r", steps=["publish"])
+
+
+def test_loop_keeps_runs_and_tells_events(spark):
+    runs = spark.createDataFrame([(1, "old", "completed", 1, 0.5, 0.5)], "id long, topic string, status string, iterations long, avg_score double, pass_rate double")
+    metrics = spark.createDataFrame([], "run_id long, iteration long, val_score double, pass_rate double")
+    heard, calls = [], []
+    loop = pipeline.Loop(runs, metrics, [lambda kind, what: heard.append(kind)])
+    assert loop.research("new", lambda i: {"val_score": i / 10, "pass_rate": None}, 2, collect=calls.append, prepare=calls.append) == 2
+    assert calls == [1, 1, 2, 2] and heard == ["status", "log", "log", "result", "done"]
+    assert loop.research("bad", lambda i: 1 / 0) == 3 and "error" in heard
+    assert loop.research("again", lambda i: {}, similar=lambda topic: runs) is None
+    got = {r.id: (r.status, r.iterations, r.avg_score) for r in loop.runs.collect()}
+    assert got == {1: ("completed", 1, 0.5), 2: ("completed", 2, 0.15), 3: ("failed", 0, None)} and loop.metrics.count() == 2
+
+
+def test_small_sinks_and_text_functions(spark, tmp_path):
+    log = spark.createDataFrame([("k", "h", 1.5)], "key string, hash string, last_seen double")
+    files.flush_log(log, str(tmp_path / "log"))
+    assert [tuple(r)[:3] for r in files.read_log(spark, str(tmp_path / "log")).collect()] == [("k", "h", 1.5)]
+    line = files.metrics_summary(spark.createDataFrame([("1", None, "t")], "iteration string, val_loss string, topic string")).first().line
+    assert line == "  iter   1  val_loss=       ?  val_score=     ?  topic=t"
+    row = spark.range(1).select(text.minute(F.lit("2024-05-06T07:08:09")).alias("a"), text.minute(F.lit("soon")).alias("b"), text.minute(F.lit("")).alias("c"), text.content_hash(F.lit(b"x" * 600_000)).alias("d"), text.content_hash(F.lit(b"x" * 524_288)).alias("e"), text.report_prompt(F.lit("T"), F.lit("body"), F.lit("note"), F.lit(None).cast("string")).alias("f")).first()
+    assert (row.a, row.b, row.c) == ("2024-05-06 07:08", "soon", "—") and row.d == row.e and row.f.startswith("Research topic: T\n\nnote") and "(4 chars)" in row.f
+    windows = spark.createDataFrame([("ext", "main"), (None, "main")], "e string, m string").select(chunking.corpus_window(F.col("e"), F.col("m")).alias("w")).collect()
+    assert windows[0].w.text.startswith("ext\n\n[---") and "70%" in windows[0].w.note and windows[1].w.text == "main"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "A.TXT").write_text("upper")
+    assert [r.title for r in files.folder(spark, str(tmp_path / "in")).collect()] == ["A"]
 
 
 def test_stream_collects_each_key_once(spark, tmp_path):
@@ -194,4 +306,9 @@ def test_stream_windows_equal_batch(spark, tmp_path):
 
 def test_shared_table_reads_back(spark):
     assert shared.table(spark.range(5), "t").count() == 5
+    path = shared.new_path(spark, "gone")
+    spark.range(1).write.parquet(path)
+    assert shared.exists(spark, path)
+    shared.remove(spark, path)
+    assert not shared.exists(spark, path)
     assert shared.shared_dir(spark) == shared.shared_dir(spark)
