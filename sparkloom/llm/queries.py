@@ -54,6 +54,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_long(read(spark, d, "documents")).where("piece = 0").select("doc_id")
 
 
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every long text."""
+    return splitting.split_long(read(spark, d, "documents"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(read(spark, d, "documents"), read(spark, d, "benchmark"))
 
@@ -115,7 +120,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("part"), 3).alias("weight"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_groups, p4_found, p5_found, p6_found, p7_found, p7_report, p7_coverage, p8_found, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_statistics, p2_found, p2_clean, p3_found, p3_groups, p4_found, p5_found, p6_found, p6_pieces, p7_found, p7_report, p7_coverage, p8_found, p9_mix, p9_shares, p9_mix_chars, p9_shares_chars, p10_found, p10_composition)}
 # SQL of the cases where it can say the same: words, runs of words and lines as texts instead of hashes.
 _PLAIN = r"replace(lower(nfc_normalize(regexp_replace({x}, '\p{{Cf}}', '', 'g'))), 'ß', 'ss')"
 _WORDS = "list_filter(regexp_split_to_array(" + _PLAIN.format(x="text") + r", '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')"
@@ -139,7 +144,20 @@ q AS (SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY copy, h, doc_id)
 p AS (SELECT *, sum(tokens) OVER (ORDER BY finish, source, copy, h, doc_id) AS place FROM q),
 m AS (SELECT CAST(place AS BIGINT) AS place, doc_id, CAST(copy AS INTEGER) AS copy, source, tokens FROM p WHERE place - tokens < (SELECT sum(tokens) FROM c))"""
 
+_GAP = r"\t\n\x0B\f\r \x{85}\x{A0}\x{2028}\x{2029}\x{3000}"
+_LAST = lambda before: f"length(regexp_extract(w, '(?s)^(.*{before})[^{_GAP}]', 1))"  # noqa: E731  the last place of that kind in a window
+
 ORACLE: dict[str, str] = {
+    "p6_pieces": rf"""WITH RECURSIVE p AS (
+  SELECT doc_id, text AS t, length(text) AS n, -1 AS piece, 0 AS begin, 0 AS finish, 0 AS following FROM documents WHERE length(text) > 4096
+  UNION ALL
+  SELECT doc_id, t, n, piece + 1, s, e, CASE WHEN e = n THEN n WHEN o BETWEEN 1 AND 61 AND a - 1 + o <= e THEN a - 1 + o ELSE a END
+  FROM (SELECT *, length(regexp_extract(substr(t, CAST(a AS BIGINT), 62), '(?s)^(.*?[{_GAP}])[^{_GAP}]', 1)) AS o FROM (SELECT *, greatest(e - 200, s + 1) AS a FROM
+    (SELECT *, CASE WHEN n - s <= 4096 THEN n WHEN k1 > 2048 THEN s + k1 WHEN k2 > 2048 THEN s + k2 WHEN k3 > 2048 THEN s + k3 WHEN k4 > 2048 THEN s + k4 ELSE s + 4096 END AS e FROM
+      (SELECT *, {_LAST(f"{chr(92)}n[{_GAP}]*{chr(92)}n[{_GAP}]*")} AS k1, {_LAST(f"{chr(92)}n[{_GAP}]*")} AS k2, {_LAST(f"[.!?…。！？][{_GAP}]+")} AS k3, {_LAST(f"[{_GAP}]")} AS k4 FROM
+        (SELECT doc_id, t, n, piece, following AS s, substr(t, following + 1, 4097) AS w FROM p WHERE following < n)))))
+)
+SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(begin AS INTEGER) AS begin, CAST(finish AS INTEGER) AS finish, substr(t, CAST(begin + 1 AS BIGINT), CAST(finish - begin AS BIGINT)) AS text FROM p WHERE piece >= 0""",
     "p9_mix_chars": f"WITH {_MIXED} SELECT * FROM m",
     "p9_shares_chars": f"""WITH {_MIXED}, g AS (SELECT source, sum(tokens) AS tokens, count(*) AS copies, count(DISTINCT doc_id) AS documents FROM m GROUP BY source), a AS (SELECT source, sum(tokens) AS available FROM c GROUP BY source)
 SELECT lower(trim(t.source)) AS source, target_share, coalesce(round(g.tokens / (SELECT sum(tokens) FROM m), 6), 0) AS actual_share, CAST(coalesce(g.tokens, 0) AS BIGINT) AS tokens, coalesce(copies, 0) AS copies, coalesce(documents, 0) AS documents, CAST(coalesce(available, 0) AS BIGINT) AS available_tokens
