@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom import running
 from sparkloom.functions import fixed, rules, text
 from sparkloom.operators import chunking
 
@@ -107,7 +108,10 @@ def mean_by(df: DataFrame, group: str, value: str, count: int) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(group).agg(text.rounded(F.avg(value), 4).alias("mean")).orderBy(F.desc("mean"), group).limit(count)
 
 
-def running_mean(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """The mean of ``value`` so far, within each group, rounded down to three places."""
-    so_far = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select(group, order, (F.floor(F.avg(value).over(so_far) * 1000 + 1e-6) / 1000).alias("so_far"))
+def running_mean(df: DataFrame, group: str, order: str, value: str, rows: int = 100_000) -> DataFrame:
+    """The mean of ``value`` so far, within each group, rounded down to three places. A group of many rows is summed up in parts of ``rows``."""
+    kept = df.select(group, order, F.col(value).cast("double").alias("_value"), F.col(value).isNotNull().cast("long").alias("_one"))
+    parts = running.ranged(kept.fillna({"_value": 0.0}), [group, order], rows)
+    counted = running.running_total(parts, [group], F.col("_range"), [order], "_one", "_n")
+    summed = running.running_total(counted, [group], F.col("_range"), [order], "_value", "_sum")
+    return summed.select(group, order, (F.floor(F.try_divide("_sum", "_n") * 1000 + 1e-6) / 1000).alias("so_far"))

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom import running
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
+
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, rows: int = 100_000) -> DataFrame:
     """``left`` with the latest ``value`` of ``right`` of the same key at or before its time; null if there is none.
 
-    Both sides share one sorted pass over each key, so no pair of rows is formed. At equal times the largest value counts.
+    Both sides share one sorted pass, so no pair of rows is formed; a key of more than about ``rows`` rows is sorted in parts. At equal
+    times the largest value counts. Rows of ``left`` without key or time have no value.
     """
     own = [c for c in left.columns]
-    latest = right.groupBy(key, time).agg(F.max(value).alias("_v"))
-    rows = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1)).unionByName(latest.withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    so_far = Window.partitionBy(key).orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(value, F.last("_v", ignorenulls=True).over(so_far)).where("_side = 1").select(*own, value)
+    latest = right.where(F.col(key).isNotNull() & F.col(time).isNotNull()).groupBy(key, time).agg(F.max(value).alias("_v"))
+    known = left.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    both = known.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_side", F.lit(1)).unionByName(latest.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    filled = running.carried(running.ranged(both, [key, time, "_side"], rows), [key], [time, "_side"], "_v")
+    rest = left.where(F.col(key).isNull() | F.col(time).isNull()).withColumn(value, F.lit(None).cast(right.schema[value].dataType))
+    return filled.where("_side = 1").withColumn(value, F.col("_v")).select(*own, value).unionByName(rest.select(*own, value))
 
 
 def within_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: int) -> DataFrame:

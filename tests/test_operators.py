@@ -56,6 +56,15 @@ def test_running_total_matches_a_plain_sum(spark):
             assert r.s == total
 
 
+def test_hot_groups_in_parts_give_the_same_rows(spark):
+    rows = spark.range(900).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 5).cast("string")).alias("k"), (F.col("id") * 7919 % 900).alias("t"), F.when(F.col("id") % 11 != 0, F.col("id") % 10).alias("v"))
+    means = [{tuple(r) for r in quality.running_mean(rows, "k", "t", "v", rows=n).collect()} for n in (50, 10**6)]
+    assert means[0] == means[1] and len(means[0]) == 900
+    bought = rows.where("t % 7 = 0").select("k", "t", F.col("v").alias("b"))
+    joined = [sorted(map(str, relational.as_of(rows, bought, "k", "t", "b", rows=n).collect())) for n in (50, 10**6)]
+    assert joined[0] == joined[1] and len(joined[0]) == 900
+
+
 def test_as_of_join_with_ties_and_missing(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 3)], "k string, t int")
     right = spark.createDataFrame([("a", 2, 1.0), ("a", 5, 2.0), ("a", 5, 3.0)], "k string, t int, v double")
