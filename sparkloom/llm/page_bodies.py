@@ -11,6 +11,7 @@ blank text has no blocks; repeated pages come out alike; null titles are no feat
 
 from __future__ import annotations
 
+import io
 import re
 from collections import Counter
 
@@ -290,6 +291,24 @@ class BiLstm:
         return self
 
 
+def to_bytes(network: BiLstm) -> bytes:
+    """The weights of a network, to be kept and loaded instead of training anew."""
+    out = io.BytesIO()
+    np.savez(out, **network.p)
+    return out.getvalue()
+
+
+def from_bytes(data: bytes) -> BiLstm:
+    """The network of ``to_bytes``; bytes of anything else are an error."""
+    with np.load(io.BytesIO(data), allow_pickle=False) as found:
+        weights = {k: found[k] for k in found.files}
+    network = BiLstm(len(weights["xf"]), weights["o"].size // 2)
+    if {k: v.shape for k, v in weights.items()} != {k: v.shape for k, v in network.p.items()}:
+        raise ValueError("no weights of such a network")
+    network.p = weights
+    return network
+
+
 def pad(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Time-major inputs and mask of sequences of different length."""
     steps = max(1, max(map(len, pages), default=1))
@@ -353,7 +372,7 @@ def training_rows(pages: DataFrame, count: int = TRAINING_PAGES) -> list[tuple[s
 
 
 def main_bodies(pages: DataFrame, network: BiLstm | None = None) -> DataFrame:
-    """page_id, line_no of every line of the main body of each page."""
+    """page_id, line_no of every line of the main body of each page; ``network`` (of ``train`` or ``from_bytes``) spares the training."""
     labeller = Labeller(network or train(training_rows(pages)))
     rows = documents(pages, "page_id", "title", "text").where("text is not null")
     return map_chunks(rows, "text", "page_id long, line_no int", labeller, size=300_000)

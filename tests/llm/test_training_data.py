@@ -275,6 +275,16 @@ def test_labeller_learns_page_bodies(spark):
     assert page_bodies.main_bodies(df.limit(0)).count() == 0
 
 
+def test_network_is_kept_as_bytes():
+    network = page_bodies.BiLstm(7, hidden=3)
+    again = page_bodies.from_bytes(page_bodies.to_bytes(network))
+    x, mask = page_bodies.pad([np.ones((4, 7), np.float32), np.zeros((2, 7), np.float32)])
+    assert np.array_equal(network.forward(x, mask)[0], again.forward(x, mask)[0])
+    again.p["o"] = again.p["o"][:4]
+    with pytest.raises(ValueError):
+        page_bodies.from_bytes(page_bodies.to_bytes(again))
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(1)
     net = page_bodies.BiLstm(5, hidden=3)
