@@ -115,14 +115,24 @@ class Shard:
     def scan(self, known: np.ndarray, which: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Training texts and records of all pairs that share enough of their rarest words, a block of texts at a time.
 
-        ``known``: the distinct numbered words of the texts in order; ``which``: those of each text, from ``first`` on.
+        ``known``: the distinct numbered words of the texts in order; ``which``: those of each text, from ``first`` on. The texts must be in
+        the order of their length: only those that can be alike some record are looked at, and each block of them meets the records of
+        like length only.
         """
+        size = np.diff(first)
         if not len(self.words) or not len(which):
             return
-        size = np.diff(first)
+        start = int(np.searchsorted(size, self.alike * self.size[0] - EPSILON))
+        stop = int(np.searchsorted(size, self.size[-1] / self.alike + EPSILON, "right"))
+        skipped, size, which = start, size[start:stop], which[first[start] : first[stop]]
+        first = first[start : stop + 1] - first[start]
+        if not len(which):
+            return
         doc = np.repeat(np.arange(len(size)), size)
         at = np.minimum(np.searchsorted(self.words, known), len(self.words) - 1)
         rank = np.where(self.words[at] == known, self.rank[at], -1)[which]  # words that no record has are the rarest
+        shortest = np.searchsorted(self.size, self.alike * size - EPSILON)
+        longest = np.searchsorted(self.size, size / self.alike + EPSILON, "right")
         room = SHARED - 1 + size[doc] - _places(rank, doc, first)
         need = self.alike * size[doc] - EPSILON
         use = np.flatnonzero((rank >= 0) & (room >= need))
@@ -132,19 +142,21 @@ class Shard:
         count = np.maximum(0, high - low)
         total = np.concatenate([[0], np.cumsum(count)])
         mine = np.searchsorted(doc, np.arange(len(size) + 1))  # the words of each text among these
-        until, n, begin = total[mine], len(self.records), 0
+        until, begin = total[mine], 0
+        enough = lambda longer: np.minimum(SHARED, np.ceil(self.alike * longer - EPSILON))
         while begin < len(size):
-            end = max(begin + 1, min(begin + max(1, COUNTERS // n), int(np.searchsorted(until, until[begin] + HITS, "right")) - 1))
+            n = max(1, int(longest[min(begin + 256, len(size)) - 1] - shortest[begin]))
+            end = max(begin + 1, min(begin + 256, len(size), begin + max(1, COUNTERS // n), int(np.searchsorted(until, until[begin] + HITS, "right")) - 1))
             a, b = mine[begin], mine[end]
-            c = count[a:b]
-            place = np.repeat(low[a:b] - total[a:b], c) + np.arange(total[a], total[b])
-            fits = self.room[place] >= np.repeat(need[a:b], c)
-            hits = np.bincount((np.repeat((doc[a:b] - begin) * n, c) + self.record[place])[fits], minlength=1)
-            enough = lambda longer: np.minimum(SHARED, np.ceil(self.alike * longer - EPSILON))
-            found = np.flatnonzero(hits >= max(1, enough(size[begin:end].min())))
-            docs, records = found // n + begin, found % n
-            keep = hits[found] >= enough(np.maximum(size[docs], self.size[records]))
-            yield docs[keep], records[keep]
+            if total[b] > total[a]:
+                c = count[a:b]
+                place = np.repeat(low[a:b] - total[a:b], c) + np.arange(total[a], total[b])
+                fits = self.room[place] >= np.repeat(need[a:b], c)
+                hits = np.bincount((np.repeat((doc[a:b] - begin) * n - shortest[begin], c) + self.record[place])[fits])
+                found = np.flatnonzero(hits >= max(1, enough(size[begin])))
+                docs, records = found // n + begin, found % n + shortest[begin]
+                keep = hits[found] >= enough(np.maximum(size[docs], self.size[records]))
+                yield docs[keep] + skipped, records[keep]
             begin = end
 
     def possible(self, doc: np.ndarray, record: np.ndarray, words: np.ndarray, first: np.ndarray, block: int = 20_000) -> np.ndarray:
@@ -187,7 +199,11 @@ def _scanner(folders: list[str], alike: float):
         if not ids:
             return
         words, size = np.concatenate(parts), np.concatenate(sizes)
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        order = np.argsort(size, kind="stable")  # in the order of their length
+        ids, size = [ids[i] for i in order], size[order]
         first = np.concatenate([[0], np.cumsum(size)])
+        words = words[np.arange(first[-1]) + np.repeat(begin[order] - first[:-1], size)]
 
         def compared(shard: Shard, docs: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
             found: tuple[list, list, list] = ([], [], [])
@@ -230,7 +246,8 @@ def matches(train: DataFrame, val: DataFrame, alike: float = ALIKE, shard: int =
     classes = members.groupBy("key").agg(F.min("record_id").alias("class"), F.first("text").alias("text"))
     shards = max(1, -(-members.count() // shard))
     path = new_path(spark, "shards")
-    classes.select("class", "text", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard").mapInArrow(_hashes, "class long, words array<long>, shard int").write.partitionBy("shard").parquet(path)
+    # records of like length make up a shard, so that a text meets few shards
+    classes.select("class", "text").repartitionByRange(shards, F.length("text"), "class").withColumn("shard", F.spark_partition_id()).mapInArrow(_hashes, "class long, words array<long>, shard int").write.partitionBy("shard").parquet(path)
     there = sorted(r.shard for r in spark.read.schema("class long, words array<long>, shard int").parquet(path).select("shard").distinct().collect())
     rows = documents(train, "record_id", "messages").select("record_id", contents().alias("text"))
     most = max(2 * spark.sparkContext.defaultParallelism, -(-rows.select("record_id").count() // TASK))  # each task reads every shard, so tasks are few and long
