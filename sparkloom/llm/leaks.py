@@ -22,6 +22,7 @@ GRAM = 6
 WINDOW = PASSAGE - GRAM + 1
 #: Words of items that are sent to every task (8 MB); beyond it the fingerprints are joined by a shuffle.
 ITEM_WORDS = 1_000_000
+SALTS = 16
 
 
 def fingerprints(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +108,9 @@ def leaks(docs: DataFrame, items: DataFrame, item_words: int = ITEM_WORDS) -> Da
         return map_chunks(texts, "text", "doc_id long, item_id long", Items([r.item_id for r in rows], [r.text for r in rows])).distinct()
     left = map_chunks(texts.withColumnRenamed("doc_id", "id"), "text", "id long, print long", _prints).withColumnRenamed("id", "doc_id")
     right = map_chunks(tests.withColumnRenamed("item_id", "id"), "text", "id long, print long", _prints).withColumnRenamed("id", "item_id")
-    pairs = left.join(right, "print").select("doc_id", "item_id").distinct()
+    # a passage that much of the corpus holds is met in ``SALTS`` parts; the items, the smaller side, are repeated for each
+    left = left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    right = right.distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = left.join(right, ["print", "salt"]).select("doc_id", "item_id").distinct()
     both = pairs.join(texts, "doc_id").join(tests.withColumnRenamed("text", "item"), "item_id")
     return map_chunks(both, "text", "doc_id long, item_id long", _check).distinct()
