@@ -37,7 +37,7 @@ def _texts_sql(more: list[tuple]) -> str:
 #: CTE ``m`` (id, h, body) of the named sections of texts and ``p`` of the same by place. A heading right under another is text of it.
 _SECTIONS_SQL = rf"""q AS (SELECT id, string_split(regexp_replace(regexp_replace(x, '(##\s+[^\n]+\n)(##\s)', '\1' || chr(2) || '\2', 'g'), '\n(##\s)', chr(1) || '\1', 'g'), chr(1)) AS ss FROM {_texts_sql(SECTIONS)}),
 u AS (SELECT id, unnest(ss) AS s, generate_subscripts(ss, 1) AS k FROM q),
-v AS (SELECT id, k, replace(lower({strip(r"regexp_extract(s, '(?s)##\s+([^\n]+)\n(.*)', 1)")}), ' ', '_') AS h, {strip("replace(regexp_extract(s, '(?s)##\s+([^\n]+)\n(.*)', 2), chr(2), '')")} AS body FROM u WHERE regexp_matches(s, '##\s+[^\n]+\n')),
+v AS (SELECT id, k, replace(lower({strip(r"regexp_extract(s, '(?s)##\s+([^\n]+)\n(.*)', 1)")}), ' ', '_') AS h, {strip(r"replace(regexp_extract(s, '(?s)##\s+([^\n]+)\n(.*)', 2), chr(2), '')")} AS body FROM u WHERE regexp_matches(s, '##\s+[^\n]+\n')),
 p AS (SELECT id, '_section_' || (row_number() OVER (PARTITION BY id ORDER BY k) - 1) AS h, body FROM v),
 m AS (SELECT id, h, arg_max(body, k) AS body FROM v GROUP BY id, h)"""
 
