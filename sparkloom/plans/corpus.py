@@ -67,17 +67,20 @@ def f4_first_by_key(spark: SparkSession, d: str) -> DataFrame:
     return quality.first_by_key(_docs(spark, d)).select("doc_id", "key")
 
 
-@plans.add(f"SELECT p AS path, len(list_filter(regexp_split_to_array(lower(p), '[/\\\\]'), lambda x: list_contains({quote(fixed.PERSONAL_FOLDERS)}, x))) > 0 AS personal FROM {values([(p,) for p in PATHS], 'p')}")
+@plans.add(f"SELECT p AS path, len(list_filter(regexp_split_to_array(lower(p), '[/\\\\]'), lambda x: list_contains({quote(fixed.PERSONAL_FOLDERS)}, x))) > 0 AS personal FROM (SELECT DISTINCT p FROM (SELECT url AS p FROM documents WHERE url IS NOT NULL UNION ALL SELECT p FROM {values([(p,) for p in PATHS], 'p')}))")
 def f5_personal_folder(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in PATHS], "path string").select("path", rules.in_personal_folder(F.col("path")).alias("personal"))
+    paths = read(spark, d, "documents").where("url is not null").select(F.col("url").alias("path")).unionByName(spark.createDataFrame([(p,) for p in PATHS], "path string")).distinct()
+    return paths.select("path", rules.in_personal_folder(F.col("path")).alias("personal"))
 
 
 _INTERNAL = f"NOT list_contains({quote(fixed.ALWAYS_EXTERNAL)}, lower(source)) AND {any_in('lower(title)', fixed.INTERNAL_TITLES)}"
 
 
-@plans.add(f"SELECT source, title, {_INTERNAL} AS internal FROM {values(TITLES, 'source, title')}")
+@plans.add(f"SELECT source, title, {_INTERNAL} AS internal FROM (SELECT coalesce(source, '') AS source, coalesce(title, '') AS title FROM documents UNION ALL SELECT source, title FROM {values(TITLES, 'source, title')})")
 def f6_internal(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(TITLES, "source string, title string").select("source", "title", rules.is_internal(F.col("title"), F.col("source")).alias("internal"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    rows = read(spark, d, "documents").select(blank("source"), blank("title")).unionByName(spark.createDataFrame(TITLES, "source string, title string"))
+    return rows.select("source", "title", rules.is_internal(F.col("title"), F.col("source")).alias("internal"))
 
 
 _PERSONAL_SQL = f"CASE WHEN regexp_matches(title, {quote('(?i)' + fixed.PERSONAL_TITLE)}) THEN 'personal document title: ''' || title || '''' WHEN regexp_extract(body, {quote(PERSONAL_BODY)}) <> '' THEN 'personal document pattern: ''' || replace(substr(regexp_extract(body, {quote(PERSONAL_BODY)}), 1, 60), chr(10), ' ') || '''' ELSE '' END"
@@ -148,9 +151,9 @@ def f14_topic_class(spark: SparkSession, d: str) -> DataFrame:
 _TABLE = [(n, i, f, len(s.get(f, [])), fixed.TEMPLATES.get(f, "summary.jinja2"), f in fixed.TEMPLATES) for n, fs, s in fixed.DELIVERABLES for i, f in enumerate(fs)]
 
 
-@plans.add(f"SELECT t.topic, p.class, p.place, p.file, p.sections FROM (SELECT topic, {_topic_sql('topic')} AS class FROM {values([(t,) for t in TOPICS], 'topic')}) t JOIN (SELECT * FROM {values(_TABLE, 'class, place, file, sections, template, generated')}) p ON p.class = t.class")
+@plans.add(f"SELECT t.topic, p.class, p.place, p.file, p.sections FROM (SELECT topic, {_topic_sql('topic')} AS class FROM (SELECT DISTINCT topic FROM (SELECT topic FROM runs WHERE topic IS NOT NULL UNION ALL SELECT topic FROM {values([(t,) for t in TOPICS], 'topic')}))) t JOIN (SELECT * FROM {values(_TABLE, 'class, place, file, sections, template, generated')}) p ON p.class = t.class")
 def f15_deliverables(spark: SparkSession, d: str) -> DataFrame:
-    made = spark.createDataFrame([(t,) for t in TOPICS], "topic string").withColumn("class", rules.topic_class(F.col("topic")))
+    made = read(spark, d, "runs").select("topic").where("topic is not null").unionByName(spark.createDataFrame([(t,) for t in TOPICS], "topic string")).distinct().withColumn("class", rules.topic_class(F.col("topic")))
     return made.join(F.broadcast(packaging.deliverables(spark)), "class").select("topic", "class", "place", "file", F.size("sections").alias("sections"))
 
 
@@ -175,9 +178,11 @@ def f17_input_class(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", rules.input_class(F.col("x")).alias("class"))
 
 
-@plans.add(f"SELECT t.i AS id, p.class, p.place, p.file, p.generated FROM (SELECT i, CASE WHEN {_input_sql('x')} = 'text' THEN {_topic_sql(quote('Survey of stores'))} ELSE {_input_sql('x')} END AS class FROM {values(INPUTS, 'i, x')}) t JOIN (SELECT * FROM {values(_TABLE, 'class, place, file, sections, template, generated')}) p ON p.class = t.class")
+@plans.add(f"SELECT t.i AS id, p.class, p.place, p.file, p.generated FROM (SELECT i, CASE WHEN {_input_sql('x')} = 'text' THEN {_topic_sql('t')} ELSE {_input_sql('x')} END AS class FROM (SELECT doc_id AS i, coalesce(title, '') AS t, coalesce(text, '') AS x FROM documents UNION ALL SELECT -i, 'Survey of stores', x FROM {values(INPUTS, 'i, x')})) t JOIN (SELECT * FROM {values(_TABLE, 'class, place, file, sections, template, generated')}) p ON p.class = t.class")
 def f18_input_deliverables(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(INPUTS, "id long, x string").withColumn("topic", F.lit("Survey of stores"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    made = spark.createDataFrame(INPUTS, "i long, x string").select((-F.col("i")).alias("id"), F.lit("Survey of stores").alias("topic"), "x")
+    rows = read(spark, d, "documents").select(F.col("doc_id").alias("id"), blank("title").alias("topic"), blank("text").alias("x")).unionByName(made)
     return packaging.package(rows, "id", "topic", "x")
 
 
