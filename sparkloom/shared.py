@@ -43,6 +43,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder, in order; none if it is not there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
+
+
+def mark(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it was there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
