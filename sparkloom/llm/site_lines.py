@@ -12,6 +12,7 @@ empty table gives empty results. Extra columns don't matter.
 from __future__ import annotations
 
 from fractions import Fraction
+from urllib.parse import quote, unquote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import textkernel as K
 from sparkloom.llm.base import BROADCAST_ROWS, documents, map_chunks, site
-from sparkloom.shared import exists, new_path, remove, table
+from sparkloom.shared import mark, names, new_path, remove, table
 
 MIN_DOCUMENTS = 5
 MIN_SHARE = 0.1
@@ -112,7 +113,7 @@ class LineCounts:
     """Line counts by site in the folder ``path``, which grows batch by batch.
 
     ``counts``, ``totals`` and ``recurring`` are snapshots, one for each version; ``lines`` has a partition for each batch. A version
-    is in force once its list of batches is written, so a job that fails in between leaves the former one as it was.
+    is in force once the mark with its batch's id is there, so a job that fails in between leaves the former one as it was.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None, min_documents: int = MIN_DOCUMENTS, min_share: float = MIN_SHARE):
@@ -120,11 +121,8 @@ class LineCounts:
         self.min_documents, self.min_share = min_documents, min_share
 
     def batches(self) -> list[str]:
-        """Ids of the batches merged so far, in order."""
-        if not exists(self.spark, f"{self.path}/batches"):
-            return []
-        rows = self.spark.read.schema("batch string, version int").parquet(f"{self.path}/batches")
-        return [r.batch for r in rows.orderBy("version").collect()]  # one row for each batch
+        """Ids of the batches merged so far, in order: names of marks, one for each version."""
+        return [unquote(name.split("-", 1)[1]) for name in names(self.spark, f"{self.path}/batches") if not name.startswith((".", "_"))]
 
     def _at(self, name: str, version: int, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/version={version}") if version else self.spark.createDataFrame([], schema)
@@ -154,7 +152,7 @@ class LineCounts:
         counts = self._write(merge_counts(self._at("counts", version - 1, COUNTS), line_delta(fresh)), "counts", version, COUNTS)
         totals = self._write(merge_counts(self._at("totals", version - 1, TOTALS), site_totals(docs)), "totals", version, TOTALS)
         self._write(recurring(counts, totals, self.min_documents, self.min_share), "recurring", version, KEYS)
-        self.spark.createDataFrame([(batch, version)], "batch string, version int").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        mark(self.spark, f"{self.path}/batches/{version:08d}-{quote(batch, safe='')}")
         for name in ("counts", "totals"):  # two versions back nothing reads them any more
             remove(self.spark, f"{self.path}/{name}/version={version - 2}")
         return version
@@ -172,9 +170,10 @@ class LineCounts:
 
 
 def by_arrival(docs: DataFrame, time: str = "collected_at") -> list[tuple[str, DataFrame]]:
-    """``docs`` in batches by the year they came in, oldest first; rows without a time make up the last one."""
-    year = F.coalesce(F.date_format(time, "yyyy"), F.lit("none"))
-    return [(r.y, docs.where(year == r.y)) for r in docs.select(year.alias("y")).distinct().orderBy("y").collect()]  # a row for each year
+    """``docs`` in two batches: what came in before the latest year, and what came in since or at an unknown time."""
+    last = docs.agg(F.max(F.year(time))).first()[0]
+    old = F.coalesce(F.year(time) < F.lit(last), F.lit(False))
+    return [(f"before {last}", docs.where(old)), (f"since {last}", docs.where(~old))]
 
 
 def repeated_lines(docs: DataFrame, batches: list[tuple[str, DataFrame]] | None = None) -> DataFrame:
