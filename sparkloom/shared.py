@@ -19,7 +19,14 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return qualified(spark, folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The address of a folder with the scheme of the file system that Spark writes it to, so that others read the same one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    return "file://" + found.removeprefix("file:") if found.startswith("file:/") and not found.startswith("file://") else found
 
 
 def session_dir(spark: SparkSession) -> str:

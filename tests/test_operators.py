@@ -321,3 +321,5 @@ def test_shared_table_reads_back(spark):
     shared.remove(spark, path)
     assert not shared.exists(spark, path)
     assert shared.shared_dir(spark) == shared.shared_dir(spark)
+    assert shared.qualified(spark, "/tmp/x/") == shared.qualified(spark, "file:///tmp/x") == "file:///tmp/x"
+    assert shared.names(spark, path) == [] and shared.mark(spark, f"{path}/a") and not shared.mark(spark, f"{path}/a") and shared.names(spark, path) == ["a"]
