@@ -553,3 +553,11 @@ def test_bisecting_separates_clusters():
 def test_query_runs(spark, name):
     df = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert df.columns and df.count() >= 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_on_tables_without_rows_and_with_nulls(spark, bare_tables, name):
+    empty, nulls = bare_tables
+    rows = queries.QUERIES[name](spark, empty).collect()
+    assert not rows or "shares" in name
+    queries.QUERIES[name](spark, nulls).collect()
