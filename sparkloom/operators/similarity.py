@@ -62,7 +62,7 @@ def similar(queries: DataFrame, corpus: DataFrame, least: float, query: tuple[st
 
 def within_age(df: DataFrame, time: str, now: Column, age: str | None) -> DataFrame:
     """Rows whose ``time`` is no further than ``age`` (an interval such as ``30 days``) before ``now``; rows without a time are too old."""
-    return df if age is None else df.where(F.col(time) >= now - F.expr(f"interval {age}"))
+    return df if age is None else df.where(F.col(time) >= now.cast("timestamp") - F.expr(f"interval {age}"))
 
 
 def similar_runs(queries: DataFrame, runs: DataFrame, query: tuple[str, str], least: float = 0.8, status: str = "completed", age: str | None = None, now: Column | None = None) -> DataFrame:

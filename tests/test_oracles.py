@@ -42,3 +42,9 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     want = sorted(([plain(r[names.index(c)]) for c in columns] for r in result.fetchall()), key=repr)
     assert got == want
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_on_tables_without_rows_and_with_nulls(spark, bare_tables, name):
+    for folder in bare_tables:
+        QUERIES[name](spark, folder).collect()
