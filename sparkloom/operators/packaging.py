@@ -99,6 +99,24 @@ def program(name: Column, topic: Column, objective: Column, goals: Column, steps
     return F.concat(F.lit("# "), name, F.lit("\n\n## Topic\n"), topic, F.lit("\n\n## Objective\n"), objective, F.lit("\n\n## Goals\n"), bullets, F.lit("\n\n## Steps\n"), numbers, F.lit("\n"))
 
 
+PROGRAM = "name string, topic string, objective string, goals array<string>, steps array<string>"
+
+
+def register(programs: DataFrame, new: DataFrame) -> DataFrame:
+    """The registry of programmes (``PROGRAM``) with ``new`` ones, which replace those of the same name."""
+    columns = [c.split()[0] for c in PROGRAM.split(", ")]
+    return programs.select(columns).join(new.select("name"), "name", "left_anti").unionByName(new.select(columns))
+
+
+def programmes(asked: DataFrame, programs: DataFrame, goals: list[str], steps: list[str]) -> DataFrame:
+    """asked, markdown of every name in ``asked`` (asked): the registered programme, else one made for that topic with ``goals`` and ``steps``."""
+    rows = asked.select("asked").distinct().join(programs.withColumnRenamed("name", "asked"), "asked", "left")
+    known = F.col("topic").isNotNull()
+    pick = lambda c, other: F.when(known, F.col(c)).otherwise(other)
+    made = program(pick("asked", text.program_slug(F.col("asked"))), pick("topic", F.col("asked")), pick("objective", F.concat(F.lit("Collect and combine what is known about "), "asked", F.lit("."))), pick("goals", F.array(*map(F.lit, goals))), pick("steps", F.array(*map(F.lit, steps))))
+    return rows.select("asked", made.alias("markdown"))
+
+
 def generate(rows: DataFrame, generators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Contents of the files in ``rows`` (key, file, …) from one function by file; files without one are left out."""
     made = [f(rows.where(F.col("file") == name)) for name, f in generators.items()]

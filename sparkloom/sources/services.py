@@ -72,6 +72,21 @@ def posts(listings: DataFrame, column: str = "value") -> DataFrame:
     return rows.select("p.title", F.concat(F.lit("# "), "p.title", F.lit("\n\n"), "p.selftext").alias("text"), F.lit("reddit").alias("source"), F.concat(F.lit("https://www.reddit.com"), "p.permalink").alias("url"))
 
 
+def top_posts(responses: DataFrame) -> DataFrame:
+    """title, text, url, score of the posts in responses (status, content_type, body); none of responses that failed or are no JSON."""
+    schema = "struct<data: struct<children: array<struct<data: struct<title: string, selftext: string, permalink: string, score: bigint>>>>>"
+    fine = responses.where((F.col("status") == 200) & F.contains(F.lower("content_type"), F.lit("json")))
+    rows = fine.select(F.explode(F.from_json("body", schema)["data"]["children"]["data"]).alias("p"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return rows.select(blank("p.title").alias("title"), blank("p.selftext").alias("text"), F.concat(F.lit("https://www.reddit.com"), blank("p.permalink")).alias("url"), F.coalesce("p.score", F.lit(0)).alias("score"))
+
+
+def repository_names(responses: DataFrame, column: str = "body", most: int = 5) -> DataFrame:
+    """repo (``owner/name``) of the first ``most`` items of search responses in JSON."""
+    items = F.from_json(column, "struct<items: array<struct<full_name: string>>>")["items"]["full_name"]
+    return responses.select(F.explode(F.slice(items, 1, most)).alias("repo")).where("repo is not null")
+
+
 def repository_files(trees: DataFrame, most: int = 20) -> DataFrame:
     """repo, path of the first ``most`` files of each tree (repo, paths) that have a known suffix and no leading dot."""
     wanted = F.filter("paths", lambda p: p.rlike(r"(?i)\.(py|md|txt|ipynb)$") & ~F.element_at(F.split(p, "/"), -1).startswith(".") & ~p.startswith("."))

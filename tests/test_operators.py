@@ -172,6 +172,21 @@ def test_service_shapes(spark):
     assert sorted(len(r.text) for r in rows) == [4000, 8000, 9000]
 
 
+def test_search_responses(spark):
+    listing = json.dumps({"data": {"children": [{"data": {"title": "T", "selftext": "", "permalink": "/r/x", "score": 3}}]}})
+    rows = spark.createDataFrame([(200, "application/json; charset=UTF-8", listing), (403, "application/json", listing), (200, "text/html", listing), (200, "application/json", "broken"), (None, None, None)], "status int, content_type string, body string")
+    assert [tuple(r) for r in services.top_posts(rows).collect()] == [("T", "", "https://www.reddit.com/r/x", 3)]
+    found = spark.createDataFrame([(json.dumps({"items": [{"full_name": f"o/r{i}"} for i in range(8)]}),), ("{}",), (None,)], "body string")
+    assert [r.repo for r in services.repository_names(found, most=2).collect()] == ["o/r0", "o/r1"]
+
+
+def test_registry_of_programmes(spark):
+    known = spark.createDataFrame([("a", "old", "o", ["g"], ["s"]), ("b", "tb", "o", ["g"], ["s"])], packaging.PROGRAM)
+    registry = packaging.register(known, spark.createDataFrame([("a", "new", "o", ["g"], ["s"])], packaging.PROGRAM))
+    made = {r.asked: r.markdown for r in packaging.programmes(spark.createDataFrame([("a",), ("Deep Nets",)], "asked string"), registry, ["goal"], ["step"]).collect()}
+    assert registry.count() == 2 and made["a"].startswith("# a\n\n## Topic\nnew\n") and made["Deep Nets"].startswith("# deep-nets\n\n## Topic\nDeep Nets\n") and "1. step" in made["Deep Nets"]
+
+
 def test_generators_and_package_files(spark, tmp_path):
     rows = spark.createDataFrame([("r", "SUMMARY.md"), ("r", "TESTS.md")], "run_id string, file string")
     made = packaging.generate(rows, {"SUMMARY.md": lambda df: df.withColumn("content", F.lit("# Sü"))})
