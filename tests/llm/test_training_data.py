@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -444,6 +445,37 @@ def test_overlaps_of_templated_records_at_any_shard_size(spark, shard):
     assert got == {k: v for k, v in want.items() if v >= 0.7} and len(got) == 7
 
 
+@pytest.mark.parametrize("least", [1, 2, 7, 8, 9, 15, 16])
+def test_bits_count_the_shared_words(least):
+    rng = np.random.default_rng(least)
+    has = rng.random((40, 128)) < 0.4
+    has[-1] = False
+    which = rng.integers(0, 40, (9, 24))
+    found = split_overlap._shared(np.packbits(has, axis=1, bitorder="little").view(np.uint64), which, least)
+    assert (np.unpackbits(found.view(np.uint8), axis=1, bitorder="little").astype(bool) == (has[which].sum(1) >= least)).all()
+
+
+def test_overlap_tasks_read_shards_of_like_length_and_count_words_once(spark, tmp_path, monkeypatch):
+    """A task meets only the shards its texts can match, as they were stored: no list, order or hash is made anew for each."""
+    rng = random.Random(24)
+    texts = {n: [sentence(rng, n) for _ in range(20)] for n in (20, 60)}
+    val = [(1000 + n * 100 + i, [("user", t)], None, None, None) for n, told in texts.items() for i, t in enumerate(told)]
+    seen = []
+    load, order = split_overlap.load_shard, split_overlap.ordered
+    monkeypatch.setattr(split_overlap, "load_shard", lambda path, alike: seen.append(path) or load(path, alike))
+    monkeypatch.setattr(split_overlap, "ordered", lambda *x: seen.append("order") or order(*x))
+    made = {}
+    keep = split_overlap._scanner
+    monkeypatch.setattr(split_overlap, "_scanner", lambda *x: made.setdefault("args", x) and keep(*x))
+    train = spark.createDataFrame([(i, [("user", t)], None, None, None) for i, t in enumerate(texts[20])], RECORDS)
+    split_overlap.matches(train, spark.createDataFrame(val, RECORDS), shard=10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts[20])], names=["record_id", "text"])
+    found = [p for out in keep(*made["args"])(iter([batch])) for p in out.to_pylist()]
+    assert {(p["train"], p["class"]) for p in found} >= {(i, 3000 + i) for i in range(20)}
+    near = sum(least <= 20 / 0.7 for _, least, _ in made["args"][0])
+    assert seen.count("order") == 1 and len(seen) == 1 + near and near < len(made["args"][0])
+
+
 def test_overlaps_with_even_edits(spark):
     """Every third word or so changed, so that no run of more than three words is left."""
     rng = random.Random(23)
