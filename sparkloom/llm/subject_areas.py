@@ -1,31 +1,34 @@
 """Problem 10: the subjects that each document is about.
 
-Method: normalised document vectors of a bounded sample are clustered by bisecting k-means. Leaves are labelled by their
+Method: normalised vectors of all documents are clustered by bisecting k-means. Leaves are labelled by their
 discriminative terms, whose subjects the raters' labels give; each document's mixture of leaves then yields its subjects.
 
-The sample is ``SAMPLE`` documents, rated ones first, in the order of a hash of their id; every document is then assigned,
-whole. Documents of the form ``junk`` (``text_forms``) and those with a null or empty text have no subject. Repeated,
+Vocabulary, frequencies, centres, labels and mixtures are sums over all documents: words are counted once and kept, tasks add
+up what they read, and the driver gets sums of the vocabulary's size by leaf. Documents of the form ``junk`` (``text_forms``) and those with a null or empty text have no subject. Repeated,
 contradictory and null labels only weaken each other. Without any label the words of ``subjects.covers`` stand in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import text_forms
 from sparkloom.llm import textkernel as K
-from sparkloom.llm.base import documents, map_chunks
+from sparkloom.llm.base import documents
+from sparkloom.shared import table
 
-#: Documents that the clusters are fitted on.
-SAMPLE = 4000
 LEAVES = 96
 SMALLEST = 6
-#: A term of the vocabulary stands in at least so many documents of the sample, and in at most this part of them.
-TERM_DOCUMENTS, TERM_PART = 4, 0.25
+#: A term of the vocabulary stands in at least so many documents and this part of them, and in at most another part.
+TERM_DOCUMENTS, TERM_LEAST, TERM_PART = 4, 0.001, 0.25
+#: How often the documents of a leaf that is split move to the nearer centre.
+MOVED = 1
 #: A subject with this part of a document's mixture is one of its subjects.
 PART = 0.15
 ROUNDS = 12
@@ -35,49 +38,78 @@ LENT = 3.0
 REFINED = 2
 
 
+@dataclass
+class Counted:
+    """Terms of some documents and how often each has them, from ``first`` on; the subjects that raters set, as numbers, none for most."""
+
+    ids: np.ndarray
+    term: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
+    rated: list
+
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+
+
 @dataclass
 class Fitted:
-    """Terms in ascending order of hash, their weights, the term distribution of each leaf, and each leaf's subjects."""
+    """Weights of the terms, the term distribution of each leaf, and each leaf's subjects."""
 
-    terms: np.ndarray
     weight: np.ndarray
     leaf_terms: np.ndarray
     leaf_subjects: np.ndarray
     names: list[str]
 
-    def counts(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, term and number of occurrences of all terms of the vocabulary in ``texts``."""
-        parts = []
-        for a, b in K.chunks(texts):
-            w = K.words(texts[a:b], digits=False)
-            at = np.searchsorted(self.terms, w.hash)
-            at[at == len(self.terms)] = 0
-            known = self.terms[at] == w.hash if len(self.terms) else np.zeros(len(w.hash), bool)
-            parts.append(np.unique((w.doc[known] + a) * max(1, len(self.terms)) + at[known], return_counts=True))
-        found, number = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return found // max(1, len(self.terms)), found % max(1, len(self.terms)), number
-
-    def mixtures(self, texts: list) -> np.ndarray:
+    def mixtures(self, rows: Counted) -> np.ndarray:
         """Part of each subject in each text, by expectation maximisation over the leaves; zero rows for texts without terms."""
-        out = np.zeros((len(texts), len(self.names)))
-        doc, term, number = self.counts(texts)
-        bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
-        for i in range(len(texts)):
-            rows = slice(bounds[i], bounds[i + 1])
-            if bounds[i] == bounds[i + 1]:
+        out = np.zeros((len(rows.first) - 1, len(self.names)))
+        for i, (a, b) in enumerate(zip(rows.first[:-1].tolist(), rows.first[1:].tolist())):
+            if a == b:
                 continue
-            p = self.leaf_terms[term[rows]]
-            n = number[rows] * self.weight[term[rows]]
-            part = np.full(p.shape[1], 1 / p.shape[1])
+            p = self.leaf_terms[rows.term[a:b]]
+            n = rows.number[a:b] * self.weight[rows.term[a:b]]
+            part = np.full(p.shape[1], 1 / p.shape[1], p.dtype)
             for _ in range(ROUNDS):
-                part = part * ((n / (p @ part + 1e-12)) @ p)
+                part = part * ((n / (p @ part + 1e-12)).astype(p.dtype) @ p)
                 part /= part.sum()
             out[i] = part @ self.leaf_subjects
         return out
 
 
+@dataclass
+class Tree:
+    """Bisections of documents: a document goes to the right child of a node if its vector is on the right side of the node's direction."""
+
+    weight: np.ndarray
+    directions: list
+    children: list  # (left, right) of each node, or none
+
+    def vectors(self, rows: Counted) -> np.ndarray:
+        """Weighted terms of unit vectors."""
+        x, doc = np.log1p(rows.number) * self.weight[rows.term], rows.doc
+        return x / np.maximum(np.sqrt(np.bincount(doc, x * x, len(rows.ids))), 1e-9)[doc]
+
+    def leaves(self, rows: Counted, x: np.ndarray) -> np.ndarray:
+        """The leaf of each document, as a number of a node."""
+        node, doc = np.zeros(len(rows.ids), np.int64), rows.doc
+        if not self.directions:
+            return node
+        table = np.stack([d for d in self.directions if d is not None] or [np.zeros(len(self.weight), np.float32)])
+        inner = np.array([c is not None for c in self.children])
+        row = np.cumsum(inner) - 1
+        left, right = (np.array([c[k] if c else 0 for c in self.children]) for k in (0, 1))
+        term = rows.term
+        while (more := inner[node]).any():
+            of = np.flatnonzero(more[doc])
+            score = np.bincount(doc[of], x[of] * table[row[node[doc[of]]], term[of]], len(node))
+            node[more] = np.where(score > 0, right[node], left[node])[more]
+        return node
+
+
 def bisect(x: np.ndarray, leaves: int = LEAVES, smallest: int = SMALLEST, seed: int = 1) -> np.ndarray:
-    """Leaf of each row of unit vectors: the leaf with the largest spread is split in two by spherical 2-means."""
+    """Leaf of each row of unit vectors in memory: the leaf with the largest spread is split in two by spherical 2-means."""
     rng = np.random.default_rng(seed)
     leaf = np.zeros(len(x), np.int64)
     spread = {0: _spread(x)}
@@ -118,66 +150,202 @@ def _halve(x: np.ndarray, rng: np.random.Generator, tries: int = 3) -> np.ndarra
     return chosen
 
 
-def fit(texts: list, labels: list[list[str]], names: list[str], covers: list[str | None]) -> Fitted:
-    """Clusters of ``texts`` labelled by ``labels``, the subjects that raters set for each text (none: not rated)."""
-    own = []
-    for a, b in K.chunks(texts):
-        w = K.words(texts[a:b], digits=False)
-        own.append(np.concatenate([np.unique(w.hash[w.of(i)]) for i in range(b - a)]))
-    words, frequency = np.unique(np.concatenate(own) if own else np.zeros(0, np.uint64), return_counts=True)
-    least = min(TERM_DOCUMENTS, max(1, len(texts) // 50))
-    keep = (frequency >= least) & (frequency <= max(least, TERM_PART * len(texts)))
-    terms, frequency = words[keep], frequency[keep]
-    one = Fitted(terms, np.ones(len(terms)), np.zeros((len(terms), 1)), np.zeros((1, len(names))), names)
-    doc, term, number = one.counts(texts)
-    weight = np.log(len(texts) / np.maximum(frequency, 1)) if len(terms) else np.ones(0)
-    x = np.zeros((len(texts), len(terms)), np.float32)
-    x[doc, term] = np.log1p(number) * weight[term]
-    norm = np.linalg.norm(x, axis=1, keepdims=True)
-    x /= np.maximum(norm, 1e-9)
-    leaf = bisect(x)
-    count = int(leaf.max(initial=0)) + 1
-    raw = np.zeros((len(terms), count))
-    np.add.at(raw, (term, leaf[doc]), np.minimum(number, 5))
-
-    # terms by leaf against terms by subject: a leaf's discriminative terms vote for its subjects
-    y = np.zeros((len(texts), len(names)))
-    index = {name: i for i, name in enumerate(names)}
-    for i, own in enumerate(labels):
-        for name in own:
-            if name in index:
-                y[i, index[name]] += 1
-    y /= np.maximum(y.sum(1, keepdims=True), 1)
-    if not y.any():
-        hint = one.counts([c or "" for c in covers])
-        y_terms = np.zeros((len(terms), len(names)))
-        y_terms[hint[1], hint[0]] = 1
-        y = np.zeros((len(texts), len(names)))
-        np.add.at(y, doc, y_terms[term] * number[:, None])
-        y /= np.maximum(y.sum(1, keepdims=True), 1)
-    fitted = _parted(one, doc, term, number, leaf, raw, y)
-    for _ in range(REFINED):  # texts without a label, and subjects the raters left out, join in by their mixture
-        mixed = fitted.mixtures(texts)
-        mixed = np.where(mixed >= PART, mixed, 0)
-        own = y.sum(1, keepdims=True) > 0
-        fitted = _parted(one, doc, term, number, leaf, raw, np.where(own, (y + mixed) / 2, mixed))
+def counted(batch: pa.RecordBatch) -> Counted:
+    lists = batch.column("terms")
+    first = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    flat = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False)
+    return Counted(batch.column("doc_id").to_numpy(), flat("terms").astype(np.int64), flat("numbers").astype(np.int64), first, batch.column("subjects").to_pylist())
+
+
+def summed(rows: DataFrame, width: int, add: Callable[[Counted], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """Sums over all documents by key: ``add`` gives keys, places under ``width`` and values. Tasks add up first, then all tasks by key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for key, at, value in add(counted(batch)):
+                keys, which = np.unique(key, return_inverse=True)
+                sums = np.bincount(which * width + at, value, len(keys) * width).reshape(-1, width)
+                for k, v in zip(keys.tolist(), sums):
+                    held[k] = held[k] + v if k in held else v
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["key", "sums"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = np.zeros(width)
+        for v in table["sums"]:
+            total += np.frombuffer(v.as_buffer())
+        return pa.table({"key": table["key"].slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    few = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)  # sums are as large for few documents as for many
+    found = few.mapInArrow(run, "key int, sums binary").groupBy("key").applyInArrow(merge, "key int, sums binary").collect()
+    return {r.key: np.frombuffer(r.sums) for r in found}
+
+
+def bisected(rows: DataFrame, weight: np.ndarray, frequency: np.ndarray, leaves: int = LEAVES, smallest: int = SMALLEST) -> Tree:
+    """Bisecting k-means of all documents, all leaves with the largest spread at a time.
+
+    A leaf is parted by the term that varies most in it, then the documents go to the nearer of the two centres, ``MOVED`` times.
+    """
+    tree, width = Tree(weight, [None], [None]), len(weight) + 1
+
+    def sums() -> dict[int, np.ndarray]:
+        def add(own: Counted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            x = tree.vectors(own)
+            node = tree.leaves(own, x)
+            yield node[own.doc], own.term, x
+            yield node, np.full(len(node), width - 1), np.ones(len(node))
+
+        return summed(rows, width, add)
+
+    def spread(v: np.ndarray) -> float:
+        """Sum of 1 - cosine to the centre."""
+        return float(v[-1] - np.linalg.norm(v[:-1]))
+
+    stats = sums()
+    usual = stats.get(0, np.zeros(width))[:-1] / np.maximum(frequency, 1)  # weight of a term in a document that has it
+    closed: set[int] = set()
+    while True:
+        room = leaves - len(stats)
+        split = sorted((k for k, v in stats.items() if k not in closed and v[-1] >= 2 * smallest and spread(v) > 1e-9), key=lambda k: -spread(stats[k]))[: max(0, room)]
+        if not split or not len(weight):
+            return tree
+        before = dict(stats)
+        for k in split:
+            mean = stats[k][:-1] / stats[k][-1]
+            t = int(np.argmax(mean * np.maximum(0, usual - mean)))
+            tree.directions[k] = (np.arange(len(weight)) == t).astype(np.float32)
+            tree.children[k] = (len(tree.children), len(tree.children) + 1)
+            tree.children += [None, None]
+            tree.directions += [None, None]
+        for _ in range(MOVED):
+            found = sums()
+            for k in split:
+                a, b = (found.get(c, np.zeros(width))[:-1] for c in tree.children[k])
+                norms = np.linalg.norm(a), np.linalg.norm(b)
+                if min(norms) > 0:
+                    tree.directions[k] = (b / norms[1] - a / norms[0]).astype(np.float32)
+        stats = sums()
+        for k in split:  # no leaf of a few documents
+            if any(stats.get(c, np.zeros(width))[-1] < smallest for c in tree.children[k]):
+                for c in tree.children[k]:
+                    stats.pop(c, None)
+                tree.directions[k] = tree.children[k] = None
+                stats[k] = before[k]
+                closed.add(k)
+
+
+def counts(docs: DataFrame, rated: DataFrame, junk: DataFrame | None) -> DataFrame:
+    """doc_id, words (hashes), numbers, subjects of every document that is to be assigned: all but ``junk``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for a, b in K.chunks(texts):
+                w = K.words(texts[a:b], digits=False)
+                order = np.lexsort((w.hash, w.doc))
+                word, doc = w.hash[order], w.doc[order]
+                new = np.flatnonzero(np.concatenate([[True], (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])])) if len(word) else np.zeros(0, np.int64)
+                first = pa.array(np.searchsorted(doc[new], np.arange(b - a + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(first, pa.array(x)) for x in (K.signed(word[new]), np.diff(np.append(new, len(word))).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), *lists], names=["doc_id", "words", "numbers"])
+
+    rows = documents(docs, "doc_id", "text").where("text is not null").mapInArrow(run, "doc_id long, words array<long>, numbers array<int>")
+    rows = rows if junk is None else rows.join(junk, "doc_id", "left_anti")
+    return rows.join(rated, "doc_id", "left")
+
+
+def vocabulary(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Terms of all documents in the order of their hash, the documents that have them, and the number of documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, n = np.unique(batch.column("words").flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], names=["word", "n"])
+
+    n = rows.count()
+    least = max(n * TERM_LEAST, min(TERM_DOCUMENTS, max(1, n // 50)))
+    found = rows.select("words").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") <= max(least, TERM_PART * n))).collect()
+    words, frequency = np.array([r.word for r in found], np.int64).view(np.uint64), np.array([r.n for r in found], np.int64)
+    order = np.argsort(words)
+    return words[order], frequency[order], n
+
+
+def termed(rows: DataFrame, terms: np.ndarray) -> DataFrame:
+    """doc_id, terms (places in the vocabulary), numbers, subjects."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("words")
+            first = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+            word, number = words.flatten().to_numpy(zero_copy_only=False).view(np.uint64), batch.column("numbers").flatten().to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(terms, word), max(0, len(terms) - 1))
+            known = terms[at] == word if len(terms) else np.zeros(len(word), bool)
+            begin = pa.array(np.concatenate([[0], np.cumsum(known)])[first].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(begin, pa.array(x[known].astype(np.int32))) for x in (at, number)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists, batch.column("subjects")], names=["doc_id", "terms", "numbers", "subjects"])
+
+    return rows.mapInArrow(run, "doc_id long, terms array<int>, numbers array<int>, subjects array<int>")
+
+
+def fit(rows: DataFrame, terms: np.ndarray, frequency: np.ndarray, n: int, names: list[str], covers: list[str]) -> Fitted:
+    """Clusters of all documents of ``rows`` labelled by the subjects that raters set for some; every sum is over all of them."""
+    weight = np.log(n / np.maximum(frequency, 1)) if len(terms) else np.ones(0)
+    tree = bisected(rows, weight, frequency)
+    nodes = [k for k, c in enumerate(tree.children) if c is None]
+    leaf_of = np.zeros(len(tree.children), np.int64)
+    leaf_of[nodes] = np.arange(len(nodes))
+    hint = np.zeros((len(terms), len(names)))
+    if rows.where("size(subjects) > 0").isEmpty():
+        w = K.words(covers, digits=False)
+        at = np.minimum(np.searchsorted(terms, w.hash), max(0, len(terms) - 1))
+        known = terms[at] == w.hash if len(terms) else np.zeros(len(at), bool)
+        hint[at[known], w.doc[known]] = 1
+    hinted, v, most = bool(hint.any()), len(terms), len(names)
+
+    def sums(fitted: Fitted | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms by leaf, subjects by leaf, terms by subject."""
+
+        def add(own: Counted) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            doc, number = own.doc, np.minimum(own.number, 5)
+            y = np.zeros((len(own.ids), most))
+            for i, told in enumerate(own.rated):
+                for name in told or ():
+                    y[i, name] = 1
+            if hinted:
+                for k in range(most):
+                    y[:, k] = np.bincount(doc, hint[own.term, k] * own.number, len(y))
+            y /= np.maximum(y.sum(1, keepdims=True), 1)
+            if fitted:  # texts without a label, and subjects the raters left out, join in by their mixture
+                mixed = fitted.mixtures(own)
+                mixed = np.where(mixed >= PART, mixed, 0)
+                y = np.where(y.sum(1, keepdims=True) > 0, (y + mixed) / 2, mixed)
+            leaf = leaf_of[tree.leaves(own, tree.vectors(own))]
+            yield leaf[doc], own.term, number
+            i, k = np.nonzero(y)
+            yield leaf[i], v + k, y[i, k]
+            for k in range(most):
+                yield np.full(len(doc), -1 - k), own.term, y[doc, k] * number
+
+        found = summed(rows, v + most, add)
+        of = lambda k: found.get(k, np.zeros(v + most))
+        leaves = np.stack([of(k) for k in range(len(nodes)) if of(k)[:v].any()] or [np.zeros(v + most)])
+        return leaves[:, :v].T, leaves[:, v:], np.stack([of(-1 - k)[:v] for k in range(most)], axis=1) if most else np.zeros((v, 0))
+
+    one = Fitted(np.ones(v), np.zeros((v, 1)), np.zeros((1, most)), names)
+    fitted = _parted(one, *sums(None))
+    for _ in range(REFINED):
+        fitted = _parted(one, *sums(fitted))
     return fitted
 
 
-def _parted(one: Fitted, doc: np.ndarray, term: np.ndarray, number: np.ndarray, leaf: np.ndarray, raw: np.ndarray, y: np.ndarray) -> Fitted:
-    """Leaves parted by subject, from each text's subjects ``y``."""
-    names, terms = one.names, one.terms
-    count = raw.shape[1]
-    rated = y.sum(1) > 0
-    subject_terms = np.zeros((len(terms), len(names)))
-    np.add.at(subject_terms, term[rated[doc]], y[doc[rated[doc]]] * np.minimum(number[rated[doc]], 5)[:, None])
+def _parted(one: Fitted, raw: np.ndarray, direct: np.ndarray, subject_terms: np.ndarray) -> Fitted:
+    """Leaves parted by subject, from sums of terms by leaf, subjects by leaf and terms by subject."""
+    names, count = one.names, raw.shape[1]
     prior = subject_terms.sum(0) / max(subject_terms.sum(), 1e-9)
     posterior = (subject_terms + 0.5 * prior) / (subject_terms.sum(1, keepdims=True) + 0.5)  # of a subject given a term
     sharp = 1 - _entropy(posterior) / np.log(max(2, len(names)))  # how much a term tells about the subject
     seen = subject_terms.sum(1)
     sharp = np.clip(sharp, 0, 1) * seen / (seen + 2)  # a term seen once or twice tells little
-    direct = np.zeros((count, len(names)))
-    np.add.at(direct, leaf, y)
     # each leaf is parted by subject: its terms, weighted by what they tell, go to the subjects they speak for
     parts, subjects = [], []
     for k in range(count):
@@ -186,7 +354,7 @@ def _parted(one: Fitted, doc: np.ndarray, term: np.ndarray, number: np.ndarray,
         for s in np.flatnonzero(vote >= 0.12 * vote.sum()):
             parts.append(raw[:, k] * posterior[:, s])
             subjects.append(s)
-    leaf_terms = np.stack(parts, axis=1) if parts else np.zeros((len(terms), 1))
+    leaf_terms = np.stack(parts, axis=1) if parts else np.zeros((len(raw), 1))
     if parts:  # a small leaf knows few terms of its subject: the subject's other leaves lend it theirs
         leaf_terms /= np.maximum(leaf_terms.sum(0), 1e-9)
         pooled = np.stack([raw.sum(1) * posterior[:, s] for s in range(len(names))], axis=1)
@@ -194,7 +362,7 @@ def _parted(one: Fitted, doc: np.ndarray, term: np.ndarray, number: np.ndarray,
         leaf_terms *= raw.sum() / max(1, count)
     leaf_terms = (leaf_terms + 1e-3) / (leaf_terms + 1e-3).sum(0)
     leaf_subjects = np.eye(len(names))[subjects] if parts else np.zeros((1, len(names)))
-    return Fitted(terms, sharp**2, leaf_terms, leaf_subjects, names)
+    return Fitted(sharp**2, leaf_terms.astype(np.float32), leaf_subjects, names)
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
@@ -207,30 +375,26 @@ def label_sets(labels: DataFrame, names: list[str]) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set("subject")).alias("subjects"))  # at most one of each name
 
 
-def sample(docs: DataFrame, labels: DataFrame, names: list[str], size: int = SAMPLE, fitting: DataFrame | None = None) -> list:
-    """text and subjects of ``size`` documents (of those in ``fitting``): rated ones first, each kind in the order of a hash of the id."""
-    ids = (docs if fitting is None else fitting).select("doc_id").distinct().join(label_sets(labels, names), "doc_id", "left").orderBy(F.col("subjects").isNull(), F.xxhash64("doc_id"), "doc_id").limit(size)
-    rows = documents(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null")  # ``size`` rows at most
-    return sorted(((r.doc_id, r.text, list(r.subjects or ())) for r in rows.select("doc_id", "text", "subjects").collect()), key=lambda r: r[:2])
-
-
-def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, part: float = PART, size: int = SAMPLE, fitting: DataFrame | None = None) -> DataFrame:
-    """doc_id, subject, part of the mixture, for every subject of every document of ``docs``."""
+def subjects_of(docs: DataFrame, labels: DataFrame, subjects: DataFrame, part: float = PART, junk: DataFrame | None = None) -> DataFrame:
+    """doc_id, subject, part of the mixture, for every subject of every document of ``docs`` but those of ``junk``."""
     known = sorted((r.subject.strip().lower(), r.covers or "") for r in subjects.where("subject is not null").select("subject", "covers").collect())
     names = [name for name, _ in known]
-    rows = sample(docs, labels, names, size, fitting)
-    fitted = fit([text for _, text, _ in rows], [own for _, _, own in rows], names, [c for _, c in known])
+    rated = label_sets(labels, names).select("doc_id", F.transform("subjects", lambda x: (F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), x) - 1).cast("int")).alias("subjects"))
+    words = table(counts(docs, rated, junk), "words")
+    terms, frequency, n = vocabulary(words)
+    rows = table(termed(words, terms), "terms")
+    fitted = fit(rows, terms, frequency, n, names, [c for _, c in known])
 
-    def assign(data: dict) -> dict:
-        mixed = fitted.mixtures(data["text"])
-        doc, subject = np.nonzero(mixed >= part)
-        return {"doc_id": np.array(data["doc_id"], dtype=np.int64)[doc], "subject": [names[s] for s in subject], "part": mixed[doc, subject]}
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = counted(batch)
+            mixed = fitted.mixtures(own)
+            doc, subject = np.nonzero(mixed >= part)
+            yield pa.RecordBatch.from_arrays([pa.array(own.ids[doc], pa.int64()), pa.array([names[k] for k in subject], pa.string()), pa.array(mixed[doc, subject])], names=["doc_id", "subject", "part"])
 
-    return map_chunks(documents(docs, "doc_id", "text"), "text", "doc_id long, subject string, part double", assign)
+    return rows.mapInArrow(assign, "doc_id long, subject string, part double")
 
 
 def document_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame) -> DataFrame:
-    """``subjects_of`` all documents but those of the form ``junk``. Only ids and results are joined with those; no text moves."""
-    junk = text_forms.forms(docs).where("form = 'junk'").select("doc_id")
-    fitting = documents(docs, "doc_id").join(junk, "doc_id", "left_anti")
-    return subjects_of(docs, labels, subjects, fitting=fitting).join(junk, "doc_id", "left_anti")
+    """``subjects_of`` all documents but those of the form ``junk``. Only ids and counts of words are joined with those; no text moves."""
+    return subjects_of(docs, labels, subjects, junk=text_forms.forms(docs).where("form = 'junk'").select("doc_id"))

@@ -570,6 +570,26 @@ def test_subjects_of_held_out_documents(spark):
     assert subject_areas.subjects_of(docs(spark, []), raters.limit(0), subjects).count() == 0
 
 
+def test_subjects_are_learned_from_all_documents(spark):
+    """Words that only unrated documents have, beyond more than 4,000 rated ones, are known by the documents in which they meet others."""
+    rng = random.Random(3)
+    letters = [chr(97 + i) + chr(97 + j) for i in range(5) for j in range(5)]
+    vocabulary = {s: [s + x for x in letters] for s in ("law", "sport", "novel")}
+    told = lambda *own: " ".join(rng.choice(vocabulary[rng.choice(own)]) for _ in range(12))
+    rows = [(i, told(("law", "sport")[i % 2])) for i in range(4100)]
+    rows += [(5000 + i, told("sport", "novel")) for i in range(200)] + [(6000 + i, told("novel")) for i in range(100)]
+    raters = spark.createDataFrame([(i, ("law", "sport")[i % 2], "r") for i in range(4100)], "doc_id long, subject string, rater string")
+    subjects = spark.createDataFrame([("law", "x"), ("sport", "y")], "subject string, covers string")
+    found = defaultdict(set)
+    for r in subject_areas.subjects_of(docs(spark, rows), raters, subjects).collect():
+        found[r.doc_id].add(r.subject)
+    assert all(found[i] == {("law", "sport")[i % 2]} for i in range(4100))
+    assert all(found[i] == {"sport"} for i in range(6000, 6100))
+    words = subject_areas.counts(docs(spark, rows), subject_areas.label_sets(raters, ["law", "sport"]).select("doc_id", F.lit(None).cast("array<int>").alias("subjects")), None)
+    terms, frequency, n = subject_areas.vocabulary(words)
+    assert n == len(rows) and len(terms) == 75 and frequency.sum() == sum(len(set(t.split())) for _, t in rows)
+
+
 def test_bisecting_separates_clusters():
     rng = np.random.default_rng(0)
     x = np.repeat(np.eye(4), 20, axis=0) + rng.normal(0, 0.05, (80, 4))
